@@ -11,6 +11,22 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_DIRS: list[str] = []
+_STAGED: list[str] = []
+
+
+def release_staged(spark: SparkSession) -> None:
+    """Deletes the tables this process has staged; results read from them must be written by then."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while _STAGED:
+        path = jvm.org.apache.hadoop.fs.Path(_STAGED.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
+@atexit.register
+def _remove_local() -> None:
+    for path in _STAGED:
+        if path.startswith(("/", "file:")):
+            shutil.rmtree(path.removeprefix("file:").replace("//", "/", 1) if path.startswith("file:") else path, ignore_errors=True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +57,7 @@ def staged(df: DataFrame, tag: str) -> DataFrame:
     """
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _STAGED.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
