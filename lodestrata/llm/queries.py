@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm import p01_split, p03_neighbours, p04_near_duplicates, p05_rank_fusion, p06_conversations, p07_secrets, p08_tokenize, p09_packing, p10_repetition
+from lodestrata.llm import (
+    p01_split,
+    p02_personal_data,
+    p03_neighbours,
+    p04_near_duplicates,
+    p05_rank_fusion,
+    p06_conversations,
+    p07_secrets,
+    p08_tokenize,
+    p09_packing,
+    p10_repetition,
+)
 from lodestrata.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +32,14 @@ def p1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p01_split.split_nodes(table(spark, sf_dir, "knowledge_nodes"))
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p02_personal_data.found_kinds(table(spark, sf_dir, "knowledge_nodes"), table(spark, sf_dir, "given_names"))
+
+
+def p2_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p02_personal_data.masked(table(spark, sf_dir, "knowledge_nodes"), table(spark, sf_dir, "given_names"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p03_neighbours.mutual_pairs(table(spark, sf_dir, "embedding_entries"))
 
@@ -109,7 +128,7 @@ def p10_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (p1_found, p1_pieces, p3_found, p3_neighbours, p3_recall, p4_found, p4_groups, p5_found, p5_ranking, p6_found, p6_turns, p7_found, p7_redacted, p8_ids, p8_counts_by_source, p9_found, p9_packs, p9_fill, p10_found, p10_shares, p10_ablation)
+    for f in (p1_found, p1_pieces, p2_found, p2_masked, p3_found, p3_neighbours, p3_recall, p4_found, p4_groups, p5_found, p5_ranking, p6_found, p6_turns, p7_found, p7_redacted, p8_ids, p8_counts_by_source, p9_found, p9_packs, p9_fill, p10_found, p10_shares, p10_ablation)
 }
 
 ORACLE_SQL: dict[str, str] = {}
