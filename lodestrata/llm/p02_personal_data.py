@@ -306,6 +306,15 @@ def train(spans: list[tuple[str, list[str]]], posterior: dict[str, float], steps
     index = {f: i for i, f in enumerate(sorted(f for f, c in counts.items() if c >= 2 or f == "bias"))}
     rows, cols = [], []
     target = np.array([posterior.get(v, 0.5) for v, _ in spans])
+    # a word no labeler favours takes the share of its ending's spans that are favoured, if most are
+    ending = [next((f for f in features if f.startswith("e4=")), "") for _, features in spans]
+    held: dict[str, list[float]] = defaultdict(list)
+    for e, t in zip(ending, target):
+        held[e].append(t)
+    share = {e: sum(t) / len(t) for e, t in held.items() if e and len(t) >= 5}
+    for i, (votes, _) in enumerate(spans):
+        if "+" not in votes and "-" not in votes[:7] and share.get(ending[i], 0) > 0.5:
+            target[i] = share[ending[i]]
     for i, (votes, features) in enumerate(spans):
         for f in _named(votes, features):
             if f in index:
