@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestrata.functions import text as T
+from lodestrata.session import staged
 
 #: Points of a term: exact in the label, exact in the text, alike in the label, alike in the text (fixed values).
 POINTS = (5, 2, 3, 1)
@@ -30,8 +31,8 @@ def _sounding(kept: DataFrame, terms: list[str]) -> dict[str, list[str]]:
     long_terms = {t: T.signature_plain(t) for t in terms if len(t) >= 5}
     if not long_terms:
         return {}
-    both = F.array_distinct(F.concat(T.tokens("label"), T.tokens("text")))
-    words = _signed(kept.select(F.explode(F.filter(both, lambda t: F.length(t) >= 5)).alias("token")).distinct(), "token", "s")
+    both = F.filter(F.concat(T.tokens("label"), T.tokens("text")), lambda t: F.length(t) >= 5)
+    words = _signed(exploded(kept, both, "token").distinct(), "token", "s")
     near = words.where(F.greatest(*(T.within_one_edit(F.col("s"), F.lit(s)) for s in long_terms.values()), F.lit(False)))
     found: dict[str, list[str]] = {t: [] for t in long_terms}
     for r in near.select("token", *(T.within_one_edit(F.col("s"), F.lit(s)).alias(f"_{i}") for i, s in enumerate(long_terms.values()))).collect():
@@ -71,14 +72,16 @@ def _variants(s: Column) -> Column:
     return F.array_distinct(F.concat(F.array(s), F.when(F.length(s) > 0, cut).otherwise(F.array().cast("array<string>"))))
 
 
-def postings(nodes: DataFrame, of: DataFrame | None = None) -> DataFrame:
-    """``token, id, in_label, in_body``: an inverted index of both fields, all or of some tokens."""
-    label = nodes.select("id", F.explode(F.array_distinct(T.tokens("label"))).alias("token"), F.lit(True).alias("l"))
-    body = nodes.select("id", F.explode(F.array_distinct(T.tokens("text"))).alias("token"), F.lit(False).alias("l"))
-    both = label.unionByName(body)
-    if of is not None:
-        both = both.join(of, "token", "left_semi")
-    return both.groupBy("token", "id").agg(F.max("l").alias("in_label"), F.max(~F.col("l")).alias("in_body"))
+def exploded(df: DataFrame, tokens: Column, name: str, *kept: str | Column) -> DataFrame:
+    """``kept`` and one row per distinct token. The outer form keeps the optimizer from adding a
+    condition on the array, which would work the tokens out a second time."""
+    return df.select(*kept, F.explode_outer(F.array_distinct(tokens)).alias(name)).where(F.col(name).isNotNull())
+
+
+def postings(nodes: DataFrame) -> DataFrame:
+    """``token, id, in_label, in_body``: an inverted index, a row per field that has the token; made without a shuffle."""
+    field = lambda name, label: exploded(nodes, T.tokens(name), "token", "id").select("token", "id", F.lit(label).alias("in_label"), F.lit(not label).alias("in_body"))
+    return field("label", True).unionByName(field("text", False))
 
 
 def search_many(nodes: DataFrame, questions: DataFrame, limit: int = 5, types: list[str] | None = None) -> DataFrame:
@@ -89,18 +92,18 @@ def search_many(nodes: DataFrame, questions: DataFrame, limit: int = 5, types: l
     verified after it. Matched tokens then meet the postings.
     """
     kept = _types(nodes, types)
-    terms = questions.select("query_id", F.explode(F.array_distinct(T.tokens("question"))).alias("term"))
+    # the index is written once; vocabulary and matches are read from it
+    index = staged(postings(kept), "postings")
+    terms = staged(exploded(questions, T.tokens("question"), "term", "query_id"), "terms")
     words = terms.select("term").distinct()
-    vocabulary = kept.select(F.explode(F.array_distinct(F.concat(T.tokens("label"), T.tokens("text")))).alias("token")).distinct()
+    vocabulary = index.select("token").distinct()
     long_terms = _signed(words.where(F.length("term") >= 5), "term", "ts")
     long_tokens = _signed(vocabulary.where(F.length("token") >= 5), "token", "s")
     left = long_terms.select("term", "ts", F.explode(_variants(F.col("ts"))).alias("v"))
     right = long_tokens.select("token", "s", F.explode(_variants(F.col("s"))).alias("v"))
     alike = left.join(right, "v").where((F.col("term") != F.col("token")) & T.within_one_edit(F.col("ts"), F.col("s"))).select("term", "token").distinct().withColumn("exact", F.lit(False))
     exact = words.join(vocabulary, words["term"] == vocabulary["token"]).select("term", "token").withColumn("exact", F.lit(True))
-    matched = exact.unionByName(alike)
-    index = postings(kept, matched.select("token").distinct())
-    hits = terms.join(matched, "term").join(index, "token")
+    hits = terms.join(staged(exact.unionByName(alike), "matches"), "term").join(index, "token")
     flag = lambda exact, field: F.max(F.col("exact") & F.col(field)) if exact else F.max(~F.col("exact") & F.col(field))
     per_term = hits.groupBy("query_id", "id", "term").agg(flag(True, "in_label").alias("le"), flag(True, "in_body").alias("be"), flag(False, "in_label").alias("la"), flag(False, "in_body").alias("ba"))
     points = F.when(F.col("le"), POINTS[0]).when(F.col("la"), POINTS[2]).otherwise(0) + F.when(F.col("be"), POINTS[1]).when(F.col("ba"), POINTS[3]).otherwise(0)

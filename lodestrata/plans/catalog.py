@@ -109,7 +109,7 @@ def distinct_files(spark, d):
 
 @query(f"WITH t AS (SELECT doc_id, unnest({Q.tokens('text')}) AS token FROM documents) SELECT token, count(*) AS n, count(DISTINCT doc_id) AS docs FROM t GROUP BY 1")
 def tokenize_counts(spark, d):
-    t = table(spark, d, "documents").select("doc_id", F.explode(T.tokens("text")).alias("token"))
+    t = table(spark, d, "documents").select("doc_id", F.explode_outer(T.tokens("text")).alias("token")).where("token is not null")
     return t.groupBy("token").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("docs"))
 
 
