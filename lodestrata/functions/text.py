@@ -45,6 +45,11 @@ def col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def filled(c: str | Column) -> Column:
+    """Whether there is anything but white space; null is not."""
+    return F.coalesce(col(c).rlike(r"(?U)\S"), F.lit(False))
+
+
 def fold(c: str | Column) -> Column:
     """Lower case without marks; null stays null."""
     lowered = reduce(lambda s, kv: F.replace(s, F.lit(kv[0]), F.lit(kv[1])), EXPANSIONS.items(), F.lower(col(c)))

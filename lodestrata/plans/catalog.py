@@ -306,7 +306,9 @@ def lexical_top20(spark, d):
 
 @query()
 def lexical_many(spark, d):
-    return L.search_many(_nodes(spark, d), table(spark, d, "search_queries").select("query_id", "question"), 5)
+    # a suite of questions; each meets all nodes
+    suite = [(1, QUESTION), (2, MISSPELT), (3, WORDS), (4, "Which reviewer prefers the quiet archive")]
+    return L.search_many(_nodes(spark, d), spark.createDataFrame(suite, "query_id int, question string"), 5)
 
 
 @query(

@@ -96,7 +96,7 @@ def _node(files: DataFrame, kind: str, prefix: str, cut: int, label=None, meta:
 def repository_files(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
     """Project and file nodes and CONTAINS edges of a repository's source files."""
     root = root.rstrip("/")
-    files = walk(spark, root).where(T.extension("path").isin(SOURCE_ENDINGS) & (F.trim("text") != ""))
+    files = walk(spark, root).where(T.extension("path").isin(SOURCE_ENDINGS) & (T.filled("text")))
     nodes = _node(files, "file", "file", REPOSITORY_CUT, T.relative_path("path", root))
     name = root.rsplit("/", 1)[-1]
     project = spark.range(1).select(
@@ -110,7 +110,7 @@ def repository_files(spark: SparkSession, root: str) -> tuple[DataFrame, DataFra
 
 
 def prompt_directory(spark: SparkSession, root: str) -> DataFrame:
-    files = walk(spark, root).where(T.extension("path").isin(PROMPT_ENDINGS) & (F.trim("text") != ""))
+    files = walk(spark, root).where(T.extension("path").isin(PROMPT_ENDINGS) & (T.filled("text")))
     return _node(files, "prompt", "prompt", PROMPT_CUT, meta='{"kind":"prompt"}')
 
 
@@ -129,7 +129,7 @@ def knowledge_path(spark: SparkSession, root: str, kind: str | None = None, labe
 
     Blank files give nothing. A structured file without turns is a document.
     """
-    files = walk(spark, root).where(F.trim("text") != "")
+    files = walk(spark, root).where(T.filled("text"))
     if files.isEmpty() and not os.path.exists(root.removeprefix("file://")):
         raise FileNotFoundError(root)
     memory = files.where(T.base_name("path").isin("MEMORY.md", "USER.md"))
@@ -155,7 +155,7 @@ def recording_archive(spark: SparkSession, root: str) -> tuple[DataFrame, DataFr
         F.coalesce(field("audioFilename"), F.lit("audio.wav")).alias("audio"), field("headline").alias("headline"), field("summary").alias("summary"), field("startedAt").alias("startedAt"),
         F.from_json(F.coalesce(field("keywords"), F.lit("[]")), "array<string>").alias("keywords"),
     ).where("status = 'completed' and sid is not null")
-    said = files.select(T.directory("path").alias("dir"), T.base_name("path").alias("file"), F.col("text").alias("said"), F.col("path").alias("said_path")).where(F.trim("said") != "")
+    said = files.select(T.directory("path").alias("dir"), T.base_name("path").alias("file"), F.col("text").alias("said"), F.col("path").alias("said_path")).where(T.filled("said"))
     both = meta.join(said, ["dir", "file"]).withColumn("ord", F.xxhash64("sid"))
     label = F.coalesce("headline", T.sentence_label("said", F.col("sid")))
     info = F.to_json(F.struct(F.col("sid").alias("sessionID"), "startedAt", "audio"))

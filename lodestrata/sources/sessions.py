@@ -22,7 +22,7 @@ def session_texts(turns: DataFrame, session: str, text: str, order: str, cut: in
     the collected list by their running length.
     """
     before = Window.partitionBy(session).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    kept = turns.where(F.length(F.trim(text)) > 0).withColumn("_n", F.coalesce(F.sum(F.length(text)).over(before), F.lit(0))).where(F.col("_n") < cut * 8)
+    kept = turns.where(T.filled(text)).withColumn("_n", F.coalesce(F.sum(F.length(text)).over(before), F.lit(0))).where(F.col("_n") < cut * 8)
     parts = F.transform(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(text).alias("t")))), lambda s: s["t"])
     joined = F.aggregate(parts, F.lit(""), lambda a, t: F.when(a == "", t).when(F.contains(a, t), a).otherwise(F.concat(a, F.lit("\n"), t)))
     return kept.groupBy(session).agg(F.substring(joined, 1, cut).alias("text"))
@@ -36,7 +36,7 @@ def parse_records(files: DataFrame) -> DataFrame:
     ``sessions`` array, or one record. Other files have none.
     """
     ext = T.extension("path")
-    lines = files.where(ext == ".jsonl").select("path", F.posexplode(F.filter(F.split("text", r"\r?\n"), lambda x: F.trim(x) != "")).alias("pos", "record"))
+    lines = files.where(ext == ".jsonl").select("path", F.posexplode(F.filter(F.split("text", r"\r?\n"), T.filled)).alias("pos", "record"))
     bad = lines.where(F.try_parse_json("record").isNull()).select("path").distinct()
     whole = files.where(ext == ".json").select("path", "text", F.try_parse_json("text").alias("v")).where("v is not null")
     array = "array<string>"
@@ -83,7 +83,7 @@ def session_turns(records: DataFrame) -> DataFrame:
         F.lit("agent-export").alias("source"), F.col("record_no").alias("turn_index"), F.coalesce(_get("message.id"), F.col("record_no").cast("string")).alias("message_id"),
         F.coalesce(_get("message.role"), _get("type")).alias("role"), T.message_text(_get("message.content")).alias("text"), _get("timestamp").alias("timestamp"),
     )
-    return turns.unionByName(prompts).unionByName(traces).where(F.length(F.trim("text")) > 0)
+    return turns.unionByName(prompts).unionByName(traces).where(T.filled("text"))
 
 
 def session_graph(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
