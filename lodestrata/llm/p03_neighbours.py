@@ -257,10 +257,12 @@ def _stack(column: pa.Array) -> np.ndarray:
 
 def _fit_routers(rows: DataFrame) -> dict[str, Router]:
     """A router per model, from its first ``SAMPLE_ROWS`` rows in hash order (at most 64 models are sampled)."""
-    models = [r["model"] for r in rows.groupBy("model").count().orderBy(F.col("count").desc(), "model").limit(64).collect()]
+    models = {r["model"]: r["count"] for r in rows.groupBy("model").count().orderBy(F.col("count").desc(), "model").limit(64).collect()}
     routers = {}
-    for m in models:
-        some = rows.where(F.col("model") == m).select("id", "vector").orderBy(F.xxhash64("id"), "id").limit(SAMPLE_ROWS).collect()
+    for m, n in models.items():
+        # thinned by hash first: the top of every task's rows would reach the driver otherwise
+        thin = max(1, n // (SAMPLE_ROWS * 5 // 4))
+        some = rows.where((F.col("model") == m) & (F.pmod(F.xxhash64("id"), F.lit(thin)) == 0)).select("id", "vector").orderBy(F.xxhash64("id"), "id").limit(SAMPLE_ROWS).collect()
         x = np.frombuffer(b"".join(bytes(r["vector"]) for r in some), np.int8).reshape(len(some), -1).astype(np.float32)
         routers[m] = fit_router(unit(x))
     return routers
