@@ -5,7 +5,9 @@ is segmented into dictionary words by Viterbi (the cheapest segmentation under
 word frequencies, with a flat price for a character no word explains); what
 stays unexplained is its residual. A long residual near an assignment context
 is a secret, unless the literal has a known harmless format (hashes, ids,
-public keys, embedded images). Where the context itself names a password, short
+public keys, embedded images) or is the name in a reference or a tag. In an
+assignment that names a credential the whole quoted value counts, whatever signs
+break it. Where the context itself names a password, short
 residuals and plain words with digits count too.
 
 Defined results: a null or empty text has no credential and stays as it is; a
@@ -42,9 +44,7 @@ NAMED, ASSIGNED, FREE = 9, 12, 16
 PLACEHOLDER = "REDACTED"
 
 _WORDS = re.compile(r"[A-Z]?[a-z]{2,}|[A-Z]{3,}(?![a-z])")
-_LITERAL = re.compile(
-    r"(?<![A-Za-z0-9+/_\-])(?=[A-Za-z+/_\-]*\d|(?:[A-Za-z+/_\-]*?[a-z][A-Z]){4})[A-Za-z0-9+/_\-]{10,}={0,2}(?:\.[A-Za-z0-9_\-]{10,}){0,2}"
-)
+_LITERAL = re.compile(r"(?<![A-Za-z0-9+/_\-])[A-Za-z0-9+/_\-]{10,}={0,2}(?:\.[A-Za-z0-9_\-]{10,}){0,2}")
 _PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]+)-----(?:.*?-----END \1-----|[A-Za-z0-9+/=\s\\]*)", re.S)
 _UUID = re.compile(r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}\Z")
 _HEX = re.compile(r"(?:[0-9a-f]+|[0-9A-F]+)\Z")
@@ -70,10 +70,17 @@ _LOGIN_NOTE = re.compile(r"\blogin\s+\S+\s*/\s*(?P<v>\S+)", re.I)
 _ARGUMENT = re.compile(r"(?:\blogin\s*\([^,)\n]*,|\bidentified\s+by|\bsshpass\s+-p|--?pass(?:word)?)\s*[\"'](?P<v>[^\"'\n]+)[\"']", re.I)
 _SCHEME = re.compile(r"\b(?:Bearer|Basic)\s+(?P<v>[A-Za-z0-9+/_\-.=]{12,})")
 _QUERY = re.compile(r"[?&](?:\w*(?:key|token|sig|signature|secret|password|auth|code))=(?P<v>[^&\s\"'`<>)]{8,})", re.I)
+_CREDENTIAL = re.compile(
+    r"(?:secret|token|api[_.\-]?key|(?:signing|access|private|encryption|licen[cs]e)[_.\-]?key|auth|credential)[\w.\-]*[\"'`]?\]?(?:\s*:\s*\w+)?\s*(?:=>|:=|=|:)\s*"
+    r"(?:\"(?P<d>[^\"\n]{10,})\"|'(?P<s>[^'\n]{10,})'|`(?P<b>[^`\n]{10,})`)",
+    re.I,
+)
 _JOINED = re.compile(r"(?P<q>[\"'`])(?P<a>[A-Za-z0-9+/_\-=]{4,})(?P=q)\s*(?:\+|\.|\\\n)?\s*(?P=q)(?P<b>[A-Za-z0-9+/_\-=]{4,})(?P=q)")
 _REFERENCE = re.compile(
     r"\$\{|\$\(|\$[A-Za-z_]|%\w+%|%\(|\{\{|\{|<|@|(?:os|process|System|var|env|local|data|config|settings|secrets?|module|self|this)[.\[(]|getenv|ENV\[|[a-z][a-z0-9+.\-]*://", re.I
 )
+#: What stands before the name of a variable or a tag.
+_NAMING = re.compile(r"(?:\$[{(]?|\{\{\s*|%\(|</?)\Z")
 _DUMMY = re.compile(
     r"(?:[x*.#\-_0]+|change[\-_ ]?me\w*|your[\-_ ].*|.*[\-_ ]here|example\w*|placeholder|todo|tbd|none|null|nil|true|false|redacted\w*|dummy|secret|password|\w+-credentials|<.*>|\d+)\Z", re.I
 )
@@ -116,7 +123,11 @@ class Segmenter:
 
     def __init__(self, prices: dict[str, float]) -> None:
         self.prices = prices
-        self.longest = max(map(len, prices), default=0)
+        # lengths of the words that end in the same two letters
+        ends: dict[str, set[int]] = {}
+        for w in prices:
+            ends.setdefault(w[-2:], set()).add(len(w))
+        self.ends = {e: sorted(sizes) for e, sizes in ends.items()}
         self.memo: dict[str, tuple[int, int]] = {}
 
     def residual(self, literal: str) -> tuple[int, int]:
@@ -127,10 +138,12 @@ class Segmenter:
         s, n = literal.lower(), len(literal)
         best = [0.0] * (n + 1)
         step = [1] * (n + 1)
-        prices, longest = self.prices, self.longest
+        prices, ends = self.prices, self.ends
         for i in range(1, n + 1):
             low, back = best[i - 1] + (UNKNOWN if s[i - 1].isalnum() else 1.0), 1
-            for size in range(2, min(longest, i) + 1):
+            for size in ends.get(s[i - 2 : i], ()) if i > 1 else ():
+                if size > i:
+                    break
                 price = prices.get(s[i - size : i])
                 if price is not None and best[i - size] + price < low:
                     low, back = best[i - size] + price, size
@@ -218,6 +231,11 @@ class Scanner:
             for m in _SCHEME.finditer(text):
                 if self.scheme_value(m["v"]):
                     found.append(m.span("v"))
+        if "secret" in low or "token" in low or "key" in low or "auth" in low or "credential" in low:
+            for m in _CREDENTIAL.finditer(text):
+                start, end = m.span(m.lastgroup)
+                if not (closed and inside(start)) and self.quoted(text[start:end], text, start):
+                    found.append((start, end))
         for m in _JOINED.finditer(text):
             both = m["a"] + m["b"]
             if not inside(m.start()) and self.secret(both, text, m.start("a")):
@@ -240,6 +258,15 @@ class Scanner:
             pass
         return self.segment(value)[0] >= NAMED
 
+    def quoted(self, value: str, text: str, start: int) -> bool:
+        """Whether the whole value of an assignment that names a credential is one; signs may break it anywhere."""
+        if _REFERENCE.match(value) or _DUMMY.match(value):
+            return False
+        left, letters = self.segment(value)
+        if left < NAMED or letters < 3 or left * 2 < sum(map(str.isalnum, value)):
+            return False
+        return not self.harmless(value, text[max(text.rfind("\n", 0, start) + 1, start - 90) : start])
+
     def secret(self, value: str, text: str, start: int) -> bool:
         """Whether a literal's residual is long enough for the context before it."""
         left, letters = self.segment(value)
@@ -247,7 +274,7 @@ class Scanner:
             return False
         line = text.rfind("\n", 0, start) + 1
         before = text[max(line, start - 90) : start]
-        if self.harmless(value, before):
+        if self.harmless(value, before) or (_NAMING.search(before) and value.replace("_", "").isalpha()):
             return False
         if _NAMES.search(before[-48:]) or _COMMENT_CUES.search(before):
             return left >= NAMED

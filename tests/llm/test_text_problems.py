@@ -138,6 +138,22 @@ def test_credentials_and_what_looks_like_them():
     assert secret_lines(text) == [1, 6, 7, 9, 16]
 
 
+def test_credentials_of_letters_only_or_broken_by_signs():
+    text = "\n".join(
+        [
+            'private static final String accessToken = "ULLKNXHNXRFUSNXNQKZG";',
+            "SECRET_KEY = 'k9$q!x7@m#z4&w2%v8'",
+            'apiKey: string = "qzx!vkw?pjh!tbn?gdf"',
+            "return getBlueHorseFromHorseBlueHorse(blueHorseBlue)",
+            'token = "blue horse, blue horse, blue horse"',
+            'secret = "${SECRET_OF_THE_HORSE}"',
+            "qzxvkwpjhtbng is short enough to stand alone",
+        ]
+    )
+    prices = {w: 3.0 for w in ("blue", "horse", "get", "from", "return", "short", "enough", "stand", "alone")}
+    assert secret_lines(text, prices) == [1, 2, 3]
+
+
 def test_residual_of_words_is_empty():
     prices = {"blue": 2.0, "horse": 2.0}
     assert P7.Segmenter(prices).residual("blueHorse") == (0, 0)
