@@ -223,7 +223,10 @@ def _prefixes(texts: DataFrame, sketch: np.ndarray) -> DataFrame:
 
 
 def _candidates(prefixes: DataFrame) -> DataFrame:
-    """Pairs of classes that share at least ``SHARED`` prefix sequences under length and positional filters."""
+    """Pairs of classes that share enough prefix sequences under length and positional filters.
+
+    Enough are ``SHARED``, or all that the threshold asks of a pair of smaller sets.
+    """
     rows = prefixes.repartition("seq").dropDuplicates(["seq", "cls"])
     x = rows.where("indexed").select("seq", F.col("cls").alias("a"), F.col("size").alias("m"), F.col("pos").alias("i"))
     y = rows.select("seq", F.col("cls").alias("b"), F.col("size").alias("n"), F.col("pos").alias("j"))
@@ -236,7 +239,9 @@ def _candidates(prefixes: DataFrame) -> DataFrame:
         & (F.col("m") * t.denominator >= F.col("n") * t.numerator)
         & (best * q >= (F.col("m") + F.col("n")) * p)
     )
-    return x.join(y, (x["seq"] == y["seq"]) & near).groupBy("a", "b").agg(F.count("*").alias("common")).where(F.col("common") >= SHARED).select("a", "b")
+    met = x.join(y, (x["seq"] == y["seq"]) & near).groupBy("a", "b").agg(F.count("*").alias("common"), F.first("m").alias("m"), F.first("n").alias("n"))
+    least = F.least(F.lit(SHARED), F.ceil((F.col("m") + F.col("n")) * p / q))
+    return met.where(F.col("common") >= least).select("a", "b")
 
 
 def similar(a: np.ndarray, b: np.ndarray, threshold: Fraction = THRESHOLD) -> bool:

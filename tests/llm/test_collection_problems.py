@@ -119,6 +119,14 @@ def test_similar_pairs_equal_brute_force(spark):
     assert set(groups) == set(sets) and all(groups[a] == groups[b] for a, b in want)
 
 
+def test_cyclic_texts_share_few_sequences(spark):
+    words = [["ha"] * 20, ["ha"] * 25, ["buy", "now"] * 10, ["buy", "now"] * 11 + ["buy"], ["a", "b", "c"] * 7, ["a", "b", "c"] * 8, ["ha"] * 21 + ["no"], ["x", "y", "z", "x"] * 6, ["ha"] * 20 + ["so", "ha", "ha"]]
+    rows = [(f"n{i}", "turn", "", " ".join(w), None, None, i, 0) for i, w in enumerate(words)]
+    sets = [{tuple(w[i : i + 3]) for i in range(len(w) - 2)} for w in words]
+    want = {(f"n{i}", f"n{j}") for i, j in itertools.combinations(range(len(words)), 2) if 2 * len(sets[i] & sets[j]) >= len(sets[i] | sets[j])}
+    assert {tuple(r) for r in P4.similar_pairs(spark.createDataFrame(rows, NODES)).collect()} == want and len(want) >= 4
+
+
 def test_many_exact_copies_are_listed_with_their_representative(spark):
     text = " ".join(f"t{i}" for i in range(30))
     n = P4.EXPAND + 20
