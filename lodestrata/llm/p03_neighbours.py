@@ -42,10 +42,10 @@ SAMPLE_ROWS = 8_000
 BLOCK_ROWS = 16_384
 #: Rows of a tree's leaf.
 LEAF_ROWS = 512
+#: Error of an angle in single precision, at most (near zero).
+ROUNDING = 1e-3
 #: Default relaxation of the triangle inequality.
 RELAX = 0.3
-#: Candidates above k that a block keeps, for ties.
-SPARE = 4
 #: Default share that a shell may hold of the smaller side for a router split.
 SHELL = 0.6
 
@@ -183,7 +183,10 @@ class VantageTree:
         return (v, bounds, self._grow(x, rows[near]), self._grow(x, rows[~near]))
 
     def search(self, queries: np.ndarray, node: np.ndarray, own: np.ndarray, k: int, relax: float, max_angle: float) -> tuple[np.ndarray, np.ndarray]:
-        """(cosine, row) of the k best of each query, -2 where there are fewer; rows of the query's own node are left out."""
+        """(cosine, row) of the k best of each query, -2 where there are fewer; rows of the query's own node are left out.
+
+        Of equal cosines the smaller rows come first, so rows in the order of their ids give ties by id.
+        """
         raw = queries.astype(np.float32)
         norms = np.linalg.norm(raw.astype(np.float64), axis=1)
         q = (raw / norms[:, None]).astype(np.float32)
@@ -210,7 +213,7 @@ class VantageTree:
             if len(rows):
                 worst = np.arccos(np.clip(self.best[rows, -1], -1, 1))
                 reach = np.where(self.best[rows, -1] > -2, np.minimum(worst, max_angle), max_angle)
-                self._visit(child, q, raw, norms, node, own, rows[gap[mask] <= relax * reach], k, relax, max_angle)
+                self._visit(child, q, raw, norms, node, own, rows[gap[mask] <= relax * reach + ROUNDING], k, relax, max_angle)
 
     def _leaf(self, rows, raw, norms, node, own, at, k) -> None:
         # whole numbers below 2^24 in single precision: the products are exact
@@ -220,17 +223,23 @@ class VantageTree:
         s[own[at][:, None] == node[rows][None]] = -2
         np.putmask(s, s < self.floor, -2)
         keep = min(k, len(rows))
-        hot = np.flatnonzero((s.max(1) > self.best[at, -1]) if keep else np.zeros(len(at), bool))
+        most = s.max(1) if keep else np.full(len(at), -2.0)
+        hot = np.flatnonzero((most >= self.best[at, -1]) & (most > -2))
         if not len(hot):
             return
         s, at = s[hot], at[hot]
         if keep < len(rows):
             top = np.argpartition(-s, keep - 1, axis=1)[:, :keep]
+            last = np.take_along_axis(s, top, 1).min(1)[:, None]
+            for i in np.flatnonzero((s >= last).sum(1) > keep):
+                # a tie at the cut goes to the smallest rows (a leaf's are in order)
+                above, equal = np.flatnonzero(s[i] > last[i]), np.flatnonzero(s[i] == last[i])
+                top[i] = np.r_[above, equal[: keep - len(above)]]
         else:
             top = np.tile(np.arange(len(rows)), (len(at), 1))
         both = np.concatenate([self.best[at], np.take_along_axis(s, top, 1)], 1)
         who = np.concatenate([self.who[at], rows[top]], 1)
-        order = np.argsort(-both, axis=1, kind="stable")[:, :k]
+        order = np.lexsort((who, -both), axis=1)[:, :k]
         self.best[at] = np.take_along_axis(both, order, 1)
         self.who[at] = np.take_along_axis(who, order, 1)
 
@@ -321,9 +330,9 @@ def nearest(entries: DataFrame, k: int = K, relax: float = RELAX, min_cosine: fl
         return spread.select("model", "leaf", F.col(held_block).alias("h"), F.col(asks_block).alias("a"), F.lit(asks_).alias("asks"), "id", "node_id", "vector")
 
     met = block(held, "n_held", "n_asks", False).unionByName(block(asks, "n_asks", "n_held", True))
-    keep = k + SPARE
 
     def answer(table: pa.Table) -> pa.Table:
+        table = table.sort_by("id")
         asking_ = np.array(table.column("asks").to_pylist(), bool)
         ids = np.array(table.column("id").to_pylist(), object)
         _, node = np.unique(np.array(table.column("node_id").to_pylist(), object).astype(str), return_inverse=True)
@@ -332,7 +341,7 @@ def nearest(entries: DataFrame, k: int = K, relax: float = RELAX, min_cosine: fl
         hits: list[list[dict]] = []
         if asking_.any() and not asking_.all():
             tree = VantageTree(x[~asking_])
-            best, who = tree.search(x[asking_], node[~asking_], node[asking_], keep, relax, max_angle)
+            best, who = tree.search(x[asking_], node[~asking_], node[asking_], k, relax, max_angle)
             held_ids = ids[~asking_]
             for i, name in enumerate(ids[asking_]):
                 found = [{"c": -float(c), "i": held_ids[j]} for c, j in zip(best[i], who[i]) if c > -2]
@@ -389,6 +398,7 @@ def brute_force(entries: DataFrame, k: int = K, asking: Column | None = None) ->
     )
 
     def answer(table: pa.Table) -> pa.Table:
+        table = table.sort_by("id")
         asks = np.array(table.column("asks").to_pylist(), bool)
         ids = np.array(table.column("id").to_pylist(), object)
         node = np.array(table.column("node_id").to_pylist(), object)
@@ -400,7 +410,7 @@ def brute_force(entries: DataFrame, k: int = K, asking: Column | None = None) ->
             s[node[asks][:, None] == node[~asks][None]] = -2
             held_ids = ids[~asks]
             for i, name in enumerate(ids[asks]):
-                out += [(name, -s[i, j], held_ids[j]) for j in np.argsort(-s[i], kind="stable")[: k + SPARE] if s[i, j] > -2]
+                out += [(name, -s[i, j], held_ids[j]) for j in np.argsort(-s[i], kind="stable")[:k] if s[i, j] > -2]
         return pa.table([pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.float64()), pa.array([o[2] for o in out], pa.string())], names=["id", "c", "i"])
 
     found = met.groupBy("model", "h", "b").applyInArrow(answer, "id string, c double, i string")

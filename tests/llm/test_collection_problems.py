@@ -76,6 +76,26 @@ def test_tree_answers_exactly():
     assert np.allclose(best, -np.sort(-s, axis=1)[:, :6], atol=1e-5)
 
 
+def test_ties_at_the_cut_go_to_the_smallest_ids(spark):
+    rng = np.random.default_rng(6)
+    rows, k = [], 0
+    for _ in range(4):  # all signs of one pattern: many equal cosines, no equal vectors
+        base = rng.integers(1, 60, 2)
+        for bits in itertools.product((1, -1), repeat=6):
+            v = np.r_[base, np.array(bits) * 7].astype(np.int8)
+            rows.append((int(rng.integers(0, 1 << 40)) * 1000 + k, f"n{k}", v.tobytes(), 0.1, "toy-8"))
+            k += 1
+    copy = rng.integers(-40, 41, 8).astype(np.int8).tobytes()
+    rows += [(9000 + i, f"c{i}", copy, 0.1, "toy-8") for i in range(40)]
+    near = rng.integers(-40, 41, 8).astype(np.int8) // 9 + np.frombuffer(copy, np.int8)
+    rows.append((5, "asks", near.astype(np.int8).tobytes(), 0.1, "toy-8"))
+    got = collections.defaultdict(list)
+    for r in P3.nearest(entries(spark, rows), k=10, relax=1.0).orderBy("id", "rank").collect():
+        got[r["id"]].append((round(r["cosine"], 6), r["neighbour"]))
+    assert dict(got) == brute_neighbours(rows, 10)
+    assert [j for _, j in got[f"{5:032x}"]] == [f"{9000 + i:032x}" for i in range(10)]
+
+
 def test_divisible(spark):
     ids = [f"{n:032x}" for n in (0, 50, 51, 50 * 16**20, 50 * 16**20 + 7)]
     df = spark.createDataFrame([(i,) for i in ids], "id string")
