@@ -417,6 +417,15 @@ def sequence_calls(spark, d):
     return C.sequence_calls(_functions(spark, d).where("ord <= 400"))
 
 
+@query(
+    f"""WITH {Q.FUNCTIONS}
+SELECT DISTINCT regexp_replace(src, '[^a-zA-Z0-9_]', '_', 'g') AS src, regexp_replace(dst, '[^a-zA-Z0-9_]', '_', 'g') AS dst, split_part(dst, '.', -1) AS message FROM calls WHERE dst IN (SELECT key FROM functions) AND src <> dst"""
+)
+def sequence_calls_all(spark, d):
+    # sequence_calls and its SQL are held to a part of the graph; this is all of it
+    return C.sequence_calls(_functions(spark, d))
+
+
 @query(f"WITH {Q.FUNCTIONS} SELECT f.key, c.dst AS callee, coalesce(g.filepath, '(external)') AS location FROM functions f JOIN calls c ON c.src = f.key LEFT JOIN functions g ON g.key = c.dst WHERE starts_with(f.key, 'mod_5.')")
 def callee_locations(spark, d):
     f = _functions(spark, d)

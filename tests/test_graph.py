@@ -9,6 +9,7 @@ from lodestrata.operators import fulltext as X
 from lodestrata.operators import graphstore as G
 from lodestrata.operators import lexical as L
 from lodestrata.operators import repositories as R
+from lodestrata.plans import catalog
 
 NODE = "id string, node_type string, label string, text string, path string, metadata string, ord bigint"
 EDGE = "src string, dst string, edge_type string, weight double, metadata string, ord bigint"
@@ -124,6 +125,15 @@ def test_call_graph(functions, spark):
     assert "m_main->>+m_greet: greet" in C.sequence(C.enrich(functions, "/r/m.py", "main"), "m.main")
 
 
+def test_sequence_calls_of_the_whole_graph(spark, tmp_path):
+    n = 900
+    spark.range(1, n + 1).select(F.col("id").alias("p_partkey")).write.parquet(f"{tmp_path}/part.parquet")
+    name = lambda k: f"mod_{k % 97}_fn_{k}"
+    links = [(p, (7 * p + 3) % n + 1) for p in range(1, n + 1) if p % 4] + [(p, (13 * p + 1) % n + 1) for p in range(5, n + 1, 5)]
+    want = {(name(a), name(b), f"fn_{b}") for a, b in links if a != b}
+    assert {tuple(r) for r in catalog.QUERIES["sequence_calls_all"](spark, str(tmp_path)).collect()} == want
+
+
 def test_reachable_equals_search(spark):
     rng = random.Random(6)
     links = {i: [rng.randrange(60) for _ in range(rng.randint(0, 2))] for i in range(60)}
