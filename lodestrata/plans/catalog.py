@@ -322,6 +322,12 @@ def excerpt(spark, d):
     return plain.select("id", L.excerpt("c", "cache", 120).alias("excerpt"))
 
 
+@query()
+def excerpt_all(spark, d):
+    # excerpt and its SQL are held to ASCII texts that have the word; these are all memories
+    return _nodes(spark, d).where("node_type = 'memory' and text is not null").select("id", L.excerpt("text", "cache", 120).alias("excerpt"))
+
+
 @query(
     f"""WITH {Q.NODES}, {Q.EDGES}, h AS (SELECT node_id AS id, row_number() OVER (ORDER BY s DESC, node_id) AS rank FROM (SELECT node_id, max(CASE WHEN isnan(score) THEN NULL ELSE score END) AS s FROM search_results WHERE query_id = 1 GROUP BY 1) WHERE s IS NOT NULL QUALIFY row_number() OVER (ORDER BY s DESC, node_id) <= 18),
 {Q.BOTH}, best AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY weight DESC NULLS LAST, ord) AS r FROM both_ways WHERE edge_type IN {Q.EVIDENCE} AND id IN (SELECT id FROM h)),
@@ -691,6 +697,16 @@ def session_text(spark, d):
     return s.join(t.groupBy("session_id").agg(F.count("*").alias("turns")), "session_id").select("session_id", "turns", F.length("text").alias("chars"))
 
 
+@query()
+def session_text_all(spark, d):
+    # session_text and its SQL are held to short sessions without repeats; these are all sessions
+    from lodestrata.sources import sessions as N
+
+    t = table(spark, d, "session_messages").select("session_id", "ord", T.message_text("content").alias("content")).where(F.col("session_id").isNotNull() & T.filled("content"))
+    s = N.session_texts(t, "session_id", "content", "ord")
+    return s.join(t.groupBy("session_id").agg(F.count("*").alias("turns")), "session_id").select("session_id", "turns", F.length("text").alias("chars"))
+
+
 @query("SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users, round(sum(value), 4) AS total FROM events GROUP BY 1")
 def events_autoingest(spark, d):
     from lodestrata.streaming import ingest as I  # noqa: E741

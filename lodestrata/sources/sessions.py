@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from lodestrata.functions import text as T
 
@@ -18,14 +22,30 @@ def next_chain(turns: DataFrame, group: list[str], order: str, id_: str | None =
 def session_texts(turns: DataFrame, session: str, text: str, order: str, cut: int = SESSION_CUT) -> DataFrame:
     """``session``, ``text``: turn texts in order, those already contained left out, one per line, cut at ``cut``.
 
-    The text is bounded by ``cut``, so turns after it is full are left out of
-    the collected list by their running length.
+    Turns pass in order, and only the text of the session at hand is held. Once
+    that is ``cut`` long, what follows would be cut off.
     """
-    before = Window.partitionBy(session).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    kept = turns.where(T.filled(text)).withColumn("_n", F.coalesce(F.sum(F.length(text)).over(before), F.lit(0))).where(F.col("_n") < cut * 8)
-    parts = F.transform(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(text).alias("t")))), lambda s: s["t"])
-    joined = F.aggregate(parts, F.lit(""), lambda a, t: F.when(a == "", t).when(F.contains(a, t), a).otherwise(F.concat(a, F.lit("\n"), t)))
-    return kept.groupBy(session).agg(F.substring(joined, 1, cut).alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, joined, started = None, "", False
+        for batch in batches:
+            done: list[tuple] = []
+            for key, t in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
+                if not started or key != at:
+                    if started:
+                        done.append((at, joined[:cut]))
+                    at, joined, started = key, t, True
+                elif len(joined) < cut and t not in joined:
+                    joined += "\n" + t
+            if done:
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in done], batch.column(0).type), pa.array([t for _, t in done], pa.string())], names=[session, "text"])
+            kind = batch.column(0).type
+        if started:
+            yield pa.RecordBatch.from_arrays([pa.array([at], kind), pa.array([joined[:cut]], pa.string())], names=[session, "text"])
+
+    rows = turns.where(T.filled(text)).select(F.col(session).alias("s"), F.col(order).alias("o"), F.col(text).alias("t"))
+    schema = StructType([StructField(session, turns.schema[session].dataType), StructField("text", StringType())])
+    return rows.repartition("s").sortWithinPartitions("s", "o", "t").mapInArrow(run, schema)
 
 
 def parse_records(files: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 import json
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,6 +9,7 @@ from lodestrata.api import Engine
 from lodestrata.operators import evalbench as B
 from lodestrata.operators import semantic as S
 from lodestrata.operators import vectors as V
+from lodestrata.plans import catalog
 from lodestrata.sources import code, files, sessions, store
 from lodestrata.streaming import ingest
 
@@ -53,6 +55,37 @@ def test_knowledge_path(spark, tmp_path):
         files.knowledge_path(spark, str(tmp_path) + "/none")
 
 
+def test_texts_of_all_sessions(spark, tmp_path):
+    rng = random.Random(8)
+    said = [(f"s{i % 9}", k, rng.choice(["", "again and ", "é "]) + " ".join(rng.choice("abcd") * 3 for _ in range(rng.randint(1, 3)))) for k, i in enumerate(rng.choices(range(40), k=400))]
+    said += [("long", 1000 + k, "the same turn once more") for k in range(300)] + [("long", 2000, "and a new one"), ("long", 2001, "turn once")]
+    said += [("parts", 3000, '[{"type":"text","text":"one"}]'), ("parts", 3001, "one"), ("parts", 3002, "  "), ("parts", 3003, None), (None, 3004, "no session")]
+    spark.createDataFrame(said, "session_id string, ord bigint, content string").repartition(3).write.parquet(f"{tmp_path}/session_messages.parquet")
+    want, turns, texts = {}, {}, {}
+    for s, _, t in said:
+        t = "one" if t and t.startswith("[") else t
+        if s and t and t.strip():
+            turns[s] = turns.get(s, 0) + 1
+            texts[s] = t if s not in texts else texts[s] if t in texts[s] else texts[s] + "\n" + t
+    want = {(s, turns[s], len(texts[s])) for s in texts}
+    assert {tuple(r) for r in catalog.QUERIES["session_text_all"](spark, str(tmp_path)).collect()} == want
+    # turns that add nothing don't use up the room for later ones
+    df = spark.createDataFrame([r for r in said if r[0] == "long"], "s string, o bigint, t string")
+    assert [tuple(r) for r in sessions.session_texts(df, "s", "t", "o", cut=40).collect()] == [("long", "the same turn once more\nand a new one")]
+    assert [tuple(r) for r in sessions.session_texts(df, "s", "t", "o", cut=26).collect()] == [("long", "the same turn once more\nan")]
+    assert sessions.session_texts(df.limit(0), "s", "t", "o").count() == 0
+
+
+def test_excerpts_of_all_memories(spark, tmp_path):
+    texts = {"a": "\u00a0 Größe des Speichers \n", "b": "ñ" * 200 + " the CACHE " + "é" * 200, "c": "ö" * 300, "d": "", "e": " cache ", "f": "x" * 150 + " caché " + "y" * 150}
+    want = {"a": "Größe des Speichers", "b": "…" + "ñ" * 35 + " " + "the CACHE " + "é" * 74 + "…", "c": "ö" * 120, "d": "", "e": "cache"}
+    rows = [(i, "memory", "", t, None, "{}", k) for k, (i, t) in enumerate(texts.items())]
+    spark.createDataFrame([*rows, ("n", "memory", "", None, None, "{}", 90), ("t", "turn", "", "cache", None, "{}", 91)], NODE).write.parquet(f"{tmp_path}/knowledge_nodes.parquet")
+    spark.createDataFrame([], NODE).write.parquet(f"{tmp_path}/shared_nodes.parquet")
+    got = {r["id"]: r["excerpt"] for r in catalog.QUERIES["excerpt_all"](spark, str(tmp_path)).collect()}
+    assert set(got) == set(texts) and {i: got[i] for i in want} == want
+
+
 def test_archive_prompts_repository(spark, tmp_path):
     write(tmp_path, "r/1/meta.json", {"sessionID": "9", "status": "completed", "headline": "Talk", "keywords": ["MuSig 2", "ab"], "startedAt": "2026-01-01T00:00:00Z"})
     write(tmp_path, "r/1/transcript.txt", "We spoke.")
