@@ -3,7 +3,8 @@
 A router, itself an unbalanced vantage-point tree fitted on a bounded sample,
 cuts the collection into shards (its vantage points are centres of dense
 regions, its radii lie in the sparsest shell around them). Every row goes to one
-shard; a query visits the shards that the triangle inequality can't rule out.
+shard; a query first asks the shard it lies in, and with the distance of its k-th
+best there the other shards that the triangle inequality can't rule out.
 Within a shard rows and queries meet in blocks of bounded size; each block
 builds a vantage-point tree and answers its queries in batches.
 
@@ -68,7 +69,6 @@ class Router:
     inner: list[int] = field(default_factory=list)
     outer: list[int] = field(default_factory=list)
     leaves: int = 1
-    reach: np.ndarray = field(default_factory=lambda: np.full(1, np.pi))
 
     def walk(self, d: np.ndarray, slack: np.ndarray) -> np.ndarray:
         """Which leaves (columns) each row may have to visit, given distances to all points."""
@@ -147,14 +147,8 @@ def fit_router(sample: np.ndarray, seed: int = 7, slack: float = 0.12, tries: in
         grow(np.arange(len(sample)))
     else:
         leaf_rows.append(np.zeros(0, int))
-    reach = np.full(len(leaf_rows), np.pi / 2)
-    for i, rows in enumerate(leaf_rows):
-        if len(rows) > K:
-            some = rows[:1000]
-            d = np.sort(angles(sample[some], sample[rows]), axis=1)[:, K]
-            reach[i] = np.quantile(d, 0.9)
     dims = sample.shape[1] if sample.ndim == 2 else 0
-    return Router(np.array(points).reshape(-1, dims), np.array(radius), inner, outer, len(leaf_rows), reach)
+    return Router(unit(np.array(points, np.float64).reshape(-1, dims)), np.array(radius), inner, outer, len(leaf_rows))
 
 
 class VantageTree:
@@ -182,16 +176,17 @@ class VantageTree:
         bounds = (d[near].min(), d[near].max(), d[~near].min(), d[~near].max())
         return (v, bounds, self._grow(x, rows[near]), self._grow(x, rows[~near]))
 
-    def search(self, queries: np.ndarray, node: np.ndarray, own: np.ndarray, k: int, relax: float, max_angle: float) -> tuple[np.ndarray, np.ndarray]:
+    def search(self, queries: np.ndarray, node: np.ndarray, own: np.ndarray, k: int, relax: float, max_angle: float | np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(cosine, row) of the k best of each query, -2 where there are fewer; rows of the query's own node are left out.
 
-        Of equal cosines the smaller rows come first, so rows in the order of their ids give ties by id.
+        ``max_angle`` may be one for each query. Of equal cosines the smaller rows come first, so rows in the order of their ids give ties by id.
         """
         raw = queries.astype(np.float32)
         norms = np.linalg.norm(raw.astype(np.float64), axis=1)
         q = (raw / norms[:, None]).astype(np.float32)
         self.best = np.full((len(q), k), -2.0)
         self.who = np.full((len(q), k), -1, np.int64)
+        max_angle = np.broadcast_to(max_angle, len(q))
         self.floor = np.cos(max_angle) - 1e-9
         self._visit(self.root, q, raw, norms, node, own, np.arange(len(q)), k, relax, max_angle)
         return self.best, self.who
@@ -212,7 +207,7 @@ class VantageTree:
             rows = at[mask]
             if len(rows):
                 worst = np.arccos(np.clip(self.best[rows, -1], -1, 1))
-                reach = np.where(self.best[rows, -1] > -2, np.minimum(worst, max_angle), max_angle)
+                reach = np.where(self.best[rows, -1] > -2, np.minimum(worst, max_angle[rows]), max_angle[rows])
                 self._visit(child, q, raw, norms, node, own, rows[gap[mask] <= relax * reach + ROUNDING], k, relax, max_angle)
 
     def _leaf(self, rows, raw, norms, node, own, at, k) -> None:
@@ -221,7 +216,7 @@ class VantageTree:
         s /= self.norm[rows][None]
         s /= norms[at][:, None]
         s[own[at][:, None] == node[rows][None]] = -2
-        np.putmask(s, s < self.floor, -2)
+        np.putmask(s, s < self.floor[at][:, None], -2)
         keep = min(k, len(rows))
         most = s.max(1) if keep else np.full(len(at), -2.0)
         hot = np.flatnonzero((most >= self.best[at, -1]) & (most > -2))
@@ -303,33 +298,38 @@ def nearest(entries: DataFrame, k: int = K, relax: float = RELAX, min_cosine: fl
                 for m in dict.fromkeys(models):
                     part = batch.filter(pa.array(models == m))
                     router = routers.value.get(m) or Router(np.zeros((0, 1)), np.zeros(0))
-                    x = unit(_stack(part.column(3)))
+                    x = unit(_stack(part.column(3)).astype(np.float64))
                     home = router.home(x)
-                    if asks and len(router.inner):
-                        slack = relax * np.minimum(router.reach[home], max_angle)
-                        visits = router.walk(angles(x, router.points), slack)
+                    if asks:
+                        # shards but the own one that may hold something as near as the k-th best
+                        slack = relax * np.array(part.column(4)) + 1e-6
+                        visits = router.walk(angles(x, router.points) if len(router.inner) else np.zeros((len(x), 0)), slack)
+                        visits[np.arange(len(x)), home] = False
                         row, leaf = np.nonzero(visits)
                     else:
                         row, leaf = np.arange(len(x)), home
                     taken = part.take(pa.array(row))
-                    yield pa.RecordBatch.from_arrays([*taken.columns[:4], pa.array(leaf.astype(np.int32))], names=["id", "node_id", "model", "vector", "leaf"])
+                    yield pa.RecordBatch.from_arrays([*taken.columns[:5], pa.array(leaf.astype(np.int32))], names=["id", "node_id", "model", "vector", "bound", "leaf"])
 
         return run
 
-    schema = "id string, node_id string, model string, vector binary, leaf int"
-    shape = ["id", "node_id", "model", "vector"]
-    held = staged(kept.select(shape).mapInArrow(route(False), schema), "shards")
-    asks = staged(queries.select(shape).mapInArrow(route(True), schema), "visits")
+    schema = "id string, node_id string, model string, vector binary, bound double, leaf int"
+    shape = ["id", "node_id", "model", "vector", "bound"]
+    anywhere = F.lit(max_angle).alias("bound")
+    held = staged(kept.withColumn("bound", anywhere).select(shape).mapInArrow(route(False), schema), "shards")
     count = lambda df, name: df.groupBy("model", "leaf").agg(F.ceil(F.count("*") / F.lit(BLOCK_ROWS)).cast("int").alias(name))
-    grid = count(held, "n_held").join(count(asks, "n_asks"), ["model", "leaf"])
+    n_held = count(held, "n_held")
+    def meet(asks: DataFrame) -> DataFrame:
+        grid = n_held.join(count(asks, "n_asks"), ["model", "leaf"])
 
-    def block(df: DataFrame, own: str, other: str, asks_: bool) -> DataFrame:
-        mine = F.pmod(F.xxhash64("id"), F.col(own)).cast("int")
-        spread = df.join(grid, ["model", "leaf"]).withColumn("_mine", mine).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
-        held_block, asks_block = ("_other", "_mine") if asks_ else ("_mine", "_other")
-        return spread.select("model", "leaf", F.col(held_block).alias("h"), F.col(asks_block).alias("a"), F.lit(asks_).alias("asks"), "id", "node_id", "vector")
+        def block(df: DataFrame, own: str, other: str, asks_: bool) -> DataFrame:
+            mine = F.pmod(F.xxhash64("id"), F.col(own)).cast("int")
+            spread = df.join(grid, ["model", "leaf"]).withColumn("_mine", mine).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
+            held_block, asks_block = ("_other", "_mine") if asks_ else ("_mine", "_other")
+            return spread.select("model", "leaf", F.col(held_block).alias("h"), F.col(asks_block).alias("a"), F.lit(asks_).alias("asks"), "id", "node_id", "vector", "bound")
 
-    met = block(held, "n_held", "n_asks", False).unionByName(block(asks, "n_asks", "n_held", True))
+        met = block(held, "n_held", "n_asks", False).unionByName(block(asks, "n_asks", "n_held", True))
+        return met.groupBy("model", "leaf", "h", "a").applyInArrow(answer, "id string, hits array<struct<c:double,i:string>>")
 
     def answer(table: pa.Table) -> pa.Table:
         table = table.sort_by("id")
@@ -341,7 +341,8 @@ def nearest(entries: DataFrame, k: int = K, relax: float = RELAX, min_cosine: fl
         hits: list[list[dict]] = []
         if asking_.any() and not asking_.all():
             tree = VantageTree(x[~asking_])
-            best, who = tree.search(x[asking_], node[~asking_], node[asking_], k, relax, max_angle)
+            bound = np.array(table.column("bound"))[asking_]
+            best, who = tree.search(x[asking_], node[~asking_], node[asking_], k, relax, bound)
             held_ids = ids[~asking_]
             for i, name in enumerate(ids[asking_]):
                 found = [{"c": -float(c), "i": held_ids[j]} for c, j in zip(best[i], who[i]) if c > -2]
@@ -351,8 +352,17 @@ def nearest(entries: DataFrame, k: int = K, relax: float = RELAX, min_cosine: fl
         kind = pa.list_(pa.struct([("c", pa.float64()), ("i", pa.string())]))
         return pa.table([pa.array(out_id, pa.string()), pa.array(hits, kind)], names=["id", "hits"])
 
-    parts = met.groupBy("model", "leaf", "h", "a").applyInArrow(answer, "id string, hits array<struct<c:double,i:string>>")
-    merged = parts.groupBy("id").agg(F.slice(F.sort_array(F.flatten(F.collect_list("hits"))), 1, k).alias("hits"))
+    def merge(parts: DataFrame) -> DataFrame:
+        return parts.groupBy("id").agg(F.slice(F.sort_array(F.flatten(F.collect_list("hits"))), 1, k).alias("hits"))
+
+    at_home = staged(queries.withColumn("bound", anywhere).select(shape).mapInArrow(route(False), schema), "home")
+    first = staged(merge(meet(at_home)), "first")
+    # the k-th best so far bounds the way to other shards; where there are fewer, nothing but min_cosine does
+    kth = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), -F.element_at("hits", k)["c"])))
+    bound = F.when(F.size("hits") >= k, F.least(kth, F.lit(max_angle))).otherwise(F.lit(max_angle)).alias("bound")
+    again = queries.join(first, "id", "left").select("id", "node_id", "model", "vector", bound)
+    visits = staged(again.mapInArrow(route(True), schema), "visits")
+    merged = merge(first.unionByName(meet(visits)))
     answers = queries.join(merged, "id").select("model", "vector", "node_id", "hits")
     # copies: entries of a (vector, node) share its answer; nodes beyond the kept ones take the kept ids
     full = kept.groupBy("model", "vector").agg(F.sort_array(F.collect_list("id")).alias("ids")).where(F.size("ids") >= 2 * k)

@@ -96,6 +96,28 @@ def test_ties_at_the_cut_go_to_the_smallest_ids(spark):
     assert [j for _, j in got[f"{5:032x}"]] == [f"{9000 + i:032x}" for i in range(10)]
 
 
+def test_factor_one_is_exact_over_several_shards(spark):
+    rng = np.random.default_rng(12)
+    centres = rng.normal(size=(3, 8))
+    rows = []
+    for i in range(900):  # dense clumps, and a few rows between them whose neighbours lie in several
+        a, b = rng.choice(3, 2, replace=False)
+        v = centres[a] * 40 + rng.normal(size=8) * 2 if i % 20 else (centres[a] + centres[b]) * 25 + rng.normal(size=8) * 12
+        rows.append((i, f"n{i}", np.clip(np.round(v), -127, 127).astype(np.int8).tobytes(), 0.1, "toy-8"))
+    df = entries(spark, rows)
+    assert P3._fit_routers(P3.usable_entries(df))["toy-8"].leaves > 2
+    got = collections.defaultdict(list)
+    for r in P3.nearest(df, k=10, relax=1.0).orderBy("id", "rank").collect():
+        got[r["id"]].append(r["neighbour"])
+    want = brute_neighbours(rows, 10)
+    assert dict(got) == {i: [j for _, j in w] for i, w in want.items()}
+    x = {f"{i:032x}": np.frombuffer(v, np.int8).astype(float) for i, _, v, _, _ in rows}
+    cosine = lambda i, j: x[i] @ x[j] / np.linalg.norm(x[i]) / np.linalg.norm(x[j])
+    best = {i: {j for _, j in w} for i, w in want.items()}
+    pairs = {(i, j) for i in want for j in best[i] if i < j and i in best[j] and cosine(i, j) >= 0.9}
+    assert {tuple(r) for r in P3.mutual_pairs(df, relax=1.0).collect()} == pairs and pairs
+
+
 def test_divisible(spark):
     ids = [f"{n:032x}" for n in (0, 50, 51, 50 * 16**20, 50 * 16**20 + 7)]
     df = spark.createDataFrame([(i,) for i in ids], "id string")
