@@ -84,9 +84,14 @@ STREET_SIGN = re.compile(rf"\b{STREET}\b|straße|strasse|str\. |weg \d|gasse \d|
 CITY = re.compile(rf"(?:\b\d{{5}} {_CAP}|[A-Z]{{1,2}}\d{{1,2}} \d[A-Z]{{2}}\b|\b[A-Z]{{2}} \d{{5}}\b|, {_CAP}\Z)")
 ADDRESS_CUES = re.compile(r"(?:lives? at|live at|address is|Anschrift:|address:|adresse\s*:|wohnt in|habite(?: au)?|vive en|device to|moved to|wohnhaft(?: in)?|domiciliad[oa] en|demeurant(?: au)?|ship to|Invoice for [^.]{3,40},|;|,|\n|\"address\":\s*\")\s*\Z", re.I)
 ADDRESS_AFTER = re.compile(r"\A(?:\.| and can be reached| last week|, ring|;|\n|\"|,|\Z)")
-NAME = re.compile(r"(?<![\w@.+/\\\-\[#$])[A-ZÀ-ÖØ-Þ][a-zà-öø-ÿA-ZÀ-ÖØ-Þß'’]{3,}(?:-[A-ZÀ-ÖØ-Þ][a-zà-öø-ÿA-ZÀ-ÖØ-Þß'’]{2,})*(?![\w@+/\\\[(]|\.\w|-\w)")
+_UPPER = "".join(c for c in map(chr, range(0x1F000)) if c.isupper() or c.istitle())
+_INNER = r"(?:[^\W\d_]|['’\u0300-\u036f])"
+_NAME_START, _NAME_END = r"(?<![\w@.+/\\\-\[#$])", r"(?![\w'’\u0300-\u036f@+/\\\[(]|\.\w|-\w)"
+NAME = re.compile(rf"{_NAME_START}[{_UPPER}]{_INNER}{{3,}}(?:-[{_UPPER}]{_INNER}{{2,}})*{_NAME_END}")
+#: Proposed only where a given name, a title or a cue stands beside them.
+SHORT_NAME = re.compile(rf"{_NAME_START}[{_UPPER}]{_INNER}{{1,2}}(?:-[{_UPPER}]{_INNER}+)*{_NAME_END}")
 SAID = re.compile(r"\bthis is (?:[\w'’\-]+ ){1,2}(?:van |von |de )?(?P<n>[\w'’\-]{4,}) speaking", re.I)
-_LOWER = re.compile(r"(?<![\w@.+/\-])[a-zà-öø-ÿß]{3,}(?![\w@+/]|-\w)")
+_LOWER = re.compile(r"(?<![\w@.+/\-])[a-zà-öø-ÿß]{2,}(?![\w@+/]|-\w)")
 _PREV = re.compile(r"([\w'’.\-]+)(\W{0,3})\Z")
 _NEXT = re.compile(r"\A(\W{0,3})([\w'’\-]+)")
 
@@ -140,6 +145,10 @@ class Labelers:
             found = None if _within(m.start(), taken) else self.name(text, m.start(), m.end(), local)
             if found:
                 yield found
+        for m in SHORT_NAME.finditer(text):
+            found = None if m.group().lower() in TITLES or _within(m.start(), taken) else self.name(text, m.start(), m.end(), local)
+            if found and "+" in found[3][:3]:
+                yield found
         if "speaking" in text:
             for m in SAID.finditer(text):
                 if m["n"].islower() and fold(m["n"]) not in self.given:
@@ -220,6 +229,8 @@ class Labelers:
             low = token.lower()
             if ("." in p.group(2) or p.group(1).endswith(".")) and low not in TITLES and len(token) > 1:
                 break
+            if low in TITLES and text[max(0, p.start() - 2) : p.start()].rstrip()[-1:].isdigit():
+                break  # a unit (ms, m)
             if low in TITLES:
                 titled, first = True, p.start()
                 break

@@ -97,6 +97,22 @@ def test_personal_data(spark):
     assert "code" not in masked
 
 
+def test_short_names_and_all_letters_are_proposed():
+    labelers = P2.Labelers(frozenset({"ana"}), frozenset({"the", "we", "in"}))
+    for text, want in {
+        "We met Mr Lee in town.": "Lee",
+        "Dann kam Frau Ott dazu.": "Ott",
+        "Then Ana Ng left.": "Ng",
+        "Yesterday Ana Dvořák called.": "Dvořák",
+        "Ask Dr Wiśniewski and the rest.": "Wiśniewski",
+        "We saw Mrs Łoś in town.": "Łoś",
+        "Тогда Петров ответил.": "Петров",
+        "Ms Yılmaz said no.": "Yılmaz",
+    }.items():
+        assert any(text[a:b].endswith(want) for kind, a, b, _, _ in labelers.spans(text) if kind == "NAME"), text
+    assert not [x for x in labelers.spans("We ran it. The API is up. In May all was well. IT TOOK 135 MS AND WENT ON.") if x[0] == "NAME" and "+" in x[3][:3]]
+
+
 def test_personal_data_of_nothing(spark):
     given = spark.createDataFrame([], "given_name string")
     assert P2.found_kinds(nodes(spark, [("a", "turn", None, 1)]), given).count() == 0
