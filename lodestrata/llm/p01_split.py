@@ -16,6 +16,7 @@ of the largest ``ord``. Spaces after the last boundary belong to the last piece.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -97,6 +98,7 @@ class Packer:
         self.filled = 0
         self.level = ""
         self.cuts: list[tuple[int, int, str]] = []
+        self.opened: list[Block] = []
 
     def cut(self, at: int, level: str) -> None:
         self.cuts.append((self.start, at, level))
@@ -139,6 +141,7 @@ class Packer:
         return parts if len(parts) > 1 else self.words(start, end)
 
     def lines(self, block: Block):
+        self.opened.append(block)
         parts = [(e, "line", lambda a=s, b=e: self.sentences(a, b)) for s, e in block.lines]
         return parts if len(parts) > 1 else self.sentences(*block.lines[0])
 
@@ -151,8 +154,8 @@ class Packer:
         return (end.end, "section", lambda: [self.tree(x) for x in item])
 
 
-def split_text(text: str, limit: int = LIMIT, overlap: int = OVERLAP, blocks: list[Block] | None = None) -> list[tuple[int, int, str]]:
-    """(start, end, boundary) of each piece."""
+def split_text(text: str, limit: int = LIMIT, overlap: int = OVERLAP, blocks: list[Block] | None = None, opened: list[Block] | None = None) -> list[tuple[int, int, str]]:
+    """(start, end, boundary) of each piece; ``opened`` takes the blocks that were descended into."""
     if len(text) <= limit:
         return [(0, len(text), "end")]
     packer = Packer(text, limit, overlap)
@@ -165,9 +168,18 @@ def split_text(text: str, limit: int = LIMIT, overlap: int = OVERLAP, blocks: li
         packer.cut(at, packer.level if at == packer.filled else "hard")
         packer.filled = max(packer.filled, packer.start + overlap)
     packer.cuts.append((packer.start, n, "end"))
+    if opened is not None:
+        opened.extend(packer.opened)
     return packer.cuts
 
 
+def forced_blocks(blocks: list[Block], cuts: list[tuple[int, int, str]], opened: list[Block], limit: int) -> list[int]:
+    """Numbers of blocks that were descended into and cut inside, and that no piece could hold whole."""
+    ends = [e for _, e, _ in cuts]
+    inside = {id(b) for b in opened if b.size > limit and bisect_right(ends, b.start) < bisect_left(ends, b.end)}
+    return [i for i, b in enumerate(blocks) if id(b) in inside]
+
+
 def _outlines(df: DataFrame, id_: str, ord_: str, text: str, limit: int, overlap: int) -> DataFrame:
     """Per row: pieces as offsets, and numbers of blocks that can't stay whole."""
 
@@ -183,8 +195,10 @@ def _outlines(df: DataFrame, id_: str, ord_: str, text: str, limit: int, overlap
                     forced.append([])
                 else:
                     blocks = parse_blocks(t)
-                    forced.append([i for i, b in enumerate(blocks) if b.size > limit])
-                    pieces.append([{"start": s, "end": e, "boundary": k} for s, e, k in split_text(t, limit, overlap, blocks)])
+                    opened: list[Block] = []
+                    cuts = split_text(t, limit, overlap, blocks, opened)
+                    forced.append(forced_blocks(blocks, cuts, opened, limit))
+                    pieces.append([{"start": s, "end": e, "boundary": k} for s, e, k in cuts])
             piece = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("boundary", pa.string())])
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(pieces, pa.list_(piece)), pa.array(forced, pa.list_(pa.int32()))], names=["id", "ord", "pieces", "forced"]

@@ -56,6 +56,21 @@ def test_block_sizes():
     assert sizes == [1801, 4, 1800]
 
 
+def test_forced_blocks_follow_the_cuts():
+    rng = random.Random(4)
+    pieces = ["word ", "a sentence. ", "# head\n", "\n\n", "line\r\n", "\r", "x" * 500, " \t\n", "- item\n"]
+    seen = 0
+    for _ in range(300):
+        text = "".join(rng.choice(pieces) for _ in range(rng.randint(1, 120)))
+        blocks, opened = P1.parse_blocks(text), []
+        cuts = P1.split_text(text, 300, 40, blocks, opened)
+        forced = P1.forced_blocks(blocks, cuts, opened, 300)
+        assert forced == [i for i, b in enumerate(blocks) if b.size > 300]
+        assert P1.forced_blocks(blocks, [(0, len(text), "end")], opened, 300) == []
+        seen += len(forced)
+    assert seen > 100
+
+
 def test_oversized_blocks_counts_last_row(spark):
     big = "z" * 1801
     df = nodes(spark, [("a", "file", big, 1), ("a", "file", "short", 2), ("b", "turn", "x\n\n" + big, 1), ("c", "turn", None, 1), ("d", "turn", "", 1), ("b", "turn", "x\n\n" + big, 1)])
