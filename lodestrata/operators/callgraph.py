@@ -60,6 +60,8 @@ def reachable(functions: DataFrame, start: DataFrame, rounds: int = 1000, hops:
             break
         files += frontier.inputFiles()
         seen = spark.read.schema("key string, depth int").parquet(*files)
+    else:
+        raise RuntimeError(f"calls go deeper than {rounds * hops} levels; allow more rounds")
     return seen
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -37,12 +38,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, read from ``spark.checkpoint.dir``.
 
-    Only where that setting is missing (tests on one machine) a temporary
-    folder is made, and it is removed when the process ends.
+    Where that setting is missing, a session on one machine (as in tests) gets a
+    temporary folder, removed when the process ends; a cluster is refused, as its
+    executors wouldn't share one.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if configured:
         return configured
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    return _local_dir()
+
+
+def _local_dir() -> str:
     if not _LOCAL_DIRS:
         _LOCAL_DIRS.append(tempfile.mkdtemp(prefix="lodestrata-"))
         atexit.register(shutil.rmtree, _LOCAL_DIRS[0], ignore_errors=True)
@@ -73,6 +81,8 @@ def local_session(cores: int | str = "*", **conf: str) -> SparkSession:
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("DRIVER_MEMORY", "8g"))
     )
+    if "spark__checkpoint__dir" not in conf:
+        builder = builder.config("spark.checkpoint.dir", _local_dir())
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
     spark = builder.getOrCreate()
