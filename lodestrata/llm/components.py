@@ -28,7 +28,7 @@ def connected_components(edges: DataFrame, rounds: int = 50) -> DataFrame:
 
     Null ends and self links are left out; repeated links count once. Each
     round's links are written to the shared folder, so a lost executor costs at
-    most one round. A star that a third of all links lead to is only ever
+    most one round. Raises if they haven't settled after ``rounds``. A star that a third of all links lead to is only ever
     aggregated to its minimum and joined, never collected.
     """
     now = staged(edges.where("u is not null and v is not null and u <> v").select("u", "v").distinct(), "links")
@@ -39,4 +39,6 @@ def connected_components(edges: DataFrame, rounds: int = 50) -> DataFrame:
         if next_mark == mark:
             break
         mark = next_mark
+    else:
+        raise RuntimeError(f"components haven't settled within {rounds} rounds; allow more")
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
