@@ -1,12 +1,14 @@
 """Problem 3: the k most similar vectors of every vector, by vantage-point trees per shard.
 
 A router, itself an unbalanced vantage-point tree fitted on a bounded sample,
-cuts the collection into shards (its vantage points are centres of dense
-regions, its radii lie in the sparsest shell around them). Every row goes to one
-shard; a query first asks the shard it lies in, and with the distance of its k-th
-best there the other shards that the triangle inequality can't rule out.
-Within a shard rows and queries meet in blocks of bounded size; each block
-builds a vantage-point tree and answers its queries in batches.
+cuts a collection into cells (its vantage points are centres of dense regions,
+its radii lie in the sparsest shell around them, or halve what has none). Cells
+that are still too large get a router of their own rows, and so on, until each
+fits a block; so neither routers nor blocks grow with the collection. Rows meet
+routers in a shuffle, nothing is broadcast. A query first asks the cell it lies
+in, and with the distance of its k-th best there walks down from the root to the
+other cells that the triangle inequality can't rule out. Each block builds a
+vantage-point tree of its cell and answers its queries in batches.
 
 Pruning is relaxed by ``relax``: a subtree is skipped if it begins farther than
 ``relax`` times the distance of the k-th best so far. One restores exact search;
@@ -26,20 +28,26 @@ ordered by id; an entry with fewer than k usable others has fewer neighbours.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestrata.session import staged
 
 K = 10
-#: Rows per model that the router is fitted on; every row is indexed.
+#: Rows of a cell that its router is fitted on (up to twice as many); every row is indexed.
 SAMPLE_ROWS = 8_000
-#: Rows and queries that meet in one block.
+#: Rows of a cell that isn't parted any further; a cell and twice as many queries meet in one block.
+CELL_ROWS = 8_192
+#: Rows that meet a router at once.
+ROUTE_ROWS = 1 << 16
+#: Rows of a block of the brute-force search.
 BLOCK_ROWS = 16_384
 #: Rows of a tree's leaf.
 LEAF_ROWS = 512
@@ -47,6 +55,10 @@ LEAF_ROWS = 512
 ROUNDING = 1e-3
 #: Default relaxation of the triangle inequality.
 RELAX = 0.3
+#: Relaxation where only close pairs are asked for.
+PAIR_RELAX = 0.5
+#: Stands between the steps of a cell's name.
+_DOWN = "\x1f"
 #: Default share that a shell may hold of the smaller side for a router split.
 SHELL = 0.6
 
@@ -107,48 +119,64 @@ def _best_shell(a: np.ndarray, least: int, slack: float) -> tuple[float, float]:
     return float(bad[i]), float(radii[i])
 
 
-def fit_router(sample: np.ndarray, seed: int = 7, slack: float = 0.12, tries: int = 12) -> Router:
-    """A router for a sample of unit rows; a set without a sparse shell stays whole."""
+def fit_router(sample: np.ndarray, seed: int = 7, slack: float = 0.12, tries: int = 12, share: float = 1.0, most: int = CELL_ROWS) -> Router:
+    """A router for a sample of unit rows, each of which stands for ``share`` rows.
+
+    Sides are parted at sparse shells. A side that stands for more than ``most``
+    rows is parted even where there is none: at the median angle to the vantage
+    point whose angles differ most. One with fewer than a quarter of that stays whole.
+    """
     rng = np.random.default_rng(seed)
     points: list[np.ndarray] = []
     radius: list[float] = []
     inner: list[int] = []
     outer: list[int] = []
-    leaf_rows: list[np.ndarray] = []
+    leaves = 0
 
-    def grow(rows: np.ndarray) -> int:
+    def vantage(rows: np.ndarray) -> tuple[np.ndarray, float] | None:
+        x = sample[rows]
         least = max(24, len(sample) // 500)
         best = (np.inf, 0.0, None)
         if len(rows) >= 2 * least:
             for start in rng.choice(len(rows), min(tries, len(rows)), replace=False):
-                centre = sample[rows[start]]
+                centre = x[start]
                 for _ in range(4):
-                    bad, r = _best_shell(angles(sample[rows], centre[None])[:, 0], least, slack)
+                    d = angles(x, centre[None])[:, 0]
+                    bad, r = _best_shell(d, least, slack)
                     if bad < best[0]:
                         best = (bad, r, centre)
-                    near = angles(sample[rows], centre[None])[:, 0] <= (r if np.isfinite(bad) else 1.2)
+                    near = d <= (r if np.isfinite(bad) else 1.2)
                     if near.sum() < 2:
                         break
-                    centre = unit(sample[rows][near].mean(0))
-        if best[2] is None or best[0] > SHELL:
-            leaf_rows.append(rows)
-            return ~(len(leaf_rows) - 1)
+                    centre = unit(x[near].mean(0))
+        if best[0] <= SHELL:
+            return best[2], best[1]
+        if len(rows) * share <= most or len(rows) < 2:
+            return None
+        picks = x[rng.choice(len(rows), min(tries, len(rows)), replace=False)]
+        d = angles(x, picks)
+        i = int(d.std(0).argmax())
+        return picks[i], float(np.median(d[:, i]))
+
+    def grow(rows: np.ndarray) -> int:
+        nonlocal leaves
+        found = vantage(rows) if len(rows) * share > most / 4 else None
+        near = angles(sample[rows], found[0][None])[:, 0] <= found[1] if found else None
+        if found is None or near.all() or not near.any():
+            leaves += 1
+            return ~(leaves - 1)
         node = len(points)
-        points.append(best[2])
-        radius.append(best[1])
+        points.append(found[0])
+        radius.append(found[1])
         inner.append(0)
         outer.append(0)
-        near = angles(sample[rows], best[2][None])[:, 0] <= best[1]
         inner[node] = grow(rows[near])
         outer[node] = grow(rows[~near])
         return node
 
-    if len(sample):
-        grow(np.arange(len(sample)))
-    else:
-        leaf_rows.append(np.zeros(0, int))
+    grow(np.arange(len(sample)))
     dims = sample.shape[1] if sample.ndim == 2 else 0
-    return Router(unit(np.array(points, np.float64).reshape(-1, dims)), np.array(radius), inner, outer, len(leaf_rows))
+    return Router(unit(np.array(points, np.float64).reshape(-1, dims)), np.array(radius), inner, outer, leaves)
 
 
 class VantageTree:
@@ -254,97 +282,70 @@ def usable_entries(entries: DataFrame) -> DataFrame:
     return good.groupBy("id").agg(F.min(F.struct("vector", F.coalesce("node_id", F.lit("")).alias("node_id"), "model")).alias("r")).select("id", "r.node_id", "r.model", "r.vector")
 
 
-def _stack(column: pa.Array) -> np.ndarray:
+def _stack(column) -> np.ndarray:
     parts = column.to_pylist()
     return np.frombuffer(b"".join(parts), np.int8).reshape(len(parts), -1).astype(np.float32) if parts else np.zeros((0, 1), np.float32)
 
 
-def _fit_routers(rows: DataFrame) -> dict[str, Router]:
-    """A router per model, from its first ``SAMPLE_ROWS`` rows in hash order (at most 64 models are sampled)."""
-    models = {r["model"]: r["count"] for r in rows.groupBy("model").count().orderBy(F.col("count").desc(), "model").limit(64).collect()}
-    routers = {}
-    for m, n in models.items():
-        # thinned by hash first: the top of every task's rows would reach the driver otherwise
-        thin = max(1, n // (SAMPLE_ROWS * 5 // 4))
-        some = rows.where((F.col("model") == m) & (F.pmod(F.xxhash64("id"), F.lit(thin)) == 0)).select("id", "vector").orderBy(F.xxhash64("id"), "id").limit(SAMPLE_ROWS).collect()
-        x = np.frombuffer(b"".join(bytes(r["vector"]) for r in some), np.int8).reshape(len(some), -1).astype(np.float32)
-        routers[m] = fit_router(unit(x))
-    return routers
+_ROW = "cell string, id string, node_id string, vector binary, asks boolean, bound double"
+_NAMES = ["cell", "id", "node_id", "vector", "asks", "bound"]
 
 
-def nearest(entries: DataFrame, k: int = K, relax: float = RELAX, min_cosine: float = -1.0, asking: Column | None = None) -> DataFrame:
-    """The ``k`` most similar entries of each usable entry (of those for which ``asking`` holds).
+def _fit(rows: DataFrame, most: int) -> DataFrame:
+    """``cell``, ``router`` of each cell of more than ``most`` rows that can be parted, from ``SAMPLE_ROWS`` of its rows by hash."""
+    sizes = rows.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > most)
+    some = rows.join(sizes, "cell").where(F.pmod(F.xxhash64("id", F.lit(1)), F.greatest(F.lit(1), (F.col("n") / SAMPLE_ROWS).cast("bigint"))) == 0)
 
-    Result: ``id``, ``rank`` (from 1), ``neighbour``, ``cosine``; neighbours have
-    the same model and another node, and at least ``min_cosine``.
-    """
-    spark = entries.sparkSession
-    rows = staged(usable_entries(entries), "vectors")
-    capped = rows.withColumn("_r", F.row_number().over(Window.partitionBy("model", "vector", "node_id").orderBy("id"))).where(F.col("_r") <= k).drop("_r")
-    kept = capped.withColumn("_r", F.row_number().over(Window.partitionBy("model", "vector").orderBy("id"))).where(F.col("_r") <= 2 * k).drop("_r")
-    kept = staged(kept, "distinct-vectors")
-    asked = rows if asking is None else rows.where(asking)
-    wanted = kept if asking is None else kept.join(asked.select("model", "vector", "node_id").distinct(), ["model", "vector", "node_id"], "left_semi")
-    # one query per (vector, node); its smallest id stands for all
-    queries = wanted.groupBy("model", "vector", "node_id").agg(F.min("id").alias("id"))
+    def fit(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        # thinning leaves up to twice as many
+        table = table.sort_by("id").slice(0, 2 * SAMPLE_ROWS)
+        router = fit_router(unit(_stack(table.column("vector").combine_chunks()).astype(np.float64)), share=table.column("n")[0].as_py() / len(table), most=most)
+        made = [(key[0].as_py(), pickle.dumps(router))] if router.leaves > 1 else []
+        return pa.table([pa.array([m[0] for m in made], pa.string()), pa.array([m[1] for m in made], pa.binary())], names=["cell", "router"])
 
-    routers = spark.sparkContext.broadcast(_fit_routers(rows))
-    max_angle = float(np.arccos(np.clip(min_cosine, -1, 1)))
+    return some.select("cell", "id", "vector", "n").groupBy("cell").applyInArrow(fit, "cell string, router binary")
 
-    def route(asks: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                models = np.array(batch.column(2).to_pylist(), object)
-                for m in dict.fromkeys(models):
-                    part = batch.filter(pa.array(models == m))
-                    router = routers.value.get(m) or Router(np.zeros((0, 1)), np.zeros(0))
-                    x = unit(_stack(part.column(3)).astype(np.float64))
-                    home = router.home(x)
-                    if asks:
-                        # shards but the own one that may hold something as near as the k-th best
-                        slack = relax * np.array(part.column(4)) + 1e-6
-                        visits = router.walk(angles(x, router.points) if len(router.inner) else np.zeros((len(x), 0)), slack)
-                        visits[np.arange(len(x)), home] = False
-                        row, leaf = np.nonzero(visits)
-                    else:
-                        row, leaf = np.arange(len(x)), home
-                    taken = part.take(pa.array(row))
-                    yield pa.RecordBatch.from_arrays([*taken.columns[:5], pa.array(leaf.astype(np.int32))], names=["id", "node_id", "model", "vector", "bound", "leaf"])
-
-        return run
-
-    schema = "id string, node_id string, model string, vector binary, bound double, leaf int"
-    shape = ["id", "node_id", "model", "vector", "bound"]
-    anywhere = F.lit(max_angle).alias("bound")
-    held = staged(kept.withColumn("bound", anywhere).select(shape).mapInArrow(route(False), schema), "shards")
-    count = lambda df, name: df.groupBy("model", "leaf").agg(F.ceil(F.count("*") / F.lit(BLOCK_ROWS)).cast("int").alias(name))
-    n_held = count(held, "n_held")
-    def meet(asks: DataFrame) -> DataFrame:
-        grid = n_held.join(count(asks, "n_asks"), ["model", "leaf"])
-
-        def block(df: DataFrame, own: str, other: str, asks_: bool) -> DataFrame:
-            mine = F.pmod(F.xxhash64("id"), F.col(own)).cast("int")
-            spread = df.join(grid, ["model", "leaf"]).withColumn("_mine", mine).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
-            held_block, asks_block = ("_other", "_mine") if asks_ else ("_mine", "_other")
-            return spread.select("model", "leaf", F.col(held_block).alias("h"), F.col(asks_block).alias("a"), F.lit(asks_).alias("asks"), "id", "node_id", "vector", "bound")
-
-        met = block(held, "n_held", "n_asks", False).unionByName(block(asks, "n_asks", "n_held", True))
-        return met.groupBy("model", "leaf", "h", "a").applyInArrow(answer, "id string, hits array<struct<c:double,i:string>>")
 
-    def answer(table: pa.Table) -> pa.Table:
+def _route(rows: DataFrame, routers: DataFrame) -> DataFrame:
+    """``rows`` of cells that have a router, with the cells below: the one a row lies in or, where ``bound`` is given, all
+    that it can't rule out. Rows meet the router of their cell in portions of bounded size."""
+    parts = rows.groupBy("cell").agg(F.ceil(F.count("*") / F.lit(ROUTE_ROWS)).cast("int").alias("parts"))
+    known = routers.join(parts, "cell")
+    salted = rows.join(known.select("cell", "parts"), "cell").withColumn("salt", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    guides = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    met = salted.select(*_NAMES, "salt", F.lit(None).cast("binary").alias("router")).unionByName(guides.select("cell", "salt", "router"), allowMissingColumns=True)
+
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        guide = table.column("router").is_valid()
+        router = pickle.loads(table.filter(guide).column("router")[0].as_py())
+        table = table.filter(pc.invert(guide)).select(_NAMES)
+        x = unit(_stack(table.column("vector").combine_chunks()).astype(np.float64)) if len(table) else np.zeros((0, router.points.shape[1]))
+        bound = np.array(table.column("bound").to_pylist(), float)  # null becomes nan
+        d = angles(x, router.points)
+        row, leaf = np.nonzero(router.walk(d, np.where(np.isnan(bound), 0.0, bound)))
+        cell = key[0].as_py()
+        names = np.array([f"{cell}{_DOWN}{i}" for i in range(router.leaves)], object)
+        return table.take(pa.array(row)).set_column(0, "cell", pa.array(names[leaf], pa.string()))
+
+    return met.groupBy("cell", "salt").applyInArrow(run, _ROW)
+
+
+def _answer(k: int, relax: float):
+    """Within one cell, the k best of each asking row among the rows held."""
+
+    def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("id")
-        asking_ = np.array(table.column("asks").to_pylist(), bool)
+        asks, held = (np.array(table.column(c).to_pylist(), bool) for c in ("asks", "held"))
         ids = np.array(table.column("id").to_pylist(), object)
         _, node = np.unique(np.array(table.column("node_id").to_pylist(), object).astype(str), return_inverse=True)
-        x = _stack(table.column("vector").combine_chunks())
         out_id: list[str] = []
         hits: list[list[dict]] = []
-        if asking_.any() and not asking_.all():
-            tree = VantageTree(x[~asking_])
-            bound = np.array(table.column("bound"))[asking_]
-            best, who = tree.search(x[asking_], node[~asking_], node[asking_], k, relax, bound)
-            held_ids = ids[~asking_]
-            for i, name in enumerate(ids[asking_]):
+        if asks.any() and held.any():
+            x = _stack(table.column("vector").combine_chunks())
+            bound = np.array(table.column("bound").to_pylist(), float)[asks]
+            best, who = VantageTree(x[held]).search(x[asks], node[held], node[asks], k, relax, bound)
+            held_ids = ids[held]
+            for i, name in enumerate(ids[asks]):
                 found = [{"c": -float(c), "i": held_ids[j]} for c, j in zip(best[i], who[i]) if c > -2]
                 if found:
                     out_id.append(name)
@@ -352,36 +353,96 @@ def nearest(entries: DataFrame, k: int = K, relax: float = RELAX, min_cosine: fl
         kind = pa.list_(pa.struct([("c", pa.float64()), ("i", pa.string())]))
         return pa.table([pa.array(out_id, pa.string()), pa.array(hits, kind)], names=["id", "hits"])
 
-    def merge(parts: DataFrame) -> DataFrame:
-        return parts.groupBy("id").agg(F.slice(F.sort_array(F.flatten(F.collect_list("hits"))), 1, k).alias("hits"))
-
-    at_home = staged(queries.withColumn("bound", anywhere).select(shape).mapInArrow(route(False), schema), "home")
-    first = staged(merge(meet(at_home)), "first")
-    # the k-th best so far bounds the way to other shards; where there are fewer, nothing but min_cosine does
-    kth = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), -F.element_at("hits", k)["c"])))
-    bound = F.when(F.size("hits") >= k, F.least(kth, F.lit(max_angle))).otherwise(F.lit(max_angle)).alias("bound")
-    again = queries.join(first, "id", "left").select("id", "node_id", "model", "vector", bound)
-    visits = staged(again.mapInArrow(route(True), schema), "visits")
-    merged = merge(first.unionByName(meet(visits)))
-    answers = queries.join(merged, "id").select("model", "vector", "node_id", "hits")
+    return run
+
+
+def nearest(entries: DataFrame, k: int = K, relax: float = RELAX, min_cosine: float = -1.0, asking: Column | None = None, cell_rows: int = CELL_ROWS) -> DataFrame:
+    """The ``k`` most similar entries of each usable entry (of those for which ``asking`` holds).
+
+    Result: ``id``, ``rank`` (from 1), ``neighbour``, ``cosine``; neighbours have
+    the same model and another node, and at least ``min_cosine``.
+    """
+    rows = staged(usable_entries(entries), "vectors")
+    same = Window.partitionBy("model", "vector", "node_id").orderBy("id")
+    # one query per (vector, node): its smallest id asks for all
+    capped = rows.withColumn("_r", F.row_number().over(same)).where(F.col("_r") <= k).withColumn("asks", F.col("_r") == 1).drop("_r")
+    kept = capped.withColumn("_r", F.row_number().over(Window.partitionBy("model", "vector").orderBy("id"))).where(F.col("_r") <= 2 * k).drop("_r")
+    if asking is not None:
+        chosen = rows.where(asking)
+        kept = kept.join(chosen.select("model", "vector", "node_id").distinct().withColumn("_chosen", F.lit(True)), ["model", "vector", "node_id"], "left")
+        kept = kept.withColumn("asks", F.col("asks") & F.coalesce("_chosen", F.lit(False))).drop("_chosen")
+    kept = staged(kept, "distinct-vectors")
+    asked = rows if asking is None else rows.where(asking)
+    max_angle = float(np.arccos(np.clip(min_cosine, -1, 1)))
+
+    # cells are parted until each fits a block; a cell's router is fitted on its own rows
+    nowhere = F.lit(None).cast("double").alias("bound")
+    open_ = kept.select(F.col("model").alias("cell"), "id", "node_id", "vector", "asks", nowhere)
+    closed: list[DataFrame] = []
+    levels: list[DataFrame] = []
+    while True:
+        routers = staged(_fit(open_, cell_rows), "routers")
+        if routers.isEmpty():
+            closed.append(open_)
+            break
+        closed.append(open_.join(routers.select("cell"), "cell", "left_anti").select(_NAMES))
+        open_ = staged(_route(open_, routers), "cells")
+        levels.append(routers)
+    held = closed[0]
+    for more in closed[1:]:
+        held = held.unionByName(more)
+    held = staged(held, "held") if levels else held
+    held = held.withColumn("held", F.lit(True))
+
+    answer = _answer(k, relax)
+    hit = "id string, hits array<struct<c:double,i:string>>"
+    anywhere = F.lit(max_angle)
+    first = staged(held.withColumn("bound", anywhere).groupBy("cell").applyInArrow(answer, hit), "first")
+    # the k-th best so far bounds the way to other cells; where there are fewer, nothing but min_cosine does
+    merged = first
+    if levels:
+        kth = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), -F.element_at("hits", k)["c"])))
+        bound = F.when(F.size("hits") >= k, F.least(kth, anywhere)).otherwise(anywhere)
+        queries = held.where("asks").withColumnRenamed("cell", "home").join(first.select("id", bound.alias("reach")), "id", "left").withColumn("reach", F.coalesce("reach", anywhere))
+        queries = staged(queries.select("home", "id", "node_id", "vector", "asks", "reach"), "queries")
+        far = queries.select(F.split("home", _DOWN)[0].alias("cell"), "id", "node_id", "vector", "asks", (F.col("reach") * relax + F.lit(1e-6)).alias("bound"))
+        ends: list[DataFrame] = []
+        for routers in levels:
+            ends.append(far.join(routers.select("cell"), "cell", "left_anti").select(_NAMES))
+            far = staged(_route(far, routers), "visits")
+        visits = far
+        for more in ends[1:]:
+            visits = visits.unionByName(more)
+        visits = visits.select("cell", "id", "node_id", "vector").join(queries.select("id", "home", F.col("reach").alias("bound")), "id").where("cell <> home")
+        visits = staged(visits.select("cell", "id", "node_id", "vector", "bound"), "asked")
+        parts = visits.groupBy("cell").agg(F.ceil(F.count("*") / F.lit(2 * cell_rows)).cast("int").alias("parts"))
+        others = held.join(parts, "cell").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        guests = visits.join(parts, "cell").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+        shape = ["cell", "part", "id", "node_id", "vector"]
+        met = others.select(*shape, F.lit(False).alias("asks"), F.lit(True).alias("held"), nowhere).unionByName(guests.select(*shape, F.lit(True).alias("asks"), F.lit(False).alias("held"), "bound"))
+        second = met.groupBy("cell", "part").applyInArrow(answer, hit)
+        merged = first.unionByName(second).groupBy("id").agg(F.slice(F.sort_array(F.flatten(F.collect_list("hits"))), 1, k).alias("hits"))
+        merged = staged(merged, "merged")
+
     # copies: entries of a (vector, node) share its answer; nodes beyond the kept ones take the kept ids
+    askers = kept.where("asks").select("id", "model", "vector", "node_id")
+    copies = asked.join(askers.select("id"), "id", "left_anti")
+    inner = askers.withColumnRenamed("id", "asker")
+    shared = copies.join(inner, ["model", "vector", "node_id"], "left")
+    through = shared.where("asker is not null").select("id", "asker").join(merged.withColumnRenamed("id", "asker"), "asker").select("id", "hits")
     full = kept.groupBy("model", "vector").agg(F.sort_array(F.collect_list("id")).alias("ids")).where(F.size("ids") >= 2 * k)
-    full = full.select("model", "vector", F.transform(F.slice("ids", 1, k), lambda i: F.struct(F.lit(-1.0).alias("c"), i.alias("i"))).alias("copies"))
-    inner = kept.select("model", "vector", "node_id").distinct().withColumn("_kept", F.lit(True))
-    listed = (
-        asked.join(answers, ["model", "vector", "node_id"], "left")
-        .join(inner, ["model", "vector", "node_id"], "left")
-        .join(full, ["model", "vector"], "left")
-        .select("id", F.when(F.col("_kept"), F.col("hits")).otherwise(F.col("copies")).alias("hits"))
-    )
+    full = full.select("model", "vector", F.transform(F.slice("ids", 1, k), lambda i: F.struct(F.lit(-1.0).alias("c"), i.alias("i"))).alias("hits"))
+    beyond = shared.where("asker is null").join(full, ["model", "vector"]).select("id", "hits")
+    listed = merged.join(asked.select("id"), "id", "left_semi") if asking is not None else merged
+    listed = listed.unionByName(through).unionByName(beyond)
     return listed.select("id", F.posexplode("hits").alias("rank", "h")).select(
         "id", (F.col("rank") + 1).alias("rank"), F.col("h.i").alias("neighbour"), F.round(-F.col("h.c"), 9).alias("cosine")
     )
 
 
-def mutual_pairs(entries: DataFrame, k: int = K, min_cosine: float = 0.9, relax: float = 0.5) -> DataFrame:
+def mutual_pairs(entries: DataFrame, k: int = K, min_cosine: float = 0.9, relax: float = PAIR_RELAX, cell_rows: int = CELL_ROWS) -> DataFrame:
     """``entry_a``, ``entry_b``: entries among each other's ``k`` most similar with at least ``min_cosine``."""
-    near = staged(nearest(entries, k, relax, min_cosine - 1e-9).where(F.col("cosine") >= min_cosine).select("id", "neighbour"), "near")
+    near = staged(nearest(entries, k, relax, min_cosine - 1e-9, cell_rows=cell_rows).where(F.col("cosine") >= min_cosine).select("id", "neighbour"), "near")
     back = near.select(F.col("neighbour").alias("id"), F.col("id").alias("neighbour"))
     return near.join(back, ["id", "neighbour"], "left_semi").where("id < neighbour").select(F.col("id").alias("entry_a"), F.col("neighbour").alias("entry_b"))
 
@@ -428,11 +489,11 @@ def brute_force(entries: DataFrame, k: int = K, asking: Column | None = None) ->
     return best.select("id", "rank", F.col("i").alias("neighbour"), F.round(-F.col("c"), 9).alias("cosine"))
 
 
-def recall(entries: DataFrame, k: int = K, relax: float = RELAX) -> DataFrame:
-    """One row: queries (ids divisible by 50), neighbours expected, and the share ``nearest`` finds."""
+def recall(entries: DataFrame, k: int = K, relax: float = RELAX, min_cosine: float = -1.0, cell_rows: int = CELL_ROWS) -> DataFrame:
+    """One row: queries (ids divisible by 50), neighbours expected (of at least ``min_cosine``), and the share ``nearest`` finds."""
     asking = divisible("id")
-    truth = brute_force(entries, k, asking)
-    got = nearest(entries, k, relax, asking=asking).select("id", "neighbour").withColumn("hit", F.lit(1))
+    truth = brute_force(entries, k, asking).where(F.col("cosine") >= min_cosine)
+    got = nearest(entries, k, relax, min_cosine - 1e-9, asking, cell_rows).select("id", "neighbour").withColumn("hit", F.lit(1))
     return truth.join(got, ["id", "neighbour"], "left").agg(
         F.countDistinct("id").alias("queries"), F.count("*").alias("expected"), F.round(F.coalesce(F.avg(F.coalesce("hit", F.lit(0))), F.lit(1.0)), 4).alias("recall")
     )
