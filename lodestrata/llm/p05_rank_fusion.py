@@ -19,10 +19,12 @@ from __future__ import annotations
 
 from math import comb
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestrata.llm.slices import running_before, with_slices
+from lodestrata.llm.slices import HOT_ROWS, running_before, with_slices
+from lodestrata.session import staged
+
 
 def significance(ranks: Column, sources: int) -> Column:
     """The corrected least beta probability of an array of normalised ranks, at most ``sources`` long."""
@@ -42,41 +44,60 @@ def significance(ranks: Column, sources: int) -> Column:
     return result
 
 
-def aggregate_ranks(scores: DataFrame, query: str, item: str, sources: list[str]) -> DataFrame:
-    """Ranking of ``scores``: one row per (query, item), a nullable double per source.
+def _places(scores: DataFrame, query: str, sources: list[str]) -> DataFrame:
+    """``scores`` with, per source, the mean place of equal scores, and what the query as a whole says; one shuffle by query."""
+    whole = Window.partitionBy(query)
+    added = {"_items": F.count("*").over(whole)}
+    for s in sources:
+        # places are counted from the front; rows without a score come after all others
+        ordered, alike = Window.partitionBy(query).orderBy(F.col(s).desc_nulls_last()), Window.partitionBy(query, s)
+        added |= {
+            f"_n_{s}": F.count(s).over(whole),
+            f"_spread_{s}": F.coalesce(F.max(s).over(whole) > F.min(s).over(whole), F.lit(False)),
+            f"_place_{s}": F.when(F.col(s).isNotNull(), F.rank().over(ordered) + (F.count("*").over(alike) - 1) / 2),
+        }
+    return scores.withColumns(added)
 
-    Result: ``query``, ``item``, ``significance``, ``rank_product``.
-    """
+
+def _places_in_slices(scores: DataFrame, query: str, item: str, sources: list[str]) -> DataFrame:
+    """As ``_places`` for queries too large for one task: places are counted in slices of the scores' order."""
     totals = scores.groupBy(query).agg(
         F.count("*").alias("_items"),
         *(F.count(s).alias(f"_n_{s}") for s in sources),
-        *((F.max(s) > F.min(s)).alias(f"_spread_{s}") for s in sources),
-    )
-    long = scores.select(query, item, F.explode(F.array(*(F.struct(F.lit(s).alias("source"), F.col(s).alias("score")) for s in sources))).alias("_x")).select(query, item, "_x.*")
-    distinct = long.where("score is not null").groupBy(query, "source", "score").agg(F.count("*").alias("n"))
-    placed = running_before(with_slices(distinct, [query, "source"], "score"), [query, "source"], "score", "n", "above", descending=True).select(
-        query, "source", "score", (F.col("above") + (F.col("n") + 1) / 2).alias("place")
-    )
-    of_source = lambda prefix: F.coalesce(*(F.when(F.col("source") == s, F.col(f"{prefix}{s}")) for s in sources))
-    present, items = of_source("_n_"), F.col("_items")
-    tells = F.coalesce(of_source("_spread_"), F.lit(False)) | ((present > 0) & (present < items))
-    ranked = (
-        long.join(placed, [query, "source", "score"], "left")
-        .join(totals, query)
-        .where(tells)
-        .withColumn("rank", F.coalesce(F.col("place"), present + (items - present + 1) / 2) / items)
+        *(F.coalesce(F.max(s) > F.min(s), F.lit(False)).alias(f"_spread_{s}") for s in sources),
     )
-    told = ranked.groupBy(query, item).agg(F.sort_array(F.collect_list("rank")).alias("_sorted_ranks"))
-    return (
-        scores.select(query, item)
-        .join(told, [query, item], "left")
-        .withColumn("_sorted_ranks", F.coalesce("_sorted_ranks", F.array().cast("array<double>")))
-        .select(
-            query,
-            item,
-            significance(F.col("_sorted_ranks"), len(sources)).alias("significance"),
-            F.aggregate("_sorted_ranks", F.lit(1.0), lambda a, r: a * r).alias("rank_product"),
-        )
+    placed = scores.join(totals, query)
+    for s in sources:
+        distinct = scores.where(F.col(s).isNotNull()).groupBy(query, s).agg(F.count("*").alias("n"))
+        places = running_before(with_slices(distinct, [query], s, hot_rows=0), [query], s, "n", "above", descending=True)
+        placed = placed.join(places.select(query, s, (F.col("above") + (F.col("n") + 1) / 2).alias(f"_place_{s}")), [query, s], "left")
+    return placed
+
+
+def aggregate_ranks(scores: DataFrame, query: str, item: str, sources: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Ranking of ``scores``: one row per (query, item), a nullable double per source.
+
+    Result: ``query``, ``item``, ``significance``, ``rank_product``. The sources
+    of an item stay in one row. A query of more than ``hot_rows`` items is cut
+    into slices, with the same result.
+    """
+    hot = staged(scores.groupBy(query).agg(F.count("*").alias("_rows")).where(F.col("_rows") > hot_rows).select(query), "hot-queries")
+    if hot.isEmpty():
+        placed = _places(scores, query, sources)
+    else:
+        rest = _places(scores.join(hot, query, "left_anti"), query, sources)
+        placed = rest.unionByName(_places_in_slices(scores.join(hot, query, "left_semi"), query, item, sources).select(rest.columns))
+    ranks = []
+    for s in sources:
+        n, items = F.col(f"_n_{s}"), F.col("_items")
+        tells = F.col(f"_spread_{s}") | ((n > 0) & (n < items))
+        ranks.append(F.when(tells, F.coalesce(F.col(f"_place_{s}"), n + (items - n + 1) / 2) / items))
+    told = placed.select(query, item, F.sort_array(F.array_compact(F.array(*ranks))).alias("_sorted_ranks"))
+    return told.select(
+        query,
+        item,
+        significance(F.col("_sorted_ranks"), len(sources)).alias("significance"),
+        F.aggregate("_sorted_ranks", F.lit(1.0), lambda a, r: a * r).alias("rank_product"),
     )
 
 
@@ -111,7 +132,8 @@ def candidate_scores(queries: DataFrame, results: DataFrame, hits: DataFrame, ed
 
 def rank_candidates(queries: DataFrame, results: DataFrame, hits: DataFrame, edges: DataFrame) -> DataFrame:
     """All candidates of all queries with their significance."""
-    return aggregate_ranks(candidate_scores(queries, results, hits, edges), "query_id", "node_id", ["result", "hit", "related"])
+    scores = staged(candidate_scores(queries, results, hits, edges), "scores")
+    return aggregate_ranks(scores, "query_id", "node_id", ["result", "hit", "related"])
 
 
 def first_candidates(ranked: DataFrame) -> DataFrame:
