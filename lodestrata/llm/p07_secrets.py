@@ -8,7 +8,9 @@ is a secret, unless the literal has a known harmless format (hashes, ids,
 public keys, embedded images) or is the name in a reference or a tag. In an
 assignment that names a credential the whole quoted value counts, whatever signs
 break it. Where the context itself names a password, short
-residuals and plain words with digits count too.
+residuals (digits, letters among signs) count too; key blocks count by the
+residual of their body. A digest's or id's format is harmless unless the name
+right before it says credential.
 
 Defined results: a null or empty text has no credential and stays as it is; a
 node that was written several times counts as its row of the largest ``ord``;
@@ -76,6 +78,15 @@ _CREDENTIAL = re.compile(
     re.I,
 )
 _JOINED = re.compile(r"(?P<q>[\"'`])(?P<a>[A-Za-z0-9+/_\-=]{4,})(?P=q)\s*(?:\+|\.|\\\n)?\s*(?P=q)(?P<b>[A-Za-z0-9+/_\-=]{4,})(?P=q)")
+#: What names a credential right before its value, and not its hash or its id.
+_NAMED_CREDENTIAL = re.compile(
+    r"(?:api[_.\-]?key|apikey|secret(?:[_.\-]?key)?|(?:access|auth|refresh|bearer|api|deploy|session)[_.\-]?token|token|passw(?:or)?d|pwd|(?:signing|private|encryption|access|licen[cs]e|master)[_.\-]?key|credential)s?"
+    r"[\"'`]?\]?\s*(?:=>|:=|=|:)\s*[\"'`]?\Z",
+    re.I,
+)
+_SIGNS = re.compile(r"[^\w\s.\-/]")
+#: Words of a sentence, not of a passphrase (fixed values).
+_SENTENCE_WORDS = frozenset("and are but can enter for forgot have here into must not password please same than that the then this too use was with wrong you your".split())
 _REFERENCE = re.compile(
     r"\$\{|\$\(|\$[A-Za-z_]|%\w+%|%\(|\{\{|\{|<|@|(?:os|process|System|var|env|local|data|config|settings|secrets?|module|self|this)[.\[(]|getenv|ENV\[|[a-z][a-z0-9+.\-]*://", re.I
 )
@@ -167,23 +178,31 @@ class Scanner:
         self.segment = Segmenter(prices).residual
 
     def harmless(self, value: str, before: str) -> bool:
-        if _UUID.match(value) or value.startswith(("AAAA", "sha1-", "sha256-", "sha384-", "sha512-")):
-            return True
-        if _HEX.match(value) and len(value) in _DIGESTS:
+        """Whether a value has a known format that is no credential; a name that says credential overrules digests and ids."""
+        if value.startswith(("AAAA", "sha1-", "sha256-", "sha384-", "sha512-")):
             return True
+        if _UUID.match(value) or _HEX.match(value) and len(value) in _DIGESTS:
+            return not (len(value) >= 16 and _NAMED_CREDENTIAL.search(before))
         return bool(_BEFORE_HARMLESS.search(before))
 
-    def password(self, value: str) -> bool:
-        """Whether a value in a context that names a password is one."""
-        if len(value) < 5 or " " in value or _REFERENCE.match(value) or _DUMMY.match(value):
+    def password(self, value: str, quoted: bool = False) -> bool:
+        """Whether a value in a context that names a password is one: what no word explains decides.
+
+        Digits, and letters beside signs, are explained by no word; a plain word
+        needs a longer residual. A quoted passphrase is four words or more that
+        aren't a sentence.
+        """
+        if len(value) < 4 or _REFERENCE.match(value) or _DUMMY.match(value):
             return False
         if any(c in "([" for c in value) and value.rstrip(")];").endswith(("(", "[")):
             return False
-        letters = any(c.isalpha() for c in value)
-        digits = any(c.isdigit() for c in value)
-        if letters and digits:
-            return True
-        return self.segment(value)[0] >= 6
+        left, letters = self.segment(value)
+        if " " in value:
+            words = value.split()
+            return quoted and len(words) >= 4 and all(w.isalpha() and w.islower() and len(w) > 2 for w in words) and not _SENTENCE_WORDS.intersection(words)
+        if any(c.isalpha() for c in value) and (left > letters or (quoted and _SIGNS.search(value) and letters >= 2)):
+            return len(value) >= 5 or bool(_SIGNS.search(value))
+        return left >= 6
 
     def spans(self, text: str) -> list[tuple[int, int]]:
         found: list[tuple[int, int]] = []
@@ -191,7 +210,7 @@ class Scanner:
         if "-----BEGIN" in text:
             for m in _PEM.finditer(text):
                 closed.append(m.span())
-                if "PRIVATE" in m.group(1):
+                if "PRIVATE" in m.group(1) and self.segment(_key_body(m.group()))[0] >= FREE:
                     found.append(m.span())
 
         def inside(at: int) -> bool:
@@ -209,11 +228,11 @@ class Scanner:
                     value = value.rstrip(".:")
                 elif _QUERY.search(value) or "://" in value:
                     continue
-                if not inside(start) and self.password(value):
+                if not inside(start) and self.password(value, name != "u"):
                     found.append((start, start + len(value)))
         if "://" in text:
             for m in _USERINFO.finditer(text):
-                if len(m["v"]) >= 4 and not _REFERENCE.match(m["v"]) and not _DUMMY.match(m["v"]):
+                if self.password(m["v"]):
                     found.append(m.span("v"))
         if "?" in text or "&" in text:
             for m in _QUERY.finditer(text):
@@ -253,7 +272,7 @@ class Scanner:
         try:
             plain = base64.b64decode(value + "=" * (-len(value) % 4), validate=True)
             if b":" in plain and plain.isascii():
-                return True
+                return self.password(plain.split(b":", 1)[1].decode())
         except (binascii.Error, ValueError):
             pass
         return self.segment(value)[0] >= NAMED
@@ -281,6 +300,12 @@ class Scanner:
         return left >= (ASSIGNED if _ASSIGN.search(before) else FREE)
 
 
+def _key_body(block: str) -> str:
+    """The characters between the first and the last line of a key, without white space and headers."""
+    lines = [x.strip() for x in re.split(r"\\n|\n", block)[1:-1] or re.split(r"-----", block)[2:3]]
+    return "".join(x for x in lines if ":" not in x)
+
+
 def _disjoint(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Sorted spans, overlapping ones merged."""
     out: list[tuple[int, int]] = []
