@@ -5,8 +5,9 @@ Weak supervision. Generous patterns propose spans of each kind; labelers
 span or abstain. Expectation-maximisation over the counts of vote patterns (all
 spans take part, as a few hundred counted patterns) estimates how reliable each
 labeler is for either class. Its posteriors train the final span classifier, a
-logistic regression over votes, word shapes, endings and neighbouring words, on
-at most ``TRAIN_SPANS`` spans per kind; the classifier decides on every span.
+logistic regression over votes, word shapes, endings and neighbouring words that
+starts from half of what the votes say, on at most ``TRAIN_SPANS`` spans per
+kind; the classifier decides on every span.
 
 Defined results: null and empty texts hold nothing; only nodes of ``TYPES``
 count, each as its row of the largest ``ord``; a name inside an e-mail address
@@ -48,15 +49,40 @@ ID_WORDS = re.compile(
 NOT_PERSONAL = re.compile(
     r"\b(?:tickets?|builds?|checksums?|ports?|commits?|version|route|request|issue|line|lines|order|invoice no\.?|ms at|release|revision|after|les?|took|counts|at|isbn|id|page|took|nur|essais|intentos)\s*#?:?\s*\Z", re.I
 )
-PHONE_CUES = re.compile(r"(?:\bT|\btel\.?|telefon\w*|tel[eé]fono|phone|mobile|mobil|handy|fax|call|reached on|left|unter|appelez|llame al?|cell|back on|\"tel\":\s*\"|;)\W{0,3}\Z", re.I)
-PHONE_AFTER = re.compile(r"\A\W{0,2}(?:\(?office hours|if the|on the|nur vormittags|line\b|ext\b|after the|;)", re.I)
-EMAIL_CUES = re.compile(r"(?:mailto:|report to|address is|replies go to|cc|e-?mail:?|mail:?|an|<|\(|;|\"mail\":\s*\"|\n)\s*<?(?:mailto:)?\Z", re.I)
-TITLES = frozenset("herr herrn frau ms mr mrs miss dr prof sr sra srta mme mlle don doña m".split())
-PARTICLES = frozenset("van von de del di da der den la le".split())
+PHONE_CUES = re.compile(
+    r"(?:\bT|\btel\.?|telefon\w*|tel[eé]fono|t[eé]l[eé]phone|phone|mobile|mobil|handy|fax|cell|whatsapp|call|dial|ring|text|reach(?:ed)?|contact|appelez|llam[ea]|anrufen|left|unter|"
+    r"(?:reach|ring|call|text|contact|get|phone) (?:me|us|him|her|them)(?: back)?|back)(?: (?:at|on|al?|au|unter|is|number))?\W{0,3}\Z|\"(?:tel|phone|mobile|fax)\":\s*\"\Z|;\Z", re.I
+)
+PHONE_AFTER = re.compile(r"\A\W{0,2}(?:\(?(?:office|business) hours|\(?(?:mobile|home|work|privat|dienstlich)\b|(?:nur )?(?:vormittags|nachmittags|abends)|line\b|ext\b|or (?:e-?mail|write)|;)", re.I)
+EMAIL_CUES = re.compile(r"(?:mailto:|(?:report|write|reply|mail) to|address is|replies go to|cc|e-?mail:?|mail:?|contact|an|<|\(|;|\"mail\":\s*\"|\n)\s*<?(?:mailto:)?\Z", re.I)
+TITLES = frozenset("herr herrn frau ms mr mrs miss dr prof sir madam sr sra srta señor señora señorita mme mlle monsieur madame mademoiselle don doña sig signor signora dhr mevr m".split())
+PARTICLES = frozenset("van von de del di da der den la le bin al dos".split())
+#: Given and family names in wide use, beside those of the project.
+WIDE_GIVEN = frozenset(
+    "adam ahmed aisha alan alex alexander alice amina amy ana andrea andrew anna anne antonio barbara ben carlos carol catherine charles chen christine claire daniel david deborah diana dmitri elena elizabeth emily emma erik fatima "
+    "frank franz george giovanni greta hannah hans helen hiroshi igor ingrid ivan jack jacob james jan jane jean jennifer jessica johann john jonas jorge josé juan julia karen karl katarzyna kate kenji kevin klaus lars laura "
+    "lena linda lisa liu lucas lucia luis margaret maria marie martin mary matthew michael miguel mohammed natalia nicole nikolai olga oliver olivia pablo patricia paul pedro peter petra pierre piotr priya rachel rajesh richard robert "
+    "sandra sarah sergei simon sofia sophie stefan stephen steven susan sven thomas tomasz ursula victoria vladimir wei william wolfgang yuki yusuf zoe".split()
+)
+WIDE_FAMILY = frozenset(
+    "smith johnson williams brown jones garcia miller davis rodriguez martinez hernandez lopez gonzalez wilson anderson taylor moore jackson lee thompson harris clark lewis robinson walker nguyen mueller schmidt schneider fischer weber "
+    "meyer wagner becker schulz hoffmann dubois lefebvre moreau laurent rossi russo ferrari ivanov petrov kowalski nowak novak horvath kim park choi tanaka sato suzuki wang li zhang singh patel khan ali okafor mensah silva santos".split()
+)
+#: Words that begin a sentence and are nobody's name.
+NOBODY = frozenset(
+    "he she they we you it i er sie wir ihr es il elle ils nous vous je tu on el ella ellos nosotros yo usted who this that these those there here the a an and or but if when where what why how my your our his her their "
+    "der die das ein eine und oder le la les un une et los las una y monday tuesday wednesday thursday friday saturday sunday january february march april june july august september october november december".split()
+)
 NAME_BEFORE = re.compile(
-    r"(?:\bAsk|-by:|\bCustomer|\bInvoice for|\"contact\":\s*\"|\"name\":\s*\"|\bBitte|\b(?:Thanks|Gruß|Grüße|Regards|Merci|Cordialement|Saludos|Gracias),?\s+|\n-- ?\n|\bcall with|\bVertrag mit|\bthis is|\bclient|\b[Cc]ontact|\b[Aa]ssigned to|\bAssignee:|\b[Rr]eported by|\b[Ll]aut|\bZuständig ist|\baccording to|\bselon|\bsegún)\s*\Z"
+    r"(?:\b(?:Dear|Hi|Hello|Hey|Lieber?|Hallo|Guten Tag|Hola|Estimad[oa]|Querid[oa]|Ch[eè]re?|Bonjour|[Mm]y name is|I am|I'm|[Tt]his is|[Mm]ein Name ist|[Ii]ch (?:bin|heiße)|[Mm]e llamo|[Jj]e m'appelle|[Aa]sk|[Bb]itte|[Cc]ontact|[Cc]lient|"
+    r"[Cc]ustomer|[Pp]atient|[Aa]ccording to|[Aa]ssigned to|[Ss]igned by|[Ww]ritten by|[Rr]eported by|[Ll]aut|[Zz]uständig ist|[Ss]elon|[Ss]egún|[Ii]nvoice (?:for|to)|[Bb]ill to|Rechnung (?:für|an)|"
+    r"(?:call|meeting|talk|appointment|contract|Vertrag|Termin|Gespräch|contrat|contrato|cita) (?:with|mit|avec|con))|-by:|\b(?:Assignee|Customer|Contact|Author|Owner|Name|Attn)\.?:|\"(?:name|contact|author|owner|customer|assignee)\":\s*\"|"
+    r"\b(?:Thanks|Cheers|Regards|Sincerely|Yours|Gruß|Grüße|Merci|Cordialement|Saludos|Gracias|Atentamente),?\s+|\n-- ?\n)\s*\Z"
+)
+NAME_AFTER = re.compile(
+    r"\A(?: (?:lives?|lived|works?|worked|said|says|wrote|writes|reported|reports|confirmed|called|calls|asked|asks|replied|told|gave|sent|signed|joined|mentioned|owns|speaking|schrieb|sagte|meldete? sich|wohnt|arbeitet|rief|bat|bittet|vive|"
+    r"escribió|dijo|trabaja|llamó|pidió|habite|travaille|appelle|écrit|demande)\b| \([^)\n]*(?:@|[\[({]at[\])}])|\s*<\S+@|, (?:Flat|Apt|P\.O\.|\d|wohnhaft|domiciliad|demeurant|aged|born)|\", \"(?:e?mail|phone|tel)\"|;[A-Z][\w'’-]+;)"
 )
-NAME_AFTER = re.compile(r"\A(?: lives at| gave | owns the | meldet sich| gilt die Mail| speaking| wegen | about the | \([^)\n]*@|\s*<\S+@| said | wrote | reported | confirmed |, (?:Flat|P\.O\.|\d|wohnhaft)| schrieb|\", \"mail\"|;[A-Z][\w'’-]+;|, due after)")
 RELEASE = re.compile(r"\A(?: [A-Z]\w+)? (?:release|roadmap|team|suite|server|project)\b")
 STREET = r"(?:Street|St|Road|Rd|Lane|Ln|Avenue|Ave|Drive|Dr|Boulevard|Blvd|Court|Ct|Place|Square|Way|Terrace|Close|Crescent|Row)"
 # ---- end of fixed values --------------------------------------------------------------------
@@ -64,8 +90,10 @@ STREET = r"(?:Street|St|Road|Rd|Lane|Ln|Avenue|Ave|Drive|Dr|Boulevard|Blvd|Court
 _DOT = r"(?:\s*(?:\[dot\]|\(dot\)|\{dot\})\s*|\.)"
 _AT = r"(?:\s*(?:\[at\]|\(at\)|\{at\})\s*|\s?@\s?)"
 AT_SIGN = re.compile(r"@|[\[({]at[\])}]", re.I)
-LOCAL_LENGTH = 96
-EMAIL = re.compile(rf"(?<![A-Za-z0-9_%+\-])[A-Za-z0-9_%+\-]+(?:{_DOT}[A-Za-z0-9_%+\-]+)*{_AT}[A-Za-z0-9\-]+(?:{_DOT}[A-Za-z0-9\-]+)*{_DOT}[A-Za-z]{{2,}}", re.I)
+_TOD = r"(?:\s*(?:\]tod\[|\)tod\(|\}tod\{)\s*|\.)"
+#: The local part of an address, read backwards from its sign; and what follows the sign.
+LOCAL_BACK = re.compile(rf"[\w%+\-]+(?:{_TOD}[\w%+\-]+)*", re.I)
+DOMAIN = re.compile(rf"{_AT}[\w\-]+(?:{_DOT}[\w\-]+)*{_DOT}[^\W\d_]{{2,}}", re.I)
 PHONE = re.compile(r"(?<![\w.\-/:#])\+?\(?\d[\d ()./\-]{5,20}\d(?:\s*(?:ext|x|Durchwahl)\.?\s*\d+)?(?![\w]|[.\-/:]\d)")
 _NUMERAL = r"(?:zero|oh|one|two|three|four|five|six|seven|eight|nine|double|null|eins|zwei|drei|vier|fünf|sechs|sieben|acht|neun|cero|uno|dos|tres|cuatro|cinco|seis|siete|ocho|nueve|zéro|un|deux|trois|quatre|cinq|sept|huit|neuf)"
 SPOKEN = re.compile(rf"\b{_NUMERAL}(?:[ ,\-]+{_NUMERAL}){{5,}}\b", re.I)
@@ -74,16 +102,19 @@ ID_NUMBER = re.compile(
 )
 _CAP = r"[A-ZÀ-ÖØ-Þ][\wÀ-ÿ'’\-]+"
 ADDRESS = re.compile(
-    rf"(?:(?:Flat|Apt\.?|Unit|Suite) \w+, )?\d{{1,5}}[a-z]?,? (?:{_CAP} ){{1,3}}{STREET}\b\.?(?:, (?:Apt|Flat|Unit|Suite)\.? \w+)?(?:, {_CAP}(?: [A-Z]{{1,2}}\d{{1,2}} ?\d[A-Z]{{2}}|, [A-Z]{{2}} \d{{5}})?)?"
+    rf"(?:(?:Flat|Apt\.?|Unit|Suite) \w+, )?\d{{1,5}}[A-Za-z]?,? (?:{_CAP} ){{1,3}}{STREET}\b\.?(?:, (?:Apt|Flat|Unit|Suite)\.? \w+)?(?:, {_CAP}(?: [A-Z]{{1,2}}\d{{1,2}} ?\d[A-Z]{{2}}|, [A-Z]{{2}} \d{{5}})?)?"
     rf"|\d{{1,4}}(?: ?(?:bis|ter))?,? (?:rue|avenue|boulevard|place|chemin|allée|impasse|quai)(?: (?:de la|de l'|des|du|de|d'))? ?{_CAP}(?:,\s*\d{{5}} {_CAP})?"
-    rf"|\b(?:[Cc]alle|[Aa]venida|[Pp]laza|[Pp]aseo)(?: (?:de la|del|de los|de))? {_CAP},? \d{{1,4}}(?:,\s*\d{{5}} {_CAP})?"
+    rf"|\b(?:[Cc]alle|[Aa]venida|[Pp]laza|[Pp]aseo|[Vv]ia|[Vv]iale|[Pp]iazza|[Cc]orso|[Rr]ua|[Pp]raça)(?: (?:de la|del|de los|de|da|do|dei|della))? {_CAP},? \d{{1,4}}(?:,\s*\d{{5}} {_CAP})?"
     rf"|\b(?:{_CAP}(?:straße|strasse|str\.|weg|gasse|platz|allee|ufer|damm|ring)|{_CAP}(?: |-)(?:Straße|Strasse|Str\.|Weg|Gasse|Platz|Allee)) \d{{1,4}} ?[a-z]?\b(?:,?\s+\d{{5}} {_CAP})?"
     rf"|\bP\.? ?O\.? Box \d+(?:, {_CAP})?|\b(?:Postfach|Apartado|Boîte postale|BP) \d+(?:,? \d{{5}})?(?: {_CAP})?"
 )
-STREET_SIGN = re.compile(rf"\b{STREET}\b|straße|strasse|str\. |weg \d|gasse \d|platz \d|allee \d|ufer \d|damm \d|ring \d|Straße|Platz|\b(?:rue|avenue|boulevard|place|chemin|allée|impasse|quai)\b|[Cc]alle |venida |laza |aseo |O\.? Box|Postfach|Apartado|postale|BP \d")
+STREET_SIGN = re.compile(rf"\b{STREET}\b|straße|strasse|str\. |weg \d|gasse \d|platz \d|allee \d|ufer \d|damm \d|ring \d|Straße|Platz|\b(?:rue|avenue|boulevard|place|chemin|allée|impasse|quai)\b|[Cc]alle |venida |laza |aseo |[Vv]iale? |iazza |orso |[Rr]ua |raça |O\.? Box|Postfach|Apartado|postale|BP \d")
 CITY = re.compile(rf"(?:\b\d{{5}} {_CAP}|[A-Z]{{1,2}}\d{{1,2}} \d[A-Z]{{2}}\b|\b[A-Z]{{2}} \d{{5}}\b|, {_CAP}\Z)")
-ADDRESS_CUES = re.compile(r"(?:lives? at|live at|address is|Anschrift:|address:|adresse\s*:|wohnt in|habite(?: au)?|vive en|device to|moved to|wohnhaft(?: in)?|domiciliad[oa] en|demeurant(?: au)?|ship to|Invoice for [^.]{3,40},|;|,|\n|\"address\":\s*\")\s*\Z", re.I)
-ADDRESS_AFTER = re.compile(r"\A(?:\.| and can be reached| last week|, ring|;|\n|\"|,|\Z)")
+ADDRESS_CUES = re.compile(
+    r"(?:liv(?:es?|ed|ing) (?:at|in)|address is|offices? (?:is|at)|Anschrift:|address:|adresse\s*:|wohnt in|habite(?: au)?|vive en|(?:moved|send|sent|ship|shipped|deliver|delivered)(?: \w+){0,4} to|wohnhaft(?: in)?|domiciliad[oa] en|demeurant(?: au)?|;|,|:|\n|\"address\":\s*\")\s*\Z",
+    re.I,
+)
+ADDRESS_AFTER = re.compile(r"\A(?:\.|;|\n|\"|,|\)|\Z)")
 _UPPER = "".join(c for c in map(chr, range(0x1F000)) if c.isupper() or c.istitle())
 _INNER = r"(?:[^\W\d_]|['’\u0300-\u036f])"
 _NAME_START, _NAME_END = r"(?<![\w@.+/\\\-\[#$])", r"(?![\w'’\u0300-\u036f@+/\\\[(]|\.\w|-\w)"
@@ -92,6 +123,8 @@ NAME = re.compile(rf"{_NAME_START}[{_UPPER}]{_INNER}{{3,}}(?:-[{_UPPER}]{_INNER}
 SHORT_NAME = re.compile(rf"{_NAME_START}[{_UPPER}]{_INNER}{{1,2}}(?:-[{_UPPER}]{_INNER}+)*{_NAME_END}")
 SAID = re.compile(r"\bthis is (?:[\w'’\-]+ ){1,2}(?:van |von |de )?(?P<n>[\w'’\-]{4,}) speaking", re.I)
 _LOWER = re.compile(r"(?<![\w@.+/\-])[a-zà-öø-ÿß]{2,}(?![\w@+/]|-\w)")
+_PAIR = re.compile(r"(?P<n>[^\W\d_]{2,}) (?:and|und|y|et|&) \Z")
+BANK = re.compile(r"(?:\b[A-Z]{2}\d{2}(?: ?[\dA-Z]{4})* ?|\bIBAN\W{0,3}|\bBIC\W{0,3})\Z")
 _PREV = re.compile(r"([\w'’.\-]+)(\W{0,3})\Z")
 _NEXT = re.compile(r"\A(\W{0,3})([\w'’\-]+)")
 
@@ -102,6 +135,16 @@ def fold(word: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFKD", word) if not unicodedata.combining(c))
 
 
+def name_key(word: str) -> str:
+    """Under what a family name is counted."""
+    return fold(word.rpartition("-")[2])
+
+
+def lexicon_vote(n: int, favoured: int) -> str:
+    """What ``n`` proposals of a word, of which ``favoured`` have a given name or a title before them, say of each of them."""
+    return "+" if favoured >= 2 and 5 * favoured >= n else "-" if n >= 8 and not favoured else "0"
+
+
 def _shape(s: str) -> str:
     return re.sub(r"a+", "a", re.sub(r"[A-Z]", "A", re.sub(r"[a-z]{2,}", "a", re.sub(r"\d", "9", s))))[:24]
 
@@ -115,15 +158,22 @@ class Labelers:
     def spans(self, text: str) -> Iterator[tuple[str, int, int, str, list[str]]]:
         """(kind, start, end, votes, features); votes are ``+``, ``-`` or ``0`` per labeler."""
         mails = []
+        back = ""
         for at in AT_SIGN.finditer(text):
-            if mails and at.start() < mails[-1][1]:
+            first = at.start()
+            while first and text[first - 1].isspace() and at.start() - first < 3:
+                first -= 1
+            domain = DOMAIN.match(text, first) or DOMAIN.match(text, at.start())
+            if not domain or mails and at.start() < mails[-1][1]:
                 continue
-            # the local part begins at most LOCAL_LENGTH characters before the sign
-            first = max(mails[-1][1] if mails else 0, at.start() - LOCAL_LENGTH)
-            m = next((x for x in EMAIL.finditer(text, first) if x.start() <= at.start() < x.end() or x.start() > at.start()), None) if first < at.start() else None
-            if m and m.start() <= at.start() < m.end():
-                mails.append(m.span())
-                yield self.mail(text, m)
+            back = back or text[::-1]
+            local = LOCAL_BACK.match(back, len(text) - domain.start())
+            if not local:
+                continue
+            start = max(len(text) - local.end(), mails[-1][1] if mails else 0)
+            if start < domain.start():
+                mails.append((start, domain.end()))
+                yield self.mail(text, start, domain.end(), text[start : domain.start()])
         taken = list(mails)
         for m in ADDRESS.finditer(text) if STREET_SIGN.search(text) else ():
             if not _within(m.start(), taken):
@@ -156,16 +206,14 @@ class Labelers:
                     if found:
                         yield found
 
-    def mail(self, text: str, m: re.Match):
-        s = m.group()
-        name = re.split(_AT, s)[0]
-        before, after = text[max(0, m.start() - 24) : m.start()], text[m.end() : m.end() + 3]
+    def mail(self, text: str, start: int, end: int, name: str):
+        before, after = text[max(0, start - 24) : start], text[end : end + 3]
         service = name.lower() in SERVICE_LOCALS
         path = bool(re.match(r":[\w/~]", after))
         parts = [p for p in re.split(r"[._\-+\s\[\]()]+|dot", fold(name)) if p]
         person = any(p in self.given for p in parts) or any(len(p) >= 6 and p.isalpha() and p not in self.common for p in parts)
         votes = ("-" if service else "0") + ("-" if path else "0") + ("+" if EMAIL_CUES.search(before) else "0") + ("+" if person else "-")
-        return "EMAIL", m.start(), m.end(), votes, [f"local={name.lower()}" if service else "local", f"at={'@' in s}", f"path={path}"]
+        return "EMAIL", start, end, votes, [f"local={name.lower()}" if service else "local", f"at={'@' in text[start:end]}", f"path={path}"]
 
     def phone(self, text: str, m: re.Match):
         s = m.group()
@@ -182,7 +230,7 @@ class Labelers:
             or re.match(r"(?:1[ .\-])?\(?555\)?[ .\-]\d", s)
             or re.fullmatch(r"\(?\d{3}\)?[ .\-]\d{3}[ .\-]\d{4}", s)
         )
-        identity = bool(ID_WORDS.search(text[max(0, m.start() - 44) : m.start()]))
+        identity = bool(ID_WORDS.search(text[max(0, m.start() - 44) : m.start()]) or BANK.search(before))
         bad = bad or identity
         cue = bool(PHONE_CUES.search(before) or PHONE_AFTER.match(after))
         against = bool(NOT_PERSONAL.search(before)) and not PHONE_CUES.search(before)
@@ -197,8 +245,8 @@ class Labelers:
             return None
         number = sum(c.isdigit() for c in s)
         against = bool(NOT_PERSONAL.search(before)) and not cue
-        told = bool(re.match(r"(?: again| in clear| over the phone|, status| offen|\.|,|\n)", after)) or bool(re.search(r"(?:need your|gave|Record found:|form shows|Formular steht)\W[\w \-éú]{2,40}\Z", before))
-        votes = ("+" if cue else "-") + ("+" if number >= 6 else "-") + ("-" if against else "0") + ("+" if told else "0")
+        ends = bool(re.match(r"(?:[.,;)\n]|\Z)", after))
+        votes = ("+" if cue else "-") + ("+" if number >= 6 else "-") + ("-" if against else "0") + ("+" if ends else "0")
         return "ID_NUMBER", m.start(), m.end(), votes, [f"shape={_shape(s)}", f"prev={_word_before(before)}"]
 
     def address(self, text: str, m: re.Match):
@@ -213,9 +261,9 @@ class Labelers:
 
     def name(self, text: str, start: int, end: int, local: str):
         word = text[start:end]
-        key = fold(word.rpartition("-")[2])
+        key = name_key(word)
         common = word.lower() in self.common
-        if fold(word) in self.given:
+        if fold(word) in self.given or word.lower() in NOBODY:
             return None
         # what leads to the word: particles and initials, a given name, a title
         given = titled = False
@@ -234,19 +282,27 @@ class Labelers:
             if low in TITLES:
                 titled, first = True, p.start()
                 break
-            if fold(token) in self.given:
+            if fold(token) in self.given or fold(token) in WIDE_GIVEN and token[:1].isupper():
                 given, first = True, p.start()
             elif low in PARTICLES or len(token) == 1 and token.isupper():
                 first = p.start()
-            elif not given and not step and not common and token[:1].isupper() and low not in self.common:
+            elif (
+                not given and not step and not common and token[:1].isupper() and low not in NOBODY and not NAME_BEFORE.search(text, max(0, first - 24), first)
+                and (low not in self.common or NAME_BEFORE.search(text, max(0, p.start() - 24), p.start()))
+            ):
                 # a given name that isn't known; what is before it decides
                 first = p.start()
             else:
                 break
         after = text[end : end + 40]
         n = _NEXT.match(after)
-        if n and n.group(1) in (", ", ";") and fold(n.group(2)) in self.given:
+        if n and n.group(1) in (", ", ";") and (fold(n.group(2)) in self.given or fold(n.group(2)) in WIDE_GIVEN):
             given = True
+        if not given and fold(word) in WIDE_GIVEN:
+            return None
+        wide = key in WIDE_FAMILY
+        pair = _PAIR.search(text, max(0, start - 40), start)
+        wide = wide or bool(pair) and name_key(pair["n"]) in WIDE_FAMILY
         if common and not (given or titled):
             return None
         cue = bool(NAME_BEFORE.search(text, max(0, first - 24), first)) or bool(NAME_AFTER.match(after))
@@ -261,9 +317,11 @@ class Labelers:
             + ("-" if RELEASE.match(after) else "0")
             + ("-" if follows else "0")
             + ("+" if mail else "0")
-            + ("-" if not (given or titled or cue or mail) else "0")
+            + ("+" if wide else "0")
+            + "0"  # what the corpus says of the word, see ``lexicon_vote``
+            + ("-" if not (given or titled or cue or mail or wide) else "0")
         )
-        features = [f"e3={key[-3:]}", f"e4={key[-4:]}", f"opens={opens}", f"prev={fold(prev)[:12]}", f"next={fold(n.group(2))[:12] if n else ''}", f"caps={word.isupper()}", f"hyphen={'-' in word}"]
+        features = [f"e3={key[-3:]}", f"opens={opens}", f"prev={fold(prev)[:12]}", f"next={fold(n.group(2))[:12] if n else ''}", f"caps={word.isupper()}", f"hyphen={'-' in word}"]
         return "NAME", first if given or titled else start, end, votes, features
 
 
@@ -276,8 +334,8 @@ def _within(at: int, spans: list[tuple[int, int]]) -> bool:
     return any(a <= at < b for a, b in spans)
 
 
-def reliabilities(patterns: dict[str, int], rounds: int = EM_ROUNDS) -> dict[str, float]:
-    """Posterior of the true class for each vote pattern, by EM over pattern counts.
+def label_model(patterns: dict[str, int], rounds: int = EM_ROUNDS) -> dict[str, float]:
+    """What each vote says of the true class, as log odds by labeler and vote (``r0+``), and the ``prior``; by EM over pattern counts.
 
     A labeler has a distribution of its three votes under either class. They
     start in favour of what the votes say, with pseudo-counts that keep a
@@ -292,41 +350,56 @@ def reliabilities(patterns: dict[str, int], rounds: int = EM_ROUNDS) -> dict[str
     lean = (votes == 2).sum(1) - 1.5 * (votes == 0).sum(1)
     post = 1 / (1 + np.exp(-1.5 * (lean - 0.5)))
     prior_votes = np.array([[1.0, 4.0, 0.25], [0.1, 4.0, 1.5]])
+    said: dict[str, float] = {}
     for _ in range(rounds):
         prior = np.clip((n * post).sum() + 1, 1e-9, None) / (n.sum() + 2)
-        log = np.tile(np.log([1 - prior, prior]), (len(rows), 1))
+        odds = np.full(len(rows), math.log(prior / (1 - prior)))
+        said = {"prior": float(odds[0])}
         for j in range(votes.shape[1]):
+            by_class = []
             for y, p in ((0, 1 - post), (1, post)):
                 held = np.bincount(votes[:, j], weights=n * p, minlength=3) + prior_votes[y] * max(1.0, 0.002 * n.sum())
-                log[:, y] += np.log(held / held.sum())[votes[:, j]]
-        new = 1 / (1 + np.exp(np.clip(log[:, 0] - log[:, 1], -40, 40)))
+                by_class.append(np.log(held / held.sum()))
+            odds += (by_class[1] - by_class[0])[votes[:, j]]
+            said |= {f"r{j}{c}": float(by_class[1][i] - by_class[0][i]) for i, c in enumerate("-0+")}
+        new = 1 / (1 + np.exp(-np.clip(odds, -40, 40)))
         if np.abs(new - post).max() < 1e-6:
             break
         post = new
-    return dict(zip(rows, post))
+    return said
+
+
+def log_odds(model: dict[str, float], votes: str) -> float:
+    """What a vote pattern, seen before or not, says of the true class."""
+    return model.get("prior", 0.0) + sum(model.get(f"r{j}{c}", 0.0) for j, c in enumerate(votes))
+
+
+def reliabilities(patterns: dict[str, int], rounds: int = EM_ROUNDS) -> dict[str, float]:
+    """Posterior of the true class for each vote pattern."""
+    model = label_model(patterns, rounds)
+    return {v: 1 / (1 + math.exp(-max(-40.0, min(40.0, log_odds(model, v))))) for v in patterns}
+
+
+def _offset(model: dict[str, float], votes: str) -> float:
+    """Where the classifier starts from: half of what the votes say, within bounds."""
+    return 0.5 * max(-8.0, min(8.0, log_odds(model, votes)))
 
 
 def _named(votes: str, features: list[str]) -> list[str]:
-    """Features of a span: all votes but the eighth, which only says that no other labeler is in favour."""
-    return ["bias", *(f"v{i}{c}" for i, c in enumerate(votes[:7])), *features]
+    """Features of a span: all votes but a name's last, which only says that no other labeler is in favour."""
+    return ["bias", *(f"v{i}{c}" for i, c in enumerate(votes[:-1] if len(votes) > 4 else votes)), *features]
 
 
-def train(spans: list[tuple[str, list[str]]], posterior: dict[str, float], steps: int = 300) -> dict[str, float]:
-    """Weights of a logistic regression fitted to the label model's posteriors."""
-    counts = Counter(f for votes, features in spans for f in _named(votes, features))
+def train(spans: list[tuple[str, list[str]]], model: dict[str, float], steps: int = 300) -> dict[str, float]:
+    """Weights of a logistic regression fitted to the label model's posteriors, with the model's own (see ``label_model``)."""
+    # each span counts twice, once without its words: words that weren't seen in training must not decide
+    twice = [*spans, *((votes, []) for votes, _ in spans)]
+    counts = Counter(f for votes, features in twice for f in _named(votes, features))
     index = {f: i for i, f in enumerate(sorted(f for f, c in counts.items() if c >= 2 or f == "bias"))}
     rows, cols = [], []
-    target = np.array([posterior.get(v, 0.5) for v, _ in spans])
-    # a word no labeler favours takes the share of its ending's spans that are favoured, if most are
-    ending = [next((f for f in features if f.startswith("e4=")), "") for _, features in spans]
-    held: dict[str, list[float]] = defaultdict(list)
-    for e, t in zip(ending, target):
-        held[e].append(t)
-    share = {e: sum(t) / len(t) for e, t in held.items() if e and len(t) >= 5}
-    for i, (votes, _) in enumerate(spans):
-        if "+" not in votes and "-" not in votes[:7] and share.get(ending[i], 0) > 0.5:
-            target[i] = share[ending[i]]
-    for i, (votes, features) in enumerate(spans):
+    offset = np.array([_offset(model, v) for v, _ in twice])
+    target = 1 / (1 + np.exp(-np.clip([log_odds(model, v) for v, _ in twice], -40, 40)))
+    for i, (votes, features) in enumerate(twice):
         for f in _named(votes, features):
             if f in index:
                 rows.append(i)
@@ -336,15 +409,15 @@ def train(spans: list[tuple[str, list[str]]], posterior: dict[str, float], steps
     rows_, cols_ = np.array(rows), np.array(cols)
     w, seen = np.zeros(len(index)), np.full(len(index), 1e-8)
     for _ in range(steps):
-        z = np.bincount(rows_, weights=w[cols_], minlength=len(spans))
+        z = offset + np.bincount(rows_, weights=w[cols_], minlength=len(twice))
         g = np.bincount(cols_, weights=(1 / (1 + np.exp(-np.clip(z, -30, 30))) - target)[rows_], minlength=len(index)) + 0.3 * w
         seen += g * g
         w -= 0.5 * g / np.sqrt(seen)
-    return {f: float(w[i]) for f, i in index.items()}
+    return model | {f: float(w[i]) for f, i in index.items()}
 
 
 def score(weights: dict[str, float], votes: str, features: list[str]) -> float:
-    return 1 / (1 + math.exp(-max(-30.0, min(30.0, sum(weights.get(f, 0.0) for f in _named(votes, features))))))
+    return 1 / (1 + math.exp(-max(-30.0, min(30.0, _offset(weights, votes) + sum(weights.get(f, 0.0) for f in _named(votes, features))))))
 
 
 def common_words(texts: DataFrame) -> DataFrame:
@@ -368,38 +441,46 @@ def proposals(nodes: DataFrame, given_names: DataFrame) -> DataFrame:
     counted = staged(common_words(texts).where("n >= 3"), "lower-words")
     total = counted.agg(F.sum("n")).first()[0] or 0
     common = frozenset(r["word"] for r in counted.where(F.col("n") >= F.lit(total * COMMON_SHARE)).collect())
-    # the gazetteer is a fixed table; its size is bounded here all the same
-    given = frozenset(fold(r[0]) for r in given_names.select("given_name").where("given_name is not null").distinct().limit(100_000).collect())
+    # the project's own names: a fixed table, kept whole
+    given = frozenset(fold(r[0]) for r in given_names.select("given_name").where("given_name is not null").distinct().toLocalIterator())
     known = spark.sparkContext.broadcast((given, common))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labelers = Labelers(*known.value)
         for batch in batches:
-            out: list[list] = [[] for _ in range(7)]
+            out: list[list] = [[] for _ in range(8)]
             for i, o, t in zip(*(c.to_pylist() for c in batch.columns)):
                 for kind, a, b, votes, features in labelers.spans(t):
-                    for column, v in zip(out, (i, o, kind, a, b, votes, features)):
+                    word = name_key(re.split(r"\s", t[a:b])[-1]) if kind == "NAME" else None
+                    for column, v in zip(out, (i, o, kind, a, b, votes, features, word)):
                         column.append(v)
-            types = (pa.string(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names=["id", "ord", "kind", "start", "end", "votes", "features"])
+            types = (pa.string(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.list_(pa.string()), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names=["id", "ord", "kind", "start", "end", "votes", "features", "word"])
 
-    schema = "id string, ord bigint, kind string, start int, end int, votes string, features array<string>"
-    return staged(texts.mapInArrow(run, schema), "proposals")
+    schema = "id string, ord bigint, kind string, start int, end int, votes string, features array<string>, word string"
+    raw = staged(texts.mapInArrow(run, schema), "proposals")
+    # a word that elsewhere stands behind given names and titles is a name here too
+    favoured = F.col("votes").startswith("+") | (F.substring("votes", 2, 1) == "+")
+    lexicon = raw.where("word is not null").groupBy("word").agg(F.count("*").alias("_n"), F.count(F.when(favoured, 1)).alias("_f"))
+    said = lexicon.select("word", F.when((F.col("_f") >= 2) & (5 * F.col("_f") >= F.col("_n")), "+").when((F.col("_n") >= 8) & (F.col("_f") == 0), "-").alias("_vote")).where("_vote is not null")
+    last = F.when(F.col("_vote") == "+", "0").otherwise(F.substring("votes", 10, 1))
+    votes = F.when(F.col("_vote").isNull(), F.col("votes")).otherwise(F.concat(F.substring("votes", 1, 8), "_vote", last))
+    return staged(raw.join(said, "word", "left").select("id", "ord", "kind", "start", "end", votes.alias("votes"), "features"), "voted")
 
 
 def fit(spans: DataFrame) -> dict[str, dict[str, float]]:
-    """Classifier weights by kind; at most 3^8 vote patterns and ``TRAIN_SPANS`` spans a kind reach the driver."""
+    """Classifier weights by kind; at most 3^9 vote patterns and ``TRAIN_SPANS`` spans a kind reach the driver."""
     patterns: dict[str, dict[str, int]] = defaultdict(dict)
     for r in spans.groupBy("kind", "votes").agg(F.count("*").alias("n")).collect():
         patterns[r["kind"]][r["votes"]] = r["n"]
     weights = {}
     for kind in KINDS:
-        posterior = reliabilities(patterns[kind])
+        model = label_model(patterns[kind])
         # thinned by hash first: the top of every task's rows would reach the driver otherwise
         thin = max(1, sum(patterns[kind].values()) // (TRAIN_SPANS * 5 // 4))
         some = spans.where(F.col("kind") == kind).select("votes", "features", F.xxhash64("id", "start").alias("_h"), "id", "start")
         some = some.where(F.pmod("_h", F.lit(thin)) == 0).orderBy("_h", "id", "start").limit(TRAIN_SPANS)
-        weights[kind] = train([(r["votes"], r["features"]) for r in some.select("votes", "features").collect()], posterior)
+        weights[kind] = train([(r["votes"], r["features"]) for r in some.select("votes", "features").collect()], model)
     return weights
 
 
