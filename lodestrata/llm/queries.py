@@ -52,6 +52,11 @@ def p3_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p03_neighbours.recall(table(spark, sf_dir, "embedding_entries"))
 
 
+def p3_recall_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # the setting that p3_found uses
+    return p03_neighbours.recall(table(spark, sf_dir, "embedding_entries"), relax=p03_neighbours.PAIR_RELAX, min_cosine=0.9)
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p04_near_duplicates.similar_pairs(table(spark, sf_dir, "knowledge_nodes"))
 
@@ -81,6 +86,10 @@ def p6_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p06_conversations.conversations(table(spark, sf_dir, "session_messages"))
 
 
+def p6_linked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p06_conversations.relinked(table(spark, sf_dir, "session_messages"))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p07_secrets.find_credentials(table(spark, sf_dir, "knowledge_nodes"))
 
@@ -128,7 +137,7 @@ def p10_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (p1_found, p1_pieces, p2_found, p2_masked, p3_found, p3_neighbours, p3_recall, p4_found, p4_groups, p5_found, p5_ranking, p6_found, p6_turns, p7_found, p7_redacted, p8_ids, p8_counts_by_source, p9_found, p9_packs, p9_fill, p10_found, p10_shares, p10_ablation)
+    for f in (p1_found, p1_pieces, p2_found, p2_masked, p3_found, p3_neighbours, p3_recall, p3_recall_pairs, p4_found, p4_groups, p5_found, p5_ranking, p6_found, p6_turns, p6_linked, p7_found, p7_redacted, p8_ids, p8_counts_by_source, p9_found, p9_packs, p9_fill, p10_found, p10_shares, p10_ablation)
 }
 
 ORACLE_SQL: dict[str, str] = {}

@@ -6,6 +6,7 @@ import json
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from lodestrata.llm import components as CC
@@ -105,9 +106,8 @@ def test_factor_one_is_exact_over_several_shards(spark):
         v = centres[a] * 40 + rng.normal(size=8) * 2 if i % 20 else (centres[a] + centres[b]) * 25 + rng.normal(size=8) * 12
         rows.append((i, f"n{i}", np.clip(np.round(v), -127, 127).astype(np.int8).tobytes(), 0.1, "toy-8"))
     df = entries(spark, rows)
-    assert P3._fit_routers(P3.usable_entries(df))["toy-8"].leaves > 2
     got = collections.defaultdict(list)
-    for r in P3.nearest(df, k=10, relax=1.0).orderBy("id", "rank").collect():
+    for r in P3.nearest(df, k=10, relax=1.0, cell_rows=100).orderBy("id", "rank").collect():
         got[r["id"]].append(r["neighbour"])
     want = brute_neighbours(rows, 10)
     assert dict(got) == {i: [j for _, j in w] for i, w in want.items()}
@@ -115,7 +115,27 @@ def test_factor_one_is_exact_over_several_shards(spark):
     cosine = lambda i, j: x[i] @ x[j] / np.linalg.norm(x[i]) / np.linalg.norm(x[j])
     best = {i: {j for _, j in w} for i, w in want.items()}
     pairs = {(i, j) for i in want for j in best[i] if i < j and i in best[j] and cosine(i, j) >= 0.9}
-    assert {tuple(r) for r in P3.mutual_pairs(df, relax=1.0).collect()} == pairs and pairs
+    assert {tuple(r) for r in P3.mutual_pairs(df, relax=1.0, cell_rows=100).collect()} == pairs and pairs
+
+
+def test_cells_are_parted_until_they_fit():
+    rng = np.random.default_rng(3)
+    x = P3.unit(rng.normal(size=(4000, 12)))  # no sparse shell anywhere
+    router = P3.fit_router(x, share=2.0, most=500)
+    sizes = np.bincount(router.home(x), minlength=router.leaves)
+    assert sizes.sum() == 4000 and sizes.max() * 2 <= 500
+    assert P3.fit_router(x, share=0.1, most=500).leaves == 1
+    assert P3.fit_router(np.tile(x[:1], (3000, 1)), most=500).leaves == 1  # nothing tells them apart
+
+
+def test_many_models_and_levels(spark):
+    rng = np.random.default_rng(13)
+    rows = [(i, f"n{i}", rng.integers(-60, 61, 8).astype(np.int8).tobytes(), 0.1, f"m{i % 70}-8") for i in range(1400)]
+    rows += [(5000 + i, f"n{i}", rng.integers(-60, 61, 8).astype(np.int8).tobytes(), 0.1, "big-8") for i in range(1200)]
+    got = collections.defaultdict(list)
+    for r in P3.nearest(entries(spark, rows), k=5, relax=1.0, cell_rows=60).orderBy("id", "rank").collect():
+        got[r["id"]].append(r["neighbour"])
+    assert dict(got) == {i: [j for _, j in w] for i, w in brute_neighbours(rows, 5).items()}
 
 
 def test_divisible(spark):
@@ -169,6 +189,19 @@ def test_cyclic_texts_share_few_sequences(spark):
     assert {tuple(r) for r in P4.similar_pairs(spark.createDataFrame(rows, NODES)).collect()} == want and len(want) >= 4
 
 
+def test_counts_are_exact_and_prefixes_rare_first(spark):
+    rng = random.Random(8)
+    rows = [(f"n{i}", "turn", "", " ".join(rng.choice("abcdefghij") * 2 for _ in range(rng.randint(20, 60))) + f" only{i}", None, None, i, 0) for i in range(120)]
+    rows += [(f"m{i}", "turn", "", rows[i][3], None, None, 1000 + i, 0) for i in range(60)]  # copies count once
+    sets = {r[3]: {int(h) for h in P4.sequences(P4.words_of(r[3]))} for r in rows}
+    times = collections.Counter(h for s in sets.values() for h in s)
+    outline = P4.staged(P4._outline(P4._counted_texts(spark.createDataFrame(rows, NODES).repartition(5))), "outline")
+    got = P4.prefix_rows(outline).collect()
+    shared = {frozenset(int(h) for h in P4._wide(bytes(r["shared"]))) for r in got if r["seq"] is None}
+    assert shared == {frozenset(h for h in s if times[h] > 1) for s in sets.values()}
+    assert all(times[r["seq"]] > 1 for r in got if r["seq"] is not None)
+
+
 def test_many_exact_copies_are_listed_with_their_representative(spark):
     text = " ".join(f"t{i}" for i in range(30))
     n = P4.EXPAND + 20
@@ -210,6 +243,15 @@ def test_rank_aggregation(spark):
     assert first == {1: "b", 2: "x", 3: "only"}
 
 
+def test_large_queries_are_ranked_alike_in_slices(spark):
+    rng = random.Random(6)
+    score = lambda: rng.choice([None, 1.0, 2.5, rng.random()])
+    rows = [(q, f"n{i}", score(), score(), score()) for q, n in ((1, 200), (2, 3), (3, 90)) for i in range(n)]
+    df = spark.createDataFrame(rows, "query_id bigint, node_id string, result double, hit double, related double")
+    ranked = lambda hot: {(r[0], r[1]): (round(r[2], 9), round(r[3], 9)) for r in P5.aggregate_ranks(df, "query_id", "node_id", ["result", "hit", "related"], hot).collect()}
+    assert ranked(50) == ranked(10**6) and len(ranked(1)) == len(rows)
+
+
 def test_candidates_take_the_highest_score(spark):
     q = spark.createDataFrame([(1, "s"), (None, "s")], "query_id bigint, seed_id string")
     r = spark.createDataFrame([(1, "a", 1.0), (1, "a", 3.0), (1, "b", float("nan")), (1, "c", None), (1, None, 2.0)], "query_id bigint, node_id string, score double")
@@ -276,6 +318,33 @@ def test_rows_without_session_join_by_quotes_and_replies(spark):
     assert got[0] == got[1] == "conversation-0" and got[3] == "s" and got[4] == "conversation-4"
 
 
+def test_quotes_lead_to_the_nearest_earlier_row(spark):
+    same, own, late = "hello there how are you doing today", "the parser loses its cache after a restart", "a message that was delivered late"
+    at = "2026-01-01T00:00:{:02d}Z".format
+    rows = [
+        (None, None, "user", same, at(1), None), (None, None, "assistant", f"> {same}\nfine", at(2), None),
+        (None, None, "user", f"{same}\n{own}", at(3), None), (None, None, "assistant", f"> {same}\n> {own}\nso it does", at(4), None),
+        (None, None, "assistant", f"> {late}\nthanks", at(6), None), (None, None, "user", late, at(5), 500),
+    ]
+    got = {r["ord"]: r["session_id"] for r in P6.assign_conversations(talk(spark, rows)).collect()}
+    assert got[0] == got[1] and got[2] == got[3] and got[4] == got[5] and len(set(got.values())) == 3
+
+
+def test_sessions_are_found_again(spark):
+    at = lambda n: f"2026-01-{n // 86400 + 1:02d}T{n // 3600 % 24:02d}:{n // 60 % 60:02d}:{n % 60:02d}Z"
+    rows = [(f"s{k}", m, "user" if m % 2 else "assistant", f"turn {k} {m}", at(k * 7200 + m * 60), None) for k in range(60) for m in range(1, 6)]
+    rows += [("s1", 3, "user", "turn 1 3", at(7200 + 180), 999), ("plain", None, "user", "no number", None, None)]
+    out = P6.relinked(talk(spark, rows), every=3).first()
+    assert out["sessions"] > 5 and out["precision"] == out["recall"] == 1.0
+    assert P6.relinked(talk(spark, rows).limit(0)).first()["rows"] == 0
+
+
+def test_unsettled_components_raise(spark):
+    path = spark.createDataFrame([(i, i + 1) for i in range(400)], "u int, v int")
+    with pytest.raises(RuntimeError):
+        CC.connected_components(path, rounds=1)
+
+
 def test_instants(spark):
     df = spark.createDataFrame([("2026-01-01T01:00:00+01:00",), ("1767225600000",), ("2026-01-01 00:00:00",), ("1767225600",), ("soon",), (None,)], "t string")
     want = 1_767_225_600_000_000

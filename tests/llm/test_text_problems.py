@@ -45,6 +45,22 @@ def test_split_prefers_blocks():
     assert all(kind in ("block", "end") for _, _, kind in P1.split_text(text))
 
 
+def test_split_follows_lists_and_fences():
+    items = "".join(f"- item {i} " + "word " * 60 + "\n  - below " + "word " * 20 + "\n" for i in range(12))
+    cuts = P1.split_text(items)
+    assert all(k in ("item", "end") and items[e:].lstrip().startswith("- item") or k == "end" for _, e, k in cuts)
+    code = "```\n" + "x = 1\n" * 60 + "\n" + "y = 2\n" * 60 + "```\n\n"
+    text = "Intro. " * 150 + "\n\n" + code + "Outro. " * 150
+    assert not any(text.index("```") < e < text.rindex("```") for _, e, _ in P1.split_text(text))
+    sections = "".join(f"# head {i}\n\n" + "a short line\n" * 30 + "\n" for i in range(9))
+    assert {k for _, _, k in P1.split_text(sections)} == {"section", "end"}
+
+
+def test_split_merges_the_smallest_neighbours_first():
+    runs = [P1.Run(a, b, "line") for a, b in ((0, 90), (90, 100), (100, 110), (110, 120), (120, 210))]
+    assert [(r.start, r.end) for r in P1.merged(runs, 100)] == [(0, 90), (90, 120), (120, 210)]
+
+
 def test_split_long_word_and_spaces():
     for text in ("x" * 10_000, " " * 5_000, "é" * 3_000 + " " + "y" * 3_000):
         check_pieces(text, P1.split_text(text), 1800, 200)
