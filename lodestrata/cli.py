@@ -4,47 +4,94 @@ from __future__ import annotations
 
 import argparse
 import json
+import os
+
+from pyspark.sql import DataFrame
 
 from lodestrata.api import Engine
-from lodestrata.operators.semantic import RuleExtractor
+from lodestrata.operators.semantic import HttpExtractor, RuleExtractor
+from lodestrata.operators.vectors import HashingEmbedder, HttpEmbedder
 from lodestrata.session import local_session
+from lodestrata.sources.checkout import Managed
 from lodestrata.sources.store import read_state, write_report
 
+#: Commands with what they take.
+COMMANDS = {
+    "ingest": "prompts*", "ingest-file": "source kind? label?", "import-repo": "source", "remove-repo": "root", "agent-sync": "home", "search": "query", "search-lexical": "query", "search-slow": "query",
+    "browse": "type?", "visualize": "query", "stats": "", "semantic-refresh": "most?", "embedding-refresh": "", "benchmark": "cases report", "benchmark-hybrid": "cases report", "managed-repos-refresh": "list", "managed-repos-status": "",
+}
+
+
+def parser() -> argparse.ArgumentParser:
+    top = argparse.ArgumentParser(prog="lodestrata")
+    top.add_argument("--path", required=True, help="folder of the engine")
+    top.add_argument("--archive", help="recording archive, read before a search if it is newer")
+    top.add_argument("--limit", type=int, default=24)
+    top.add_argument("--types", nargs="*")
+    top.add_argument("--embedder", nargs=2, metavar=("URL", "MODEL"))
+    top.add_argument("--extractor", nargs=2, metavar=("URL", "MODEL"))
+    top.add_argument("--force", action="store_true")
+    sub = top.add_subparsers(dest="command", required=True)
+    for name, takes in COMMANDS.items():
+        one = sub.add_parser(name)
+        for word in takes.split():
+            one.add_argument(word.rstrip("?*"), nargs=word[-1] if word[-1] in "?*" else None)
+    return top
+
+
+def run(engine: Engine, a: argparse.Namespace) -> DataFrame | dict:
+    embedder = HttpEmbedder(*a.embedder) if a.embedder else HashingEmbedder()
+    state = a.path.removeprefix("file://").rstrip("/") + "/managed-repositories.json"
+    if a.archive and a.command in ("search", "search-lexical", "search-slow", "browse", "visualize", "stats"):
+        engine.ingest_if_newer(a.archive)
+    match a.command:
+        case "ingest":
+            return engine.ingest(archive=a.archive, prompts=a.prompts)
+        case "ingest-file":
+            return engine.ingest(sources=[a.source], kind=a.kind, label=a.label)
+        case "import-repo":
+            return engine.ingest(repositories=[a.source])
+        case "remove-repo":
+            engine.remove_repository(a.root)
+            return engine.stats()
+        case "agent-sync":
+            known = [os.path.join(a.home, *p) for p in (("memories", "MEMORY.md"), ("memories", "USER.md"), ("AgentSessions",))]
+            return engine.ingest(sources=[p for p in known if os.path.exists(p)])
+        case "search":
+            return engine.search_hits(a.query, a.limit, a.types)
+        case "search-lexical":
+            return engine.search_lexical(a.query, a.limit, a.types)
+        case "search-slow":
+            return engine.search_hybrid(a.query, a.limit, a.types, embedder=embedder)
+        case "browse":
+            return engine.browse(a.type, a.limit)
+        case "visualize":
+            return engine.visualize(a.query)
+        case "stats":
+            return engine.stats()
+        case "semantic-refresh":
+            return engine.refresh_semantic(HttpExtractor(*a.extractor) if a.extractor else RuleExtractor(), int(a.most) if a.most else None)
+        case "embedding-refresh":
+            return engine.refresh_embeddings(embedder)
+        case "benchmark" | "benchmark-hybrid":
+            report = engine.benchmark(a.cases, embedder=embedder if a.command == "benchmark-hybrid" else None)
+            write_report(a.report.removesuffix(".json"), os.path.basename(a.cases), report)
+            return report
+        case "managed-repos-refresh":
+            with open(a.list, encoding="utf-8") as f:
+                managed = [Managed(**m) for m in json.load(f)]
+            return engine.refresh_managed(managed, state, a.force)
+        case "managed-repos-status":
+            return read_state(engine.spark, state)
+    raise ValueError(a.command)
+
 
 def main(argv: list[str] | None = None) -> None:
-    parser = argparse.ArgumentParser(prog="lodestrata")
-    parser.add_argument("--path", required=True)
-    parser.add_argument("--limit", type=int, default=20)
-    parser.add_argument("--types", nargs="*")
-    sub = parser.add_subparsers(dest="command", required=True)
-    for name in ("search", "search-lexical", "visualize", "ingest-file", "ingest", "import-repo", "remove-repo", "benchmark", "status"):
-        sub.add_parser(name).add_argument("value")
-    for name in ("browse",):
-        sub.add_parser(name).add_argument("value", nargs="?")
-    for name in ("stats", "semantic-refresh"):
-        sub.add_parser(name)
-    a = parser.parse_args(argv)
-    spark = local_session()
-    engine = Engine(spark, a.path)
-    done = {
-        "search": lambda: engine.search(a.value, a.limit, a.types),
-        "search-lexical": lambda: engine.search_lexical(a.value, a.limit, a.types),
-        "visualize": lambda: engine.visualize(a.value),
-        "ingest": lambda: engine.ingest(archive=a.value),
-        "ingest-file": lambda: engine.ingest(sources=[a.value]),
-        "import-repo": lambda: engine.ingest(repositories=[a.value]),
-        "remove-repo": lambda: engine.remove_repository(a.value),
-        "browse": lambda: engine.browse(a.value, a.limit),
-        "stats": engine.stats,
-        "semantic-refresh": lambda: engine.refresh_semantic(RuleExtractor()),
-        "status": lambda: read_state(spark, a.value),
-        "benchmark": lambda: engine.benchmark(a.value),
-    }[a.command]()
-    if a.command == "benchmark":
-        write_report(a.path.rstrip("/") + "/benchmark", a.value, done)
+    a = parser().parse_args(argv)
+    done = run(Engine(local_session(), a.path), a)
     if isinstance(done, dict):
         print(json.dumps(done))
-    elif done is not None:
+    else:
         for line in done.toJSON().toLocalIterator():
             print(line)
 

@@ -8,6 +8,7 @@ fractions that expand are replaced first.
 
 from __future__ import annotations
 
+import os
 import re
 import sys
 import unicodedata
@@ -24,7 +25,9 @@ STOP_WORDS = (
 #: Characters whose decomposition is several characters (fixed values).
 EXPANSIONS = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st", "ĳ": "ij", "½": "1⁄2", "¼": "1⁄4", "¾": "3⁄4", "…": "..."}
 
+#: Words that ask for a preference, and the steps of the phonetic signature in order (fixed values).
 _INTENT = r"\b(should|prefer|preference|require|want|soll|sollen|mochte|wunscht)\b"
+PHONETIC_STEPS = (("ph", "f"), ("ck", "k"), ("qu", "k"), ("ee", "i"), ("[cq]", "k"), ("y", "i"), (r"(.)\1+", "$1"))
 
 
 def _fold_table() -> tuple[str, str]:
@@ -51,9 +54,11 @@ def filled(c: str | Column) -> Column:
 
 
 def fold(c: str | Column) -> Column:
-    """Lower case without marks; null stays null."""
-    lowered = reduce(lambda s, kv: F.replace(s, F.lit(kv[0]), F.lit(kv[1])), EXPANSIONS.items(), F.lower(col(c)))
-    return F.translate(F.regexp_replace(lowered, "[̀-ͯ]", ""), FOLD_FROM, FOLD_TO)
+    """Lower case without marks; null stays null. Plain ASCII only needs the lower case."""
+    plain = col(c)
+    lowered = reduce(lambda s, kv: F.replace(s, F.lit(kv[0]), F.lit(kv[1])), EXPANSIONS.items(), F.lower(plain))
+    whole = F.translate(F.regexp_replace(lowered, "[̀-ͯ]", ""), FOLD_FROM, FOLD_TO)
+    return F.when(F.octet_length(plain) == F.length(plain), F.lower(plain)).otherwise(whole)
 
 
 def normal_token(c: str | Column) -> Column:
@@ -82,7 +87,7 @@ def tokens(c: str | Column) -> Column:
 def phonetic_signature(c: str | Column) -> Column:
     """How a word sounds, roughly."""
     s = normal_token(c)
-    for pattern, to in (("ph", "f"), ("ck", "k"), ("qu", "k"), ("ee", "i"), ("[cq]", "k"), ("y", "i"), (r"(.)\1+", "$1")):
+    for pattern, to in PHONETIC_STEPS:
         s = F.regexp_replace(s, pattern, to)
     return s
 
@@ -102,14 +107,14 @@ def stable_id(c: str | Column, width: int = 20) -> Column:
 
 
 def first_line(c: str | Column, limit: int = 80, fallback: str = "Untitled memory") -> Column:
-    line = F.substring(F.trim(F.element_at(F.split(col(c), "\r?\n"), 1)), 1, limit)
+    line = F.substring(F.regexp_replace(F.element_at(F.split(col(c), "\r?\n"), 1), r"(?U)^\s+|\s+$", ""), 1, limit)
     return F.coalesce(F.when(line != "", line), F.lit(fallback))
 
 
 def sentence_label(c: str | Column, fallback: Column, words: int = 8) -> Column:
     """The first words of the first sentence, else ``fallback``."""
-    sentence = F.trim(F.element_at(F.split(F.trim(col(c)), r"[.!?]"), 1))
-    label = F.array_join(F.slice(F.split(sentence, r"\s+"), 1, words), " ")
+    sentence = F.regexp_replace(F.element_at(F.split(col(c), r"[.!?]"), 1), r"(?U)^\s+|\s+$", "")
+    label = F.array_join(F.slice(F.split(sentence, r"(?U)\s+"), 1, words), " ")
     return F.when(label != "", label).otherwise(fallback)
 
 
@@ -125,8 +130,9 @@ def node_millis(metadata: str | Column) -> Column:
     return F.coalesce(F.unix_millis(parsed), F.lit(0).cast("bigint"))
 
 
-def clean_path(c: str | Column, home: str = "~") -> Column:
-    """A leading ``~`` replaced by ``home``, without a trailing slash."""
+def clean_path(c: str | Column, home: str | None = None) -> Column:
+    """A leading ``~`` replaced by ``home`` (of the environment, where none is given), without a trailing slash."""
+    home = os.environ.get("HOME", "~") if home is None else home
     return F.regexp_replace(F.regexp_replace(col(c), "^~(?=/)", re.sub(r"([\\$])", r"\\\1", home)), "/$", "")
 
 
@@ -179,6 +185,33 @@ def message_text(c: str | Column) -> Column:
     return F.coalesce(joined, F.when(raw.startswith("{"), F.coalesce(single, raw)), quoted, raw, F.lit(""))
 
 
+def variant_kind(v: Column) -> Column:
+    """STRING, BIGINT, DOUBLE, DECIMAL..., BOOLEAN, OBJECT<...>, ARRAY<...>, VOID; null stays null."""
+    return F.schema_of_variant(v)
+
+
+def variant_at(v: Column, name: str) -> Column:
+    """A field of a JSON object, or null."""
+    return F.try_variant_get(v, "$." + name, "variant")
+
+
+def variant_text(v: Column) -> Column:
+    """A JSON string, or a number as text; of anything else nothing (null)."""
+    told = F.when(variant_kind(v).rlike("^(STRING|BIGINT|INT|SMALLINT|TINYINT|DOUBLE|FLOAT|DECIMAL)"), F.try_variant_get(v, "$", "string"))
+    return F.when(told != "", told)
+
+
+def variant_message(v: Column, depth: int = 4) -> Column:
+    """Text of a message content: a string, parts (``depth`` levels of them) one per line, an object's text or content, else its JSON."""
+    kind = variant_kind(v)
+    value = F.when(v.isNull() | (kind == "VOID"), F.lit("")).when(kind == "STRING", F.try_variant_get(v, "$", "string"))
+    if depth:
+        parts = F.transform(F.try_variant_get(v, "$", "array<variant>"), lambda p: variant_message(p, depth - 1))
+        value = value.when(kind.startswith("ARRAY"), F.array_join(F.filter(parts, lambda t: t != ""), "\n"))
+    value = value.when(kind.startswith("OBJECT"), F.coalesce(variant_text(variant_at(v, "text")), variant_text(variant_at(v, "content")), F.to_json(v)))
+    return value.otherwise(F.coalesce(F.try_variant_get(v, "$", "string"), F.to_json(v)))
+
+
 # ---- the same, for query strings on the driver ----------------------------------------------
 
 
@@ -198,8 +231,8 @@ def tokens_plain(s: str) -> list[str]:
 
 def signature_plain(s: str) -> str:
     s = re.sub("[^a-z0-9]", "", fold_plain(s))
-    for pattern, to in (("ph", "f"), ("ck", "k"), ("qu", "k"), ("ee", "i"), ("[cq]", "k"), ("y", "i"), (r"(.)\1+", r"\1")):
-        s = re.sub(pattern, to, s)
+    for pattern, to in PHONETIC_STEPS:
+        s = re.sub(pattern, to.replace("$", "\\"), s)
     return s
 
 

@@ -133,6 +133,39 @@ def change_impact(functions: DataFrame, targets: DataFrame, depth: int = 3) -> D
     ).select("direct", "indirect", "files", "tests", impact_level(F.col("direct") + F.col("indirect")).alias("level"))
 
 
+def callers_by_file(functions: DataFrame, targets: DataFrame) -> DataFrame:
+    """``filepath``, ``callers`` (``name``, ``lineno``, in order) of the direct callers of ``targets``."""
+    named = direct_callers(functions, targets).select("filepath", F.struct("ord", short_name().alias("name"), "lineno").alias("c"))
+    return named.groupBy("filepath").agg(F.transform(F.sort_array(F.collect_list("c")), lambda c: F.struct(c["name"].alias("name"), c["lineno"].alias("lineno"))).alias("callers"))
+
+
+def callers_by_depth(functions: DataFrame, targets: DataFrame, depth: int = 3) -> DataFrame:
+    """``depth``, ``callers`` (``key``, ``name``, ``filepath``, by key as people sort) of the indirect callers of ``targets``."""
+    near = direct_callers(functions, targets).select("key")
+    far = indirect_callers(functions, near, depth).join(functions.select("key", "filepath"), "key")
+    place = F.row_number().over(Window.partitionBy("depth").orderBy(F.expr("collate(key, 'UNICODE')")))
+    sorted_ = far.select("depth", F.struct(place.alias("k"), "key", short_name().alias("name"), "filepath").alias("c"))
+    shown = lambda c: F.struct(c["key"].alias("key"), c["name"].alias("name"), c["filepath"].alias("filepath"))
+    return sorted_.groupBy("depth").agg(F.transform(F.sort_array(F.collect_list("c")), shown).alias("callers"))
+
+
+def impact_text(functions: DataFrame, targets: DataFrame, title: str, root: str = "") -> str:
+    """The impact of a change as text: direct callers by file, indirect ones by depth, tests, level. It is for a person to read, so it is read whole."""
+    short = lambda p: p.removeprefix(root.rstrip("/") + "/") if root else p
+    near = sorted(callers_by_file(functions, targets).collect(), key=lambda r: r["filepath"])
+    far = sorted(callers_by_depth(functions, targets).collect(), key=lambda r: r["depth"])
+    total = change_impact(functions, targets).first()
+    out = [f"# Change impact: {title}", "", "## Direct callers"]
+    for r in near:
+        out += [f"### {short(r['filepath'])}", *(f"- {c['name']} (line {'?' if c['lineno'] is None else c['lineno']})" for c in r["callers"])]
+    out += ["" if near else "none", "## Indirect callers"]
+    for r in far:
+        out += [f"### Depth {r['depth']}", *(f"- {c['name']} in {short(c['filepath'])}" for c in r["callers"])]
+    paths = {r["filepath"] for r in near} | {c["filepath"] for r in far for c in r["callers"]}
+    out += ["" if far else "none", "## Tests", *(f"- {short(p)}" for p in sorted(paths) if "test" in p.lower())]
+    return "\n".join([*out, "", f"Level {total['level']}: {total['direct']} direct, {total['indirect']} indirect, {total['tests']} test files"])
+
+
 def call_report(subgraph: DataFrame) -> DataFrame:
     """Per function of a subgraph: callees in order, and callers within the subgraph."""
     inside = calls(subgraph).join(subgraph.select(F.col("key").alias("dst")), "dst", "left_semi").where("src <> dst")
@@ -170,9 +203,20 @@ def sequence_calls(subgraph: DataFrame) -> DataFrame:
     return links.select(node_id("src").alias("src"), node_id("dst").alias("dst"), short_name("dst").alias("message")).distinct()
 
 
+#: Functions of a drawing, at most; larger ones are refused.
+DRAWN = 2_000
+
+
+def _drawn(subgraph: DataFrame) -> list:
+    rows = subgraph.select("key", "ord").orderBy("ord").limit(DRAWN + 1).collect()
+    if len(rows) > DRAWN:
+        raise ValueError(f"more than {DRAWN} functions can't be drawn")
+    return rows
+
+
 def flowchart(subgraph: DataFrame, entry: str) -> str:
-    """A flowchart as text; a subgraph is something a person looks at, so it is read whole."""
-    rows = subgraph.select("key", "ord").orderBy("ord").collect()
+    """A flowchart as text; a subgraph is something a person looks at, so it is read whole. Its lines are fixed values."""
+    rows = _drawn(subgraph)
     flat = lambda s: "".join(c if c.isascii() and (c.isalnum() or c == "_") else "_" for c in s)
     out = ["graph TD", f'    {flat(entry)}["{entry.rsplit(".", 1)[-1]}"]', f"    style {flat(entry)} fill:#4CAF50,color:#fff,stroke:#2E7D32,stroke-width:3px"]
     out += [f'    {flat(r["key"])}["{r["key"].rsplit(".", 1)[-1]}"]' for r in rows if r["key"] != entry]
@@ -185,8 +229,8 @@ def flowchart(subgraph: DataFrame, entry: str) -> str:
 
 
 def sequence(subgraph: DataFrame, entry: str) -> str:
-    """A sequence diagram as text."""
-    keys = [r["key"] for r in subgraph.select("key", "ord").orderBy("ord").collect()]
+    """A sequence diagram as text; its lines are fixed values."""
+    keys = [r["key"] for r in _drawn(subgraph)]
     flat = lambda s: "".join(c if c.isascii() and (c.isalnum() or c == "_") else "_" for c in s)
     out = ["sequenceDiagram", *(f"    participant {flat(k)} as {k.rsplit('.', 1)[-1]}" for k in [entry, *(k for k in keys if k != entry)])]
     for r in sequence_calls(subgraph).orderBy("src", "dst").collect():
@@ -196,8 +240,11 @@ def sequence(subgraph: DataFrame, entry: str) -> str:
 
 def summary(functions: DataFrame) -> DataFrame:
     """``functions``, ``files``, ``calls``, ``external``."""
-    n = functions.agg(F.count("*").alias("functions"), F.countDistinct("filepath").alias("files"), F.coalesce(F.sum(F.size("callees")), F.lit(0)).alias("calls"))
-    return n.withColumn("external", F.lit(external_calls(functions).count()))
+    known = functions.select(F.col("key").alias("dst"), F.lit(1).alias("_in"))
+    outside = calls(functions).join(known, "dst", "left").groupBy(F.col("src").alias("key")).agg(F.count(F.when(F.col("_in").isNull(), 1)).alias("_out"))
+    return functions.select("key", "filepath", "callees").join(outside, "key", "left").agg(
+        F.count("*").alias("functions"), F.countDistinct("filepath").alias("files"), F.coalesce(F.sum(F.size("callees")), F.lit(0)).alias("calls"), F.coalesce(F.sum("_out"), F.lit(0)).alias("external")
+    )
 
 
 def unique_keys(found: DataFrame) -> DataFrame:
@@ -207,8 +254,10 @@ def unique_keys(found: DataFrame) -> DataFrame:
 
 
 def resolve_names(functions: DataFrame) -> DataFrame:
-    """Bare callee names replaced by the first key that ends in them; unknown names stay; order kept, repeats dropped."""
+    """Bare callee names replaced by a key that ends in them, of the same file first, else the first of all; unknown names
+    stay; order kept, repeats dropped."""
     last = functions.groupBy(short_name().alias("name")).agg(F.min_by("key", "ord").alias("target"))
-    named = functions.select("key", F.posexplode("callees").alias("pos", "name")).join(last, "name", "left")
-    done = named.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("pos", F.coalesce("target", "name").alias("c")))).alias("_c"))
+    near = functions.groupBy("filepath", short_name().alias("name")).agg(F.min_by("key", "ord").alias("own"))
+    named = functions.select("key", "filepath", F.posexplode("callees").alias("pos", "name")).join(near, ["filepath", "name"], "left").join(last, "name", "left")
+    done = named.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("pos", F.coalesce("own", "target", "name").alias("c")))).alias("_c"))
     return functions.drop("callees").join(done, "key", "left").withColumn("callees", F.coalesce(F.array_distinct(F.col("_c.c")), F.array().cast("array<string>"))).drop("_c").select(functions.columns)

@@ -8,12 +8,15 @@ lengths are those of all indexed rows, whatever the type filter.
 from __future__ import annotations
 
 import re
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.functions import text as T
+from lodestrata.operators import graphstore as G
+from lodestrata.operators import lexical as L
 
 K1, B = 1.2, 0.75
 #: Factors by node type; any other type has 1 (fixed values).
@@ -22,6 +25,8 @@ TYPE_BOOST = {
     "document": 2.0, "prompt": 2.0, "entity": 1.5, "task": 1.5, "event": 1.5, "file": 1.0, "function": 1.0,
 }
 FIELDS = ("label", "text", "path")
+#: Characters of a text that an excerpt is taken from (fixed value).
+EXCERPT_OF = 6000
 
 
 def occurrences(text: Column, term: str) -> Column:
@@ -41,7 +46,7 @@ def type_boost(c: str = "node_type") -> Column:
 def indexed(nodes: DataFrame) -> DataFrame:
     """What is searched: every node but keywords, with its length in trigrams."""
     length = sum((F.greatest(F.lit(0), F.length(F.coalesce(F.col(f), F.lit(""))) - 2) for f in FIELDS), F.lit(0))
-    return nodes.where("node_type <> 'keyword'").select("id", "node_type", "label", "text", "path", "ord", length.alias("trigrams"))
+    return nodes.where("node_type <> 'keyword'").select("id", "node_type", "label", "text", "path", "metadata", "ord", length.alias("trigrams"))
 
 
 @dataclass
@@ -51,13 +56,21 @@ class CorpusStats:
     holding: list[int]
 
 
+def _holds(term: str) -> Column:
+    return F.greatest(*(F.contains(F.lower(F.coalesce(F.col(f), F.lit(""))), F.lit(term)) for f in FIELDS))
+
+
 def corpus_stats(docs: DataFrame, terms: list[str]) -> CorpusStats:
     """Rows, mean length and rows holding each term: one aggregation, one row to the driver."""
-    holds = lambda t: F.greatest(*(F.contains(F.lower(F.coalesce(F.col(f), F.lit(""))), F.lit(t)) for f in FIELDS))
-    r = docs.agg(F.count("*"), F.avg("trigrams"), *(F.count(F.when(holds(t), 1)) for t in terms)).first()
+    r = docs.agg(F.count("*"), F.avg("trigrams"), *(F.count(F.when(_holds(t), 1)) for t in terms)).first()
     return CorpusStats(r[0], float(r[1] or 0.0), list(r[2:]))
 
 
+def holding(docs: DataFrame, terms: list[str]) -> list[int]:
+    """Rows holding each term."""
+    return list(docs.agg(*(F.count(F.when(_holds(t), 1)) for t in terms)).first())
+
+
 def bm25(terms: list[str], stats: CorpusStats) -> Column:
     """Positive BM25 of a row of ``indexed``."""
     import math
@@ -71,7 +84,7 @@ def bm25(terms: list[str], stats: CorpusStats) -> Column:
     return score
 
 
-def search(docs: DataFrame, query: str, limit: int = 20, types: list[str] | None = None, stats_of: DataFrame | None = None, boost_before_limit: bool = False) -> DataFrame:
+def search(docs: DataFrame, query: str, limit: int = 20, types: list[str] | None = None, stats: CorpusStats | None = None, boost_before_limit: bool = False) -> DataFrame:
     """``id, node_type, label, path, score`` of the best rows of ``docs`` (see ``indexed``).
 
     The first ``limit`` (1 to 100) by plain rank are taken and then ordered by
@@ -82,7 +95,7 @@ def search(docs: DataFrame, query: str, limit: int = 20, types: list[str] | None
     kept = docs.where(F.col("node_type").isin(types)) if types else docs
     if not terms:
         return kept.limit(0).select("id", "node_type", "label", "path", F.lit(0.0).alias("score"))
-    plain = bm25(terms, corpus_stats(docs if stats_of is None else stats_of, terms))
+    plain = bm25(terms, corpus_stats(docs, terms) if stats is None else stats)
     matched = F.greatest(*(F.contains(F.lower(F.coalesce(F.col(f), F.lit(""))), F.lit(t)) for t in terms for f in FIELDS), F.lit(False))
     ranked = kept.where(matched).select("id", "node_type", "label", "path", "ord", plain.alias("rank"))
     ranked = ranked.withColumn("score", F.round(F.col("rank") * type_boost(), 9)).withColumn("rank", F.round("rank", 9))
@@ -92,40 +105,75 @@ def search(docs: DataFrame, query: str, limit: int = 20, types: list[str] | None
 
 
 def trigrams(c: Column) -> Column:
-    folded = F.lower(F.coalesce(c, F.lit("")))
-    return F.when(F.length(folded) >= 3, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(folded) - 2), lambda i: F.substring(folded, i, F.lit(3))))).otherwise(F.array().cast("array<string>"))
+    """The distinct trigrams of a text, case folded; in time that grows with its length."""
+    letters = F.split(F.lower(F.coalesce(c, F.lit(""))), "")
+    # a text of n characters gives n - 2; the array is built once and read by position
+    return F.array_distinct(F.transform(F.filter(F.arrays_zip(letters.alias("a"), F.slice(letters, F.lit(2), F.greatest(F.size(letters) - 1, F.lit(0))).alias("b"), F.slice(letters, F.lit(3), F.greatest(F.size(letters) - 2, F.lit(0))).alias("c")), lambda z: z["c"].isNotNull()), lambda z: F.concat(z["a"], z["b"], z["c"])))
 
 
 class Index:
-    """A written index: documents, trigram postings and a fingerprint of its source.
+    """A written index: documents, trigram and token postings, the vocabulary, and a fingerprint of its source.
 
-    Postings are written sorted by trigram, so row-group statistics prune the
-    read to a term's trigrams. A term's candidates hold all its trigrams; they
-    are verified by the search itself.
+    Postings are written sorted, so row-group statistics prune the read to what a
+    term needs. Candidates of a term hold all its trigrams; they are verified by
+    the search itself. Each rebuild is a new version beside the one that is read,
+    complete once its marker exists: a failed one changes nothing.
     """
 
+    PARTS = ("docs", "grams", "tokens", "words", "meta")
+
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path.rstrip("/")
+        self._fs = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self._meta: dict[str, dict] = {}
 
-    def fingerprint(self) -> str | None:
-        try:
-            return self.spark.read.parquet(f"{self.path}/meta").first()["fingerprint"]
-        except Exception:
+    def _p(self, name: str = ""):
+        return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+
+    def versions(self) -> list[str]:
+        """Complete versions, oldest first."""
+        if not self._fs.exists(self._p()):
+            return []
+        return sorted(n.removesuffix(".done") for n in (s.getPath().getName() for s in self._fs.listStatus(self._p())) if n.endswith(".done"))
+
+    def read(self, part: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/{self.versions()[-1]}/{part}")
+
+    def meta(self) -> dict | None:
+        """``fingerprint``, ``rows`` and ``mean`` (length in trigrams) of the version that is read; None where there is none."""
+        done = self.versions()
+        if not done:
             return None
+        if done[-1] not in self._meta:
+            self._meta = {done[-1]: self.read("meta").first().asDict()}
+        return self._meta[done[-1]]
+
+    def fingerprint(self) -> str | None:
+        meta = self.meta()
+        return meta and meta["fingerprint"]
 
     def rebuild(self, nodes: DataFrame, fingerprint: str) -> bool:
-        """Writes the index anew unless its fingerprint is ``fingerprint``; whether it did. Meta goes last."""
+        """Writes the index anew unless its fingerprint is ``fingerprint``; whether it did."""
         if self.fingerprint() == fingerprint:
             return False
-        indexed(nodes).write.mode("overwrite").parquet(f"{self.path}/docs")
-        docs = self.spark.read.parquet(f"{self.path}/docs")
+        done = self.versions()
+        name = f"v{(int(done[-1][1:9]) + 1 if done else 0):08d}-{uuid.uuid4().hex[:8]}"
+        at = f"{self.path}/{name}"
+        indexed(nodes).write.parquet(f"{at}/docs")
+        docs = self.spark.read.parquet(f"{at}/docs")
         grams = docs.select("id", F.explode(F.array_distinct(F.concat(*(trigrams(F.col(f)) for f in FIELDS)))).alias("gram"))
-        grams.repartitionByRange("gram").sortWithinPartitions("gram").write.mode("overwrite").parquet(f"{self.path}/grams")
-        self.spark.createDataFrame([(fingerprint,)], "fingerprint string").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/meta")
+        grams.repartitionByRange("gram").sortWithinPartitions("gram").write.parquet(f"{at}/grams")
+        L.postings(L.token_lists(docs)).repartitionByRange("token").sortWithinPartitions("token").write.parquet(f"{at}/tokens")
+        L.vocabulary(self.spark.read.parquet(f"{at}/tokens")).write.parquet(f"{at}/words")
+        docs.agg(F.lit(fingerprint).alias("fingerprint"), F.count("*").alias("rows"), F.coalesce(F.avg("trigrams"), F.lit(0.0)).alias("mean")).coalesce(1).write.parquet(f"{at}/meta")
+        self._fs.create(self._p(name + ".done"), True).close()
+        for old in done[:-1]:
+            self._fs.delete(self._p(old + ".done"), False)
+            self._fs.delete(self._p(old), True)
         return True
 
     def candidates(self, terms: list[str]) -> DataFrame:
-        grams = self.spark.read.parquet(f"{self.path}/grams")
+        grams = self.read("grams")
         found = None
         for t in terms:
             parts = sorted({t[i : i + 3] for i in range(len(t) - 2)})
@@ -134,8 +182,34 @@ class Index:
         return found.distinct()
 
     def search(self, query: str, limit: int = 20, types: list[str] | None = None) -> DataFrame:
-        docs = self.spark.read.parquet(f"{self.path}/docs")
+        """As ``search``; row counts and lengths come from the index, frequencies from the verified candidates."""
+        docs = self.read("docs")
         terms = [t for t in T.query_terms(query) if len(t) >= 3]
         if not terms:
             return search(docs, query, limit, types)
-        return search(docs.join(self.candidates(terms), "id", "left_semi"), query, limit, types, stats_of=docs)
+        near = docs.join(self.candidates(terms), "id", "left_semi")
+        meta = self.meta()
+        return search(near, query, limit, types, stats=CorpusStats(meta["rows"], meta["mean"], holding(near, terms)))
+
+    def search_lexical(self, query: str, limit: int = 20, types: list[str] | None = None) -> DataFrame:
+        """Lexical and phonetic search through the written postings: ``id, node_type, label, path, score``, best first."""
+        one = self.spark.createDataFrame([(0, query)], "query_id int, question string")
+        return L.listed(self.search_many(one, max(1, min(limit, 100)), types), self.read("docs"))
+
+    def search_many(self, questions: DataFrame, limit: int = 5, types: list[str] | None = None) -> DataFrame:
+        """As ``lexical.search_many``, without tokenising anything but the questions."""
+        docs = self.read("docs")
+        terms = L.exploded(questions, T.tokens("question"), "term", "query_id")
+        scores = L.scored(self.read("tokens"), L.matches(self.read("words"), terms), terms)
+        return L.ranked(scores, docs.where(F.col("node_type").isin(types)) if types else docs, limit)
+
+    def hits(self, found: DataFrame, query: str, edges: DataFrame, related: int = 5) -> DataFrame:
+        """``found`` (``id`` and the columns shown) with an ``excerpt`` of the text's first 6,000 characters and up to five
+        ``related`` nodes, best first."""
+        docs = self.read("docs")
+        near = G.related_any(edges, docs, found, related).withColumnRenamed("id", "of").join(docs.select(F.col("id").alias("other"), F.col("node_type").alias("t"), F.col("label").alias("l"), F.col("path").alias("p")), "other")
+        listed = near.groupBy(F.col("of").alias("id")).agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", F.struct(F.col("other").alias("id"), F.col("t").alias("node_type"), F.col("l").alias("label"), F.col("p").alias("path")).alias("n")))), lambda s: s["n"]).alias("related"))
+        text = docs.select("id", L.excerpt(F.substring("text", 1, EXCERPT_OF), query).alias("excerpt"))
+        none = F.array().cast("array<struct<id:string,node_type:string,label:string,path:string>>")
+        shown = found.join(text, "id", "left").join(listed, "id", "left").withColumn("related", F.coalesce("related", none))
+        return shown.orderBy(F.col("score").desc(), "id")

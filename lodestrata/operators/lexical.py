@@ -17,53 +17,22 @@ def _types(nodes: DataFrame, types: list[str] | None) -> DataFrame:
     return kept.where(F.col("node_type").isin(types)) if types else kept
 
 
-def _signed(words: DataFrame, word: str, name: str) -> DataFrame:
-    """Distinct words with their signature, as an aggregate: conditions on it aren't pushed below and don't repeat it."""
-    return words.groupBy(word).agg(F.max(T.phonetic_signature(word)).alias(name))
+def token_lists(nodes: DataFrame) -> DataFrame:
+    """``id``, ``label_tokens``, ``body_tokens``: the distinct tokens of each node's label and text."""
+    return nodes.select("id", F.array_distinct(T.tokens("label")).alias("label_tokens"), F.array_distinct(T.tokens("text")).alias("body_tokens"))
 
 
-def _sounding(kept: DataFrame, terms: list[str]) -> dict[str, list[str]]:
-    """For each term the words of the collection that sound like it.
-
-    The vocabulary is made distinct where it lies; only words within one edit of
-    a term's signature reach the driver, which bounds them by the term's length.
-    """
-    long_terms = {t: T.signature_plain(t) for t in terms if len(t) >= 5}
-    if not long_terms:
-        return {}
-    both = F.filter(F.concat(T.tokens("label"), T.tokens("text")), lambda t: F.length(t) >= 5)
-    words = _signed(exploded(kept, both, "token").distinct(), "token", "s")
-    near = words.where(F.greatest(*(T.within_one_edit(F.col("s"), F.lit(s)) for s in long_terms.values()), F.lit(False)))
-    found: dict[str, list[str]] = {t: [] for t in long_terms}
-    for r in near.select("token", *(T.within_one_edit(F.col("s"), F.lit(s)).alias(f"_{i}") for i, s in enumerate(long_terms.values()))).collect():
-        for i, t in enumerate(long_terms):
-            if r[f"_{i}"] and r["token"] != t:
-                found[t].append(r["token"])
-    return found
+def postings(lists: DataFrame) -> DataFrame:
+    """``token, id, in_label, in_body``: an inverted index of ``token_lists``, made without a shuffle."""
+    both = F.array_union("label_tokens", "body_tokens")
+    return lists.select("id", "label_tokens", "body_tokens", F.explode(both).alias("token")).select(
+        "token", "id", F.array_contains("label_tokens", F.col("token")).alias("in_label"), F.array_contains("body_tokens", F.col("token")).alias("in_body")
+    )
 
 
-def search(nodes: DataFrame, query: str, limit: int = 20, types: list[str] | None = None) -> DataFrame:
-    """The best ``limit`` (1 to 100) nodes: ``id, node_type, label, path, score``.
-
-    Words that sound like a term are looked up once in the vocabulary; scoring
-    is then one scan that compares token arrays with literals, and a top-k.
-    """
-    wanted = list(dict.fromkeys(T.tokens_plain(query)))
-    kept = _types(nodes, types)
-    alike = _sounding(kept, wanted)
-    scored = kept.select("id", "node_type", "label", "path", "metadata", "ord", F.array_distinct(T.tokens("label")).alias("_l"), F.array_distinct(T.tokens("text")).alias("_b"))
-    score = F.lit(0)
-    for term in wanted:
-        near = alike.get(term)
-        for tokens, exact, points in (("_l", POINTS[0], POINTS[2]), ("_b", POINTS[1], POINTS[3])):
-            part = F.when(F.array_contains(tokens, term), exact)
-            if near:
-                part = part.when(F.arrays_overlap(F.col(tokens), F.array(*map(F.lit, near))), points)
-            score = score + part.otherwise(0)
-    # the filter comes after the top-k: before it, it would be pushed below the tokens and repeat them
-    scored = scored.withColumn("score", score.cast("int"))
-    order = [F.col("score").desc(), T.node_millis("metadata").desc(), F.expr("collate(label, 'UNICODE')"), F.col("ord")]
-    return scored.orderBy(*order).limit(max(1, min(limit, 100))).where("score > 0").select("id", "node_type", "label", "path", "score")
+def vocabulary(tokens: DataFrame) -> DataFrame:
+    """``token``, ``signature`` (null for short words) of each distinct ``token``."""
+    return tokens.select("token").distinct().select("token", F.when(F.length("token") >= 5, T.phonetic_signature("token")).alias("signature"))
 
 
 def _variants(s: Column) -> Column:
@@ -78,39 +47,60 @@ def exploded(df: DataFrame, tokens: Column, name: str, *kept: str | Column) -> D
     return df.select(*kept, F.explode_outer(F.array_distinct(tokens)).alias(name)).where(F.col(name).isNotNull())
 
 
-def postings(nodes: DataFrame) -> DataFrame:
-    """``token, id, in_label, in_body``: an inverted index, a row per field that has the token; made without a shuffle."""
-    field = lambda name, label: exploded(nodes, T.tokens(name), "token", "id").select("token", "id", F.lit(label).alias("in_label"), F.lit(not label).alias("in_body"))
-    return field("label", True).unionByName(field("text", False))
-
-
-def search_many(nodes: DataFrame, questions: DataFrame, limit: int = 5, types: list[str] | None = None) -> DataFrame:
-    """As ``search`` for each row of ``questions`` (``query_id``, ``question``): ``query_id, rank, id, score``.
+def matches(words: DataFrame, terms: DataFrame) -> DataFrame:
+    """``term, token, exact``: the words of a vocabulary that ``terms`` (``term``) are, or sound like.
 
     Terms meet the vocabulary, not the nodes: equal tokens by an equi-join, those
-    that sound alike by an equi-join on signatures with one character left out,
-    verified after it. Matched tokens then meet the postings.
+    that sound alike by an equi-join on signatures with one character left out, verified after it.
     """
-    kept = _types(nodes, types)
-    # the index is written once; vocabulary and matches are read from it
-    index = staged(postings(kept), "postings")
-    terms = staged(exploded(questions, T.tokens("question"), "term", "query_id"), "terms")
-    words = terms.select("term").distinct()
-    vocabulary = index.select("token").distinct()
-    long_terms = _signed(words.where(F.length("term") >= 5), "term", "ts")
-    long_tokens = _signed(vocabulary.where(F.length("token") >= 5), "token", "s")
+    one = terms.select("term").distinct()
+    exact = one.join(words.select(F.col("token").alias("term")), "term", "left_semi").select("term", F.col("term").alias("token"), F.lit(True).alias("exact"))
+    long_terms = one.where(F.length("term") >= 5).select("term", T.phonetic_signature("term").alias("ts"))
     left = long_terms.select("term", "ts", F.explode(_variants(F.col("ts"))).alias("v"))
-    right = long_tokens.select("token", "s", F.explode(_variants(F.col("s"))).alias("v"))
-    alike = left.join(right, "v").where((F.col("term") != F.col("token")) & T.within_one_edit(F.col("ts"), F.col("s"))).select("term", "token").distinct().withColumn("exact", F.lit(False))
-    exact = words.join(vocabulary, words["term"] == vocabulary["token"]).select("term", "token").withColumn("exact", F.lit(True))
-    hits = terms.join(staged(exact.unionByName(alike), "matches"), "term").join(index, "token")
+    right = words.where("signature is not null").select("token", "signature", F.explode(_variants(F.col("signature"))).alias("v"))
+    alike = left.join(right, "v").where((F.col("term") != F.col("token")) & T.within_one_edit(F.col("ts"), F.col("signature"))).select("term", "token").distinct()
+    return exact.unionByName(alike.withColumn("exact", F.lit(False)))
+
+
+def scored(index: DataFrame, found: DataFrame, terms: DataFrame) -> DataFrame:
+    """``query_id, id, score`` from postings, ``matches`` and ``terms`` (``query_id``, ``term``); each term counts once per field."""
+    hits = terms.join(found, "term").join(index, "token")
     flag = lambda exact, field: F.max(F.col("exact") & F.col(field)) if exact else F.max(~F.col("exact") & F.col(field))
     per_term = hits.groupBy("query_id", "id", "term").agg(flag(True, "in_label").alias("le"), flag(True, "in_body").alias("be"), flag(False, "in_label").alias("la"), flag(False, "in_body").alias("ba"))
     points = F.when(F.col("le"), POINTS[0]).when(F.col("la"), POINTS[2]).otherwise(0) + F.when(F.col("be"), POINTS[1]).when(F.col("ba"), POINTS[3]).otherwise(0)
-    scored = per_term.groupBy("query_id", "id").agg(F.sum(points).cast("int").alias("score"))
-    keys = kept.select("id", "label", "ord", T.node_millis("metadata").alias("millis"))
+    return per_term.groupBy("query_id", "id").agg(F.sum(points).cast("int").alias("score"))
+
+
+def ranked(scores: DataFrame, nodes: DataFrame, limit: int) -> DataFrame:
+    """``query_id, rank, id, score`` of the best ``limit`` of each question: by score, then date, then label, then order."""
+    keys = nodes.select("id", "label", "ord", T.node_millis("metadata").alias("millis"))
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("millis").desc(), F.expr("collate(label, 'UNICODE')"), "ord")
-    return scored.join(keys, "id").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).select("query_id", "rank", "id", "score")
+    return scores.join(keys, "id").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).select("query_id", "rank", "id", "score")
+
+
+def search_many(nodes: DataFrame, questions: DataFrame, limit: int = 5, types: list[str] | None = None) -> DataFrame:
+    """Lexical and phonetic search for each row of ``questions`` (``query_id``, ``question``): ``query_id, rank, id, score``.
+
+    The nodes are tokenised once; the vocabulary and then only the postings of
+    the tokens that matched are drawn from the written lists.
+    """
+    kept = _types(nodes, types)
+    lists = staged(token_lists(kept), "tokens")
+    terms = staged(exploded(questions, T.tokens("question"), "term", "query_id"), "terms")
+    tokens = lists.select(F.explode(F.array_union("label_tokens", "body_tokens")).alias("token"))
+    found = staged(matches(vocabulary(tokens), terms), "matches")
+    return ranked(scored(postings(lists), found, terms), kept, limit)
+
+
+def search(nodes: DataFrame, query: str, limit: int = 20, types: list[str] | None = None) -> DataFrame:
+    """The best ``limit`` (1 to 100) nodes: ``id, node_type, label, path, score``, best first."""
+    one = nodes.sparkSession.createDataFrame([(0, query)], "query_id int, question string")
+    return listed(search_many(nodes, one, max(1, min(limit, 100)), types), nodes)
+
+
+def listed(found: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The hits of one question with what is shown of them, best first."""
+    return found.join(nodes.select("id", "node_type", "label", "path"), "id").orderBy("rank").select("id", "node_type", "label", "path", "score")
 
 
 def excerpt(text: str | Column, query: str, limit: int = 700) -> Column:

@@ -7,7 +7,7 @@ from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestrata.functions import text as T
@@ -16,6 +16,7 @@ from lodestrata.operators import lexical
 
 #: Nodes of these types aren't embedded (fixed values).
 NOT_EMBEDDED = "keyword recording project session function".split()
+ENTRY = "id string, node_id string, chunk_index int, text_hash string, vector binary, scale double, norm double, model string"
 POOL, SEEDS, RRF, SPREAD, TAIL, PER_TYPE = 40, 12, 60, 0.35, 0.12, 4
 
 
@@ -72,10 +73,10 @@ def chunks(c: str | Column, size: int = 1800, overlap: int = 200, most: int = 12
     return F.slice(F.transform(starts, lambda s: F.substring(text, s + 1, F.lit(size))), 1, most)
 
 
-def node_chunks(nodes: DataFrame) -> DataFrame:
+def node_chunks(nodes: DataFrame, most: int = 120) -> DataFrame:
     """``id`` (content address), ``node_id``, ``chunk_index``, ``text_hash``, ``chunk`` of every embeddable node."""
     kept = nodes.where(~F.col("node_type").isin(NOT_EMBEDDED)).select(F.col("id").alias("node_id"), F.concat(F.coalesce("label", F.lit("")), F.lit("\n"), F.coalesce("text", F.lit(""))).alias("_t"))
-    cut = kept.select("node_id", F.posexplode(chunks("_t")).alias("chunk_index", "chunk")).withColumn("text_hash", T.stable_id("chunk", 32))
+    cut = kept.select("node_id", F.posexplode(chunks("_t", most=most)).alias("chunk_index", "chunk")).withColumn("text_hash", T.stable_id("chunk", 32))
     return cut.select(T.stable_id(F.concat_ws(":", "node_id", F.col("chunk_index").cast("string"), "text_hash"), 32).alias("id"), "node_id", "chunk_index", "text_hash", "chunk")
 
 
@@ -110,6 +111,11 @@ def cosine_scores(entries: DataFrame, query: list[float]) -> DataFrame:
     return entries.where("vector is not null").select("id", "node_id", "vector", "scale", "norm").mapInArrow(run, "id string, node_id string, score double")
 
 
+def live_entries(entries: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Entries of nodes that exist."""
+    return entries.join(nodes.select(F.col("id").alias("node_id")), "node_id", "left_semi").select(entries.columns)
+
+
 def best_per_node(scores: DataFrame) -> DataFrame:
     return scores.groupBy("node_id").agg(F.max("score").alias("score")).where("score > -1")
 
@@ -179,8 +185,7 @@ def hybrid_search(nodes: DataFrame, edges: DataFrame, entries: DataFrame | None,
             vector = None
     if vector is None:
         return lex.where(F.col("rank") <= limit).select("rank", "id", "score")
-    live = entries.join(nodes.select(F.col("id").alias("node_id")), "node_id", "left_semi")
-    best = best_per_node(cosine_scores(live, vector)).orderBy(F.col("score").desc(), "node_id").limit(POOL)
+    best = best_per_node(cosine_scores(live_entries(entries, nodes), vector)).orderBy(F.col("score").desc(), "node_id").limit(POOL)
     vec = best.withColumn("rank", F.row_number().over(Window.orderBy(F.col("score").desc(), "node_id"))).select(F.col("node_id").alias("id"), "rank")
     spread = expand(fuse(lex, vec), edges, nodes)
     kept = nodes.where("node_type <> 'keyword'")
@@ -189,11 +194,42 @@ def hybrid_search(nodes: DataFrame, edges: DataFrame, entries: DataFrame | None,
     return pack_evidence(spread.join(kept.select("id"), "id", "left_semi"), nodes, limit, query, types)
 
 
-def refresh_entries(nodes: DataFrame, old: DataFrame | None, embedder: Embedder, batch: int = 16) -> DataFrame:
+class EmbeddingIndex:
+    """Entries on disk, in versions: a write stands beside what is read until it is complete.
+
+    The format's number stands in the folder's name; entries of another format
+    aren't seen, those of another model aren't reused or searched.
+    """
+
+    VERSION = 1
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        from lodestrata.streaming.ingest import GraphTable
+
+        self.table = GraphTable(spark, f"{path.rstrip('/')}/format-{self.VERSION}", ENTRY)
+
+    def load(self, model: str | None = None) -> DataFrame | None:
+        """All entries (of ``model``); None where there is no index, or none of that model."""
+        if not self.table.versions():
+            return None
+        entries = self.table.read() if model is None else self.table.read().where(F.col("model") == model)
+        return None if entries.isEmpty() else entries
+
+    def refresh(self, nodes: DataFrame, embedder: Embedder, batch: int = 16, most: int = 120) -> dict[str, int]:
+        """Writes the entries of all chunks of ``nodes``; returns ``entries``, ``reused`` and ``embedded``."""
+        old = self.load(embedder.model)
+        self.table.write(refresh_entries(nodes, old, embedder, batch, most))
+        written = self.table.read()
+        total = written.count()
+        reused = 0 if old is None else written.join(old.select("id").distinct(), "id", "left_semi").count()
+        return {"entries": total, "reused": reused, "embedded": total - reused}
+
+
+def refresh_entries(nodes: DataFrame, old: DataFrame | None, embedder: Embedder, batch: int = 16, most: int = 120) -> DataFrame:
     """Entries of all chunks; those of an equal id and model are taken over, the others embedded in batches."""
-    made = node_chunks(nodes)
+    made = node_chunks(nodes, most)
     model = embedder.model
-    shape = "id string, node_id string, chunk_index int, text_hash string, vector binary, scale double, norm double, model string"
+    shape = ENTRY
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:

@@ -39,9 +39,11 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-def _nodes(spark: SparkSession, d: str) -> DataFrame:
-    both = table(spark, d, "knowledge_nodes").select(G.NODE_COLUMNS).unionByName(table(spark, d, "shared_nodes").select(G.NODE_COLUMNS))
-    return G.upsert_nodes(both)
+def _nodes(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    """The graph's nodes; with ``columns`` only these beside id and order are read."""
+    kept = [c for c in G.NODE_COLUMNS if not columns or c in ("id", "ord", *columns)]
+    both = table(spark, d, "knowledge_nodes").select(kept).unionByName(table(spark, d, "shared_nodes").select(kept))
+    return G.upsert_nodes(both, list(columns) if columns else None)
 
 
 def _edges(spark: SparkSession, d: str) -> DataFrame:
@@ -76,7 +78,7 @@ def _key(spark: SparkSession, key: str) -> DataFrame:
 
 @query(f"WITH {Q.NODES} SELECT node_type, count(*) AS n FROM nodes GROUP BY 1")
 def node_stats(spark, d):
-    return G.node_stats(_nodes(spark, d))
+    return G.node_stats(_nodes(spark, d, "node_type"))
 
 
 @query(f"WITH {Q.EDGES} SELECT edge_type, count(*) AS n FROM edges GROUP BY 1")
@@ -96,12 +98,12 @@ def edge_upsert_max(spark, d):
 
 @query(f"WITH {Q.NODES}, {Q.EDGES} SELECT e.src, e.dst, e.edge_type, e.weight FROM edges e WHERE e.src <> e.dst AND e.src IN (SELECT id FROM nodes) AND e.dst IN (SELECT id FROM nodes)")
 def edge_endpoints_valid(spark, d):
-    return G.valid_edges(_edges(spark, d), _nodes(spark, d)).select("src", "dst", "edge_type", "weight")
+    return G.valid_edges(_edges(spark, d), _nodes(spark, d, "node_type")).select("src", "dst", "edge_type", "weight")
 
 
 @query(f"WITH {Q.NODES} SELECT count(*) AS nodes, count(DISTINCT path) AS files FROM nodes WHERE node_type = 'file'")
 def distinct_files(spark, d):
-    return _nodes(spark, d).where("node_type = 'file'").agg(F.count("*").alias("nodes"), F.countDistinct("path").alias("files"))
+    return _nodes(spark, d, "node_type", "path").where("node_type = 'file'").agg(F.count("*").alias("nodes"), F.countDistinct("path").alias("files"))
 
 
 # ---- text functions -------------------------------------------------------------------------
@@ -138,11 +140,9 @@ def node_dates(spark, d):
 # ---- browsing, neighbourhood, tags ----------------------------------------------------------
 
 
-@query(f"WITH {Q.NODES} SELECT id, node_type, label, {Q.millis('metadata')} AS millis FROM nodes WHERE node_type = 'recording' ORDER BY millis DESC, ord LIMIT 50")
+@query(f"WITH {Q.NODES} SELECT id, node_type, label, {Q.millis('metadata')} AS millis FROM nodes WHERE node_type = 'recording' ORDER BY millis DESC, label COLLATE en, ord LIMIT 50")
 def browse_recent(spark, d):
-    # of equal times the first written comes first; the label's place in the order is tested apart
-    n = _nodes(spark, d).where("node_type = 'recording'").select("id", "node_type", "label", T.node_millis("metadata").alias("millis"), "ord")
-    return n.orderBy(F.col("millis").desc(), "ord").limit(50).drop("ord")
+    return G.browse(_nodes(spark, d, "node_type", "label", "path", "metadata"), "recording", 50).select("id", "node_type", "label", "millis")
 
 
 @query(
@@ -152,7 +152,7 @@ SELECT id, rank, other, weight FROM best WHERE rank <= 5 AND other IN (SELECT id
 )
 def related_top5(spark, d):
     seeds = table(spark, d, "search_queries").select(F.col("seed_id").alias("id"))
-    return G.related(_edges(spark, d), _nodes(spark, d), seeds)
+    return G.related(_edges(spark, d), _nodes(spark, d, "node_type"), seeds)
 
 
 @query(
@@ -162,7 +162,7 @@ SELECT id, rank, other FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER
 )
 def related_any5(spark, d):
     seeds = table(spark, d, "search_queries").select(F.col("seed_id").alias("id"))
-    return G.related_any(_edges(spark, d), _nodes(spark, d), seeds)
+    return G.related_any(_edges(spark, d), _nodes(spark, d, "node_type"), seeds)
 
 
 @query(
@@ -171,48 +171,52 @@ u AS (SELECT id, unnest(list_filter(ts, lambda x: length(x) >= 3)) AS term FROM
 SELECT DISTINCT id AS src, 'keyword:' || term AS dst FROM u"""
 )
 def keyword_tag_edges(spark, d):
-    n = _nodes(spark, d).where(F.col("node_type").isin("memory", "document"))
+    n = _nodes(spark, d, "node_type", "label").where(F.col("node_type").isin("memory", "document"))
     return G.tag_keywords(n, F.split("label", " "))[1].select("src", "dst")
 
 
 @query(f"WITH {Q.NODES}, {Q.EDGES} SELECT id FROM nodes WHERE node_type = 'keyword' AND id NOT IN (SELECT dst FROM edges WHERE edge_type = 'TAGGED' AND dst IS NOT NULL AND src LIKE 'memory:%')")
 def keyword_orphans(spark, d):
     edges = _edges(spark, d).where("src like 'memory:%'")
-    return G.orphans(_nodes(spark, d), edges, "keyword", "TAGGED")
+    return G.orphans(_nodes(spark, d, "node_type"), edges, "keyword", "TAGGED")
 
 
 @query(f"WITH {Q.NODES}, {Q.EDGES} SELECT id FROM nodes WHERE node_type = 'entity' AND id NOT IN (SELECT dst FROM edges WHERE edge_type = 'MENTIONS' AND dst IS NOT NULL)")
 def entity_orphans(spark, d):
-    return G.orphans(_nodes(spark, d), _edges(spark, d), "entity", "MENTIONS")
+    return G.orphans(_nodes(spark, d, "node_type"), _edges(spark, d), "entity", "MENTIONS")
 
 
 # ---- removal --------------------------------------------------------------------------------
 
 _GONE = f"""
-root AS (SELECT min(local_path) AS path, regexp_extract(min(local_path), '[^/]+$') AS name FROM managed_repos),
-direct AS (SELECT nodes.id FROM nodes, root WHERE node_type IN ('project','file','function') AND (nodes.path = root.path OR starts_with(nodes.path, root.path || '/') OR json_extract_string(metadata, '$.project') = root.name)),
-gone AS (SELECT id FROM direct UNION SELECT id FROM nodes WHERE node_type IN {Q.DERIVED} AND json_extract_string(metadata, '$.sourceID') IN (SELECT id FROM direct)),
+root AS (SELECT local_path AS path, slug FROM managed_repos ORDER BY local_path LIMIT 1),
+direct AS (SELECT nodes.id FROM nodes, root WHERE nodes.path = root.path OR json_extract_string(metadata, '$.project') = root.slug),
+gone AS (SELECT id FROM direct UNION SELECT id FROM nodes WHERE json_extract_string(metadata, '$.sourceID') IN (SELECT id FROM direct)),
 left_edges AS (SELECT * FROM edges WHERE src NOT IN (SELECT id FROM gone) AND dst NOT IN (SELECT id FROM gone)),
 left_nodes AS (SELECT * FROM nodes WHERE id NOT IN (SELECT id FROM gone)),
 kept AS (SELECT * FROM left_nodes WHERE node_type <> 'keyword' OR id IN (SELECT dst FROM left_edges WHERE edge_type = 'TAGGED'))
 """
 
 
+def _without_repository(spark, d):
+    # in these tables a node names its project by the repository's slug, not by its path
+    root = table(spark, d, "managed_repos").orderBy("local_path").select("local_path", "slug").first()
+    return G.remove_repository(_nodes(spark, d, "node_type", "path", "metadata"), _edges(spark, d), root["local_path"], root["slug"])
+
+
 @query(f"WITH {Q.NODES}, {Q.EDGES}, {_GONE} SELECT id FROM kept")
 def remove_repository(spark, d):
-    root = table(spark, d, "managed_repos").agg(F.min("local_path")).first()[0]
-    return G.remove_repository(_nodes(spark, d), _edges(spark, d), root)[0].select("id")
+    return _without_repository(spark, d)[0].select("id")
 
 
 @query(f"WITH {Q.NODES}, {Q.EDGES}, {_GONE} SELECT src, dst, edge_type FROM left_edges WHERE dst NOT IN (SELECT id FROM left_nodes WHERE id NOT IN (SELECT id FROM kept))")
 def remove_repository_edges(spark, d):
-    root = table(spark, d, "managed_repos").agg(F.min("local_path")).first()[0]
-    return G.remove_repository(_nodes(spark, d), _edges(spark, d), root)[1].select("src", "dst", "edge_type")
+    return _without_repository(spark, d)[1].select("src", "dst", "edge_type")
 
 
 @query(f"WITH {Q.NODES}, {Q.EDGES}, p AS (SELECT min(path) AS path FROM nodes WHERE node_type = 'memory') SELECT node_type, count(*) AS n FROM nodes, p WHERE NOT (nodes.path IS NOT DISTINCT FROM p.path AND node_type IN ('memory','session','turn')) GROUP BY 1")
 def replace_by_path(spark, d):
-    nodes = _nodes(spark, d)
+    nodes = _nodes(spark, d, "node_type", "path")
     path = nodes.where("node_type = 'memory'").agg(F.min("path")).first()[0]
     return G.node_stats(G.remove_by_path(nodes, _edges(spark, d), path, ["memory", "session", "turn"])[0])
 
@@ -456,9 +460,11 @@ def graph_summary(spark, d):
 SELECT 'project' AS node_type, 1 AS n UNION ALL SELECT 'file', count(DISTINCT filepath) FROM functions UNION ALL SELECT 'function', count(*) FROM functions
 UNION ALL SELECT 'CONTAINS', count(DISTINCT filepath) + count(*) FROM functions UNION ALL SELECT 'CALLS', count(*) FROM (SELECT DISTINCT src, dst FROM calls WHERE dst IN (SELECT key FROM functions) AND src <> dst)"""
 )
+# keyword nodes and their edges are held against SQL in code_graph_edges
 def merge_code_graph(spark, d):
     nodes, edges = G.merge_code_graph(_functions(spark, d), _nodes(spark, d), "/repo")
-    return G.node_stats(nodes).unionByName(G.edge_stats(edges).withColumnRenamed("edge_type", "node_type"))
+    counts = G.node_stats(nodes).unionByName(G.edge_stats(edges).withColumnRenamed("edge_type", "node_type"))
+    return counts.where(~F.col("node_type").isin("keyword", "TAGGED"))
 
 
 # ---- vectors and fusion ---------------------------------------------------------------------
@@ -564,8 +570,8 @@ SELECT model, count(*) AS entries, count(*) FILTER (WHERE node_id IN (SELECT id
 )
 def live_entries(spark, d):
     e = table(spark, d, "embedding_entries").select("id", "node_id", "model").distinct()
-    live = _nodes(spark, d).select(F.col("id").alias("node_id"), F.lit(1).alias("_live"))
-    return e.join(live, "node_id", "left").groupBy("model").agg(F.count("*").alias("entries"), F.count("_live").alias("live"))
+    live = V.live_entries(e, _nodes(spark, d, "node_type")).groupBy("model").agg(F.count("*").alias("live"))
+    return e.groupBy("model").agg(F.count("*").alias("entries")).join(live, "model", "left").select("model", "entries", F.coalesce("live", F.lit(0)).alias("live"))
 
 
 @query(
@@ -595,9 +601,7 @@ def pending_extraction(spark, d):
 SELECT f.id, f.source_id, s.node_type AS source_type FROM f JOIN nodes s ON s.id = f.source_id"""
 )
 def derived_provenance(spark, d):
-    nodes = _nodes(spark, d)
-    f = nodes.where(F.col("node_type").isin(G.DERIVED_TYPES)).select("id", F.get_json_object("metadata", "$.sourceID").alias("source_id"))
-    return f.join(nodes.select(F.col("id").alias("source_id"), F.col("node_type").alias("source_type")), "source_id")
+    return S.provenance(_nodes(spark, d, "node_type", "metadata"))
 
 
 @query(f"WITH {Q.NODES}, {Q.EDGES} SELECT e.dst AS id, n.label, count(*) AS mentions, round(max(e.weight), 4) AS weight FROM edges e JOIN nodes n ON n.id = e.dst WHERE e.edge_type = 'MENTIONS' AND n.node_type = 'entity' GROUP BY 1, 2")
@@ -712,3 +716,6 @@ def events_autoingest(spark, d):
     from lodestrata.streaming import ingest as I  # noqa: E741
 
     return I.replay(table(spark, d, "events"), ["event_type"], "user_id", "value")
+
+
+from lodestrata.plans import ingestion  # noqa: E402, F401

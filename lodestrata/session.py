@@ -57,15 +57,21 @@ def _local_dir() -> str:
     return "file://" + _LOCAL_DIRS[0]
 
 
+def staging(spark: SparkSession, tag: str) -> str:
+    """A new path in the shared folder, which ``release_staged`` removes."""
+    path = f"{shared_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    _STAGED.append(path)
+    return path
+
+
 def staged(df: DataFrame, tag: str) -> DataFrame:
     """``df`` written once as a table in the shared folder and read back.
 
     Cuts the lineage: later readers depend on files all executors reach, not
     on shuffle output of an executor that may be lost.
     """
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    path = staging(df.sparkSession, tag)
     df.write.parquet(path)
-    _STAGED.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

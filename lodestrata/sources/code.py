@@ -2,8 +2,11 @@
 
 Parsing is per file in Arrow batches; keys and callees are then resolved with
 joins (see ``operators.callgraph``). The lexer for TypeScript and JavaScript
-knows declarations, methods, named arrow functions and calls by name; it doesn't
-know types, so a call resolves by name alone.
+knows declarations, methods, function expressions, arrow functions and calls by
+name. As in the published behaviour arrow functions, and function expressions
+without a name of their own, are anonymous. It doesn't know types, so a call
+resolves by name alone: to a function of the same file first, else to the first
+that bears the name.
 """
 
 from __future__ import annotations
@@ -21,11 +24,20 @@ from lodestrata.functions import text as T
 from lodestrata.operators import callgraph as C
 from lodestrata.sources.files import walk
 
+_NAME = r"[A-Za-z_$][\w$]*"
+#: Declarations of a script: functions and function expressions, arrow functions (named by what they are assigned to, or
+#: not at all), classes, methods.
 _TS = re.compile(
-    r"(?P<fn>\bfunction\s*\*?\s*(?P<fname>[A-Za-z_$][\w$]*)\s*(?:<[^>(]*>)?\()|(?P<arrow>\b(?:const|let|var)\s+(?P<aname>[A-Za-z_$][\w$]*)\s*(?::[^=]+)?=\s*(?:async\s*)?(?:\([^()]*\)|[A-Za-z_$][\w$]*)\s*(?::[^=]+)?=>)"
-    r"|(?P<cls>\bclass\s+(?P<cname>[A-Za-z_$][\w$]*))|(?P<method>^[ \t]+(?:public |private |protected |static |async |readonly )*(?P<mname>[A-Za-z_$][\w$]*)\s*(?:<[^>(]*>)?\([^;{}()]*\)\s*(?::[^{;=]+)?\{)",
+    rf"(?P<fn>\bfunction\b\s*\*?\s*(?P<fname>{_NAME})?\s*(?:<[^>(]*>)?\()"
+    rf"|(?P<arrow>(?:\([^()]*\)|(?<![\w$.]){_NAME})\s*(?::\s*[^=;{{}}()]+)?=>)"
+    rf"|(?P<cls>\bclass\s+(?P<cname>{_NAME}))"
+    rf"|(?P<method>^[ \t]+(?:public |private |protected |static |async |readonly |override |get |set )*\*?(?P<mname>#?{_NAME})\s*(?:<[^>(]*>)?\([^;{{}}()]*(?:\([^()]*\)[^;{{}}()]*)*\)\s*(?::[^{{;=]+)?\{{)",
     re.M,
 )
+_ACCESSOR = re.compile(r"\b[gs]et\s+#?[A-Za-z_$][\w$]*\s*\(")
+#: What stands before a function that is an expression.
+_EXPRESSION = re.compile(r"(?:[=(,:?&|\[!]|\breturn|=>)\s*(?:async\s+)?\Z")
+ANONYMOUS = "<anonymous>"
 _CALL = re.compile(r"(?:\.|\b)([A-Za-z_$][\w$]*)\s*\(")
 _WORDS = frozenset("if for while switch catch return function typeof await new super import constructor".split())
 
@@ -60,7 +72,7 @@ def python_functions(source: str) -> list[tuple[str, list[str], int, int]]:
 def script_functions(source: str) -> list[tuple[str, list[str], int, int]]:
     """As ``python_functions`` for TypeScript and JavaScript; bodies end where their braces close."""
     clean = re.sub(r"//[^\n]*|/\*.*?\*/|'(?:\\.|[^'\\\n])*'|\"(?:\\.|[^\"\\\n])*\"", lambda m: re.sub(r"[^\n]", " ", m.group()), source, flags=re.S)
-    found: list[tuple[str, list[str], int, int]] = []
+    found: list[tuple[int, tuple[str, list[str], int, int]]] = []
     classes: list[tuple[str, int]] = []
 
     def close(at: int) -> int:
@@ -74,21 +86,46 @@ def script_functions(source: str) -> list[tuple[str, list[str], int, int]]:
                     return i
         return len(clean) - 1
 
+    line_of = lambda at: clean.count("\n", 0, at) + 1
+    def expression_end(at: int) -> int:
+        depth = 0
+        for i in range(at, len(clean)):
+            c = clean[i]
+            if c in "([{":
+                depth += 1
+            elif c in ")]}":
+                depth -= 1
+                if depth < 0:
+                    return i - 1
+            elif depth == 0 and c in ",;":
+                return i - 1
+            elif depth == 0 and c == "\n" and not re.match(r"\s*[.?:&|+\-*/)\]]", clean[i:]):
+                return i - 1
+        return len(clean) - 1
+
     for m in _TS.finditer(clean):
-        brace = clean.find("{", m.start("method") if m["method"] else m.end())
         if m["cls"]:
+            brace = clean.find("{", m.end())
             if brace >= 0:
                 classes.append((m["cname"], close(brace)))
             continue
-        name = m["fname"] or m["aname"] or m["mname"]
-        if name in _WORDS:
+        if m["method"] and (m["mname"] in _WORDS or _ACCESSOR.search(m.group())):
             continue
-        line_end = clean.find("\n", m.end())
-        body_end = close(brace) if brace >= 0 and (m["fn"] or m["method"] or brace < (line_end if line_end >= 0 else len(clean))) else (line_end if line_end >= 0 else len(clean))
-        calls = [c for c in dict.fromkeys(_CALL.findall(clean[m.end() : body_end])) if c not in _WORDS]
-        owner = next((c for c, end in reversed(classes) if m.start() < end), None) if m["method"] else None
-        found.append((f"{owner}.{name}" if owner else name, calls, clean.count("\n", 0, m.start()) + 1, clean.count("\n", 0, body_end) + 1))
-    return found
+        if m["arrow"]:
+            # a block, or an expression up to the end of its statement or list
+            rest = re.match(r"\s*", clean[m.end() :]).end() + m.end()
+            end = close(rest) if clean[rest : rest + 1] == "{" else expression_end(rest)
+            name = ANONYMOUS
+        else:
+            brace = clean.find("{", m.end() - 1 if m["method"] else m.end())
+            end = close(brace) if brace >= 0 else len(clean) - 1
+            name = m["fname"] or m["mname"] or ANONYMOUS
+        calls = [c for c in dict.fromkeys(_CALL.findall(clean[m.end() : end + 1])) if c not in _WORDS]
+        owner = next((c for c, last in reversed(classes) if m.start() < last), None) if m["method"] else None
+        kind = 1 if m["method"] else 2 if m["arrow"] else 3 if _EXPRESSION.search(clean, max(0, m.start() - 40), m.start()) else 0
+        found.append((kind, (f"{owner}.{name}" if owner else name, calls, line_of(m.start() + len(m.group()) - len(m.group().lstrip())), line_of(min(end, len(clean))))))
+    # declared functions first, then methods, arrow functions and function expressions; so repeated keys are numbered
+    return [f for _, f in sorted(found, key=lambda x: x[0])]
 
 
 def extract(files: DataFrame, root: str) -> DataFrame:
@@ -98,20 +135,20 @@ def extract(files: DataFrame, root: str) -> DataFrame:
         base = root.rstrip("/") + "/"
         for part in parts:
             rows = []
-            for path, text in zip(part["path"], part["text"]):
+            for path, text, no in zip(part["path"], part["text"], part["file_no"]):
                 parse = python_functions if path.endswith(".py") else script_functions
                 module = re.sub(r"\.(?:[tj]sx?|[mc]js|py)$", "", path.removeprefix(base)).replace("/", ".")
-                rows += [(f"{module}.{name}", path, calls, first, last) for name, calls, first, last in parse(text or "")]
-            yield pd.DataFrame(rows, columns=["key", "filepath", "callees", "lineno", "end_lineno"])
+                rows += [(f"{module}.{name}", path, calls, first, last, (int(no) << 20) + i) for i, (name, calls, first, last) in enumerate(parse(text or ""))]
+            yield pd.DataFrame(rows, columns=["key", "filepath", "callees", "lineno", "end_lineno", "ord"])
 
-    raw = files.mapInPandas(run, "key string, filepath string, callees array<string>, lineno int, end_lineno int")
-    return C.resolve_names(C.unique_keys(raw.withColumn("ord", F.xxhash64("filepath").bitwiseAND(F.lit((1 << 42) - 1)) * 1_000_000 + F.col("lineno"))))
+    raw = files.mapInPandas(run, "key string, filepath string, callees array<string>, lineno int, end_lineno int, ord bigint")
+    return C.resolve_names(C.unique_keys(raw))
 
 
 def repository_functions(spark: SparkSession, root: str, language: str = "python") -> DataFrame:
     """The call graph of a repository's Python, or TypeScript and JavaScript, files."""
     endings = [".py"] if language == "python" else [".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs"]
-    return extract(walk(spark, root).where(T.extension("path").isin(endings)).select("path", "text"), root)
+    return extract(walk(spark, root).where(T.extension("path").isin(endings)).select("path", "text", "file_no"), root)
 
 
 def functions_json(spark: SparkSession, path: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.operators import graphstore as G
-from lodestrata.session import shared_dir
+from lodestrata.session import staging
 
 
 class GraphTable:
@@ -33,6 +33,11 @@ class GraphTable:
         done = self.versions()
         return self.spark.read.schema(self.schema).parquet(f"{self.path}/{done[-1]}") if done else self.spark.createDataFrame([], self.schema)
 
+    def written_at(self) -> int | None:
+        """When the version that is read was completed, in milliseconds."""
+        done = self.versions()
+        return int(self._fs.getFileStatus(self._p(done[-1] + ".done")).getModificationTime()) if done else None
+
     def write(self, df: DataFrame) -> None:
         """Writes beside what is read, marks it complete, and drops versions but the last two."""
         done = self.versions()
@@ -64,27 +69,23 @@ def ingest_nodes(spark: SparkSession, folder: str, target: GraphTable, checkpoin
     q.awaitTermination()
 
 
-def append_session(spark: SparkSession, folder: str, records: list[str]) -> None:
-    """Appends JSON records as a file that ``knowledge_path`` and file streams read."""
-    spark.createDataFrame([(r,) for r in records], "value string").coalesce(1).write.mode("append").text(folder)
-
-
-def replay(events: DataFrame, by: list[str], user: str, value: str) -> DataFrame:
+def replay(events: DataFrame, by: list[str], user: str, value: str, folder: str | None = None) -> DataFrame:
     """Aggregates a table that is read as a stream of files: ``n``, ``users``, ``total``.
 
-    The stream writes what it has aggregated per batch; the last complete
-    result is read back. Batches are merged through the written table, so the
-    job picks up where it was after a restart.
+    Each batch is aggregated into a table of its own number, written anew if the
+    batch is tried again, so none counts twice. With a ``folder`` that is kept the
+    job goes on after a restart where it was; without one it starts anew.
     """
     spark = events.sparkSession
-    base = f"{shared_dir(spark).rstrip('/')}/replay-{uuid.uuid4().hex}"
-    folder, name = os.path.split(events.inputFiles()[0])
+    base = folder.rstrip("/") if folder else staging(spark, "replay")
+    read = events.inputFiles()
+    source, name = os.path.split(read[0])
     # a stream reads folders: a table of one file is picked out of its folder by name
-    glob = "*.parquet" if folder.endswith(".parquet") else name
-    stream = spark.readStream.schema(events.schema).option("pathGlobFilter", glob).parquet(folder)
+    glob = "*.parquet" if source.endswith(".parquet") or len(read) > 1 else name
+    stream = spark.readStream.schema(events.schema).option("pathGlobFilter", glob).parquet(source)
 
-    def keep(batch: DataFrame, _: int) -> None:
-        batch.groupBy(*by, user).agg(F.count("*").alias("n"), F.sum(value).alias("total")).write.mode("append").parquet(f"{base}/parts")
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.groupBy(*by, user).agg(F.count("*").alias("n"), F.sum(value).alias("total")).write.mode("overwrite").parquet(f"{base}/parts/batch={number}")
 
     q = stream.writeStream.foreachBatch(keep).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
     q.awaitTermination()

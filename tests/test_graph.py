@@ -19,7 +19,7 @@ FN = "key string, filepath string, callees array<string>, lineno int, end_lineno
 @pytest.fixture(scope="module")
 def graph(spark):
     nodes = [("d", "decision", "Wallet choice", "We use MuSig2 for the wallet.", None, '{"sourceID":"m"}', 1), ("m", "memory", "MuSig2 wallet", "MuSig2 wallet design", "/m.md", "{}", 2), ("t", "transcript", "Talk", "about passkey login", None, '{"startedAt":"2026-02-01T00:00:00Z"}', 3),
-             ("f", "function", "sign", "repo.sign", "/repo/a.py", "{}", 4), ("keyword:musig2", "keyword", "musig2", "musig2", None, "{}", 5), ("p", "project", "repo", "Repository repo", "/repo", "{}", 6), ("c", "claim", "x", "y", None, '{"sourceID":"f"}', 7)]
+             ("f", "function", "sign", "repo.sign", "/repo/a.py", '{"project":"/repo"}', 4), ("keyword:musig2", "keyword", "musig2", "musig2", None, "{}", 5), ("p", "project", "repo", "Repository repo", "/repo", "{}", 6), ("c", "claim", "x", "y", None, '{"sourceID":"f"}', 7)]
     edges = [("d", "m", "DERIVED_FROM", 0.5, None, 1), ("d", "m", "DERIVED_FROM", 0.9, "late", 2), ("f", "keyword:musig2", "TAGGED", 1.0, None, 3), ("m", "m", "NEXT", 1.0, None, 4), ("m", "gone", "NEXT", 1.0, None, 5), ("c", "f", "DERIVED_FROM", 1.0, None, 6)]
     return spark.createDataFrame(nodes, NODE), spark.createDataFrame(edges, EDGE)
 
