@@ -17,7 +17,7 @@ from lodestrata.operators import lexical as L
 from lodestrata.operators import semantic as S
 from lodestrata.operators import vectors as V
 from lodestrata.plans import sql as Q
-from lodestrata.session import table
+from lodestrata.session import staged, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -267,9 +267,10 @@ def fts_boosted(spark, d):
     return _fts(spark, d, limit=10, boost_before_limit=True)
 
 
-@query("SELECT id, node_type, label, path, 0.0::DOUBLE AS score FROM knowledge_nodes WHERE false")
+@query(_bm25_sql("of it ledger", 20))
 def fts_short_terms(spark, d):
-    return X.search(X.indexed(_nodes(spark, d)), "of it")
+    # words under three characters match nothing and count for nothing
+    return X.search(X.indexed(_nodes(spark, d)), "of it ledger").withColumn("score", F.round("score", 6))
 
 
 def _lexical_sql(question: str, limit: int) -> str:
@@ -315,21 +316,17 @@ def lexical_many(spark, d):
     return L.search_many(_nodes(spark, d), spark.createDataFrame(suite, "query_id int, question string"), 5)
 
 
+_OUTER = "[\\s\\p{Z}\\x0b]+"
+
+
 @query(
-    f"""WITH {Q.NODES}, t AS (SELECT id, trim(text) AS c FROM nodes WHERE node_type = 'memory' AND text IS NOT NULL), p AS (SELECT id, c, CASE WHEN strpos(lower(c), 'cache') > 0 THEN strpos(lower(c), 'cache') - 1 ELSE -1 END AS pos FROM t)
-SELECT id, CASE WHEN length(c) <= 120 THEN c WHEN pos < 0 THEN substr(c, 1, 120) ELSE (CASE WHEN greatest(0, pos - 40) > 0 THEN '…' ELSE '' END) || substr(c, greatest(0, pos - 40) + 1, 120) || (CASE WHEN greatest(0, pos - 40) + 120 < length(c) THEN '…' ELSE '' END) END AS excerpt
-FROM p WHERE pos >= 0 AND c = trim(c, E' \\t\\r\\n') AND NOT regexp_matches(c, '[^\\x00-\\x7F]')"""
+    f"""WITH {Q.NODES}, t AS (SELECT id, regexp_replace(text, '^{_OUTER}|{_OUTER}$', '', 'g') AS c FROM nodes WHERE node_type = 'memory' AND text IS NOT NULL),
+n AS (SELECT id, c, strpos(lower(c), 'cache') AS here, list_filter({Q.tokens('c')}, lambda t: length(t) >= 5 AND t <> 'cache' AND levenshtein({Q.signature('t')}, '{T.signature_plain('cache')}') <= 1)[1] AS near FROM t),
+p AS (SELECT id, c, CASE WHEN here > 0 THEN here - 1 WHEN near IS NOT NULL THEN strpos(lower(c), near) - 1 ELSE -1 END AS pos FROM n)
+SELECT id, CASE WHEN length(c) <= 120 THEN c WHEN pos < 0 THEN substr(c, 1, 120) ELSE (CASE WHEN greatest(0, pos - 40) > 0 THEN '…' ELSE '' END) || substr(c, greatest(0, pos - 40) + 1, 120) || (CASE WHEN greatest(0, pos - 40) + 120 < length(c) THEN '…' ELSE '' END) END AS excerpt FROM p"""
 )
 def excerpt(spark, d):
-    n = _nodes(spark, d).where("node_type = 'memory' and text is not null").withColumn("c", F.trim("text"))
-    plain = n.where(F.contains(F.lower("c"), F.lit("cache")) & ~F.col("c").rlike(r"[^\x00-\x7F]") & ~F.col("c").rlike(r"^[ \t\r\n]|[ \t\r\n]$"))
-    return plain.select("id", L.excerpt("c", "cache", 120).alias("excerpt"))
-
-
-@query()
-def excerpt_all(spark, d):
-    # excerpt and its SQL are held to ASCII texts that have the word; these are all memories
-    return _nodes(spark, d).where("node_type = 'memory' and text is not null").select("id", L.excerpt("text", "cache", 120).alias("excerpt"))
+    return _nodes(spark, d, "node_type", "text").where("node_type = 'memory' and text is not null").select("id", L.excerpt("text", "cache", 120).alias("excerpt"))
 
 
 @query(
@@ -419,20 +416,11 @@ def flowchart_edges(spark, d):
     return C.flowchart_edges(f.where("key like 'mod\\\\_4.%' or key like 'mod\\\\_31.%'"))
 
 
-@query(
-    f"""WITH {Q.FUNCTIONS}, s AS (SELECT * FROM functions WHERE ord <= 400), c AS (SELECT key AS src, unnest(callees) AS dst FROM s)
-SELECT DISTINCT regexp_replace(src, '[^a-zA-Z0-9_]', '_', 'g') AS src, regexp_replace(dst, '[^a-zA-Z0-9_]', '_', 'g') AS dst, split_part(dst, '.', -1) AS message FROM c WHERE dst IN (SELECT key FROM s) AND src <> dst"""
-)
-def sequence_calls(spark, d):
-    return C.sequence_calls(_functions(spark, d).where("ord <= 400"))
-
-
 @query(
     f"""WITH {Q.FUNCTIONS}
 SELECT DISTINCT regexp_replace(src, '[^a-zA-Z0-9_]', '_', 'g') AS src, regexp_replace(dst, '[^a-zA-Z0-9_]', '_', 'g') AS dst, split_part(dst, '.', -1) AS message FROM calls WHERE dst IN (SELECT key FROM functions) AND src <> dst"""
 )
-def sequence_calls_all(spark, d):
-    # sequence_calls and its SQL are held to a part of the graph; this is all of it
+def sequence_calls(spark, d):
     return C.sequence_calls(_functions(spark, d))
 
 
@@ -575,25 +563,35 @@ def live_entries(spark, d):
 
 
 @query(
-    f"""WITH {Q.NODES}, old AS (SELECT DISTINCT node_id FROM embedding_entries WHERE model = 'mossvec-64'),
-made AS (SELECT id AS node_id FROM nodes WHERE node_type NOT IN ('keyword','recording','project','session','function'))
-SELECT count(*) FILTER (WHERE node_id IN (SELECT node_id FROM old)) AS reused, count(*) FILTER (WHERE node_id NOT IN (SELECT node_id FROM old)) AS pending FROM made"""
+    f"""WITH {Q.NODES}, t AS (SELECT id AS node_id, coalesce(label, '') || chr(10) || coalesce(text, '') AS t FROM nodes WHERE node_type NOT IN ('keyword','recording','project','session','function')),
+c AS (SELECT node_id, s // 1600 AS i, substr(sha256(substr(t, s + 1, 1800)), 1, 32) AS h FROM (SELECT node_id, t, unnest(range(0, greatest(length(t), 1), 1600)) AS s FROM t) WHERE s // 1600 < 120),
+made AS (SELECT node_id, substr(sha256(node_id || ':' || i || ':' || h), 1, 32) AS id FROM c), old AS (SELECT id FROM made WHERE node_id IN (SELECT node_id FROM embedding_entries))
+SELECT count(*) AS entries, count(*) FILTER (WHERE id IN (SELECT id FROM old)) AS reused, count(*) FILTER (WHERE id NOT IN (SELECT id FROM old)) AS embedded FROM made"""
 )
 def embedding_reuse(spark, d):
-    old = table(spark, d, "embedding_entries").where("model = 'mossvec-64'").select("node_id").distinct().withColumn("_old", F.lit(1))
-    made = _nodes(spark, d).where(~F.col("node_type").isin(V.NOT_EMBEDDED)).select(F.col("id").alias("node_id"))
-    return made.join(old, "node_id", "left").agg(F.count("_old").alias("reused"), F.count(F.when(F.col("_old").isNull(), 1)).alias("pending"))
+    # the old index holds the chunks of nodes that have entries; what is taken over of it keeps the mark of that index
+    nodes, model = _nodes(spark, d, "node_type", "label", "text"), V.HashingEmbedder(8)
+    had = nodes.join(table(spark, d, "embedding_entries").select(F.col("node_id").alias("id")).distinct(), "id", "left_semi").select(nodes.columns)
+    old = V.refresh_entries(had, None, model).withColumn("scale", F.lit(-1.0))
+    return V.refresh_entries(nodes, staged(old, "old-entries"), model).agg(F.count("*").alias("entries"), F.count(F.when(F.col("scale") == -1, 1)).alias("reused"), F.count(F.when(F.col("scale") != -1, 1)).alias("embedded"))
 
 
 # ---- derived facts --------------------------------------------------------------------------
 
 
 @query(
-    f"""WITH {Q.NODES} SELECT id FROM nodes WHERE node_type IN ('memory','transcript','turn','document','prompt') AND NOT EXISTS (
-SELECT 1 FROM nodes f WHERE f.node_type IN {Q.DERIVED} AND json_extract_string(f.metadata, '$.extractionModel') = 'none' AND json_extract_string(f.metadata, '$.sourceID') = nodes.id)"""
+    f"""WITH {Q.NODES}, f AS (SELECT json_extract_string(metadata, '$.sourceID') AS id, ord FROM nodes WHERE node_type IN {Q.DERIVED}),
+done AS (SELECT f.id FROM f JOIN nodes s USING (id) WHERE f.ord % 3 > 0)
+SELECT id FROM nodes WHERE node_type IN ('memory','transcript','turn','document','prompt') AND id NOT IN (SELECT id FROM done)"""
 )
 def pending_extraction(spark, d):
-    return S.pending(_nodes(spark, d), "none").select("id")
+    # the tables' facts don't name a model and a text: two of three are taken as derived from the text as it is, one from another
+    nodes = _nodes(spark, d)
+    now = nodes.select(F.col("id").alias("source"), S.source_hash().alias("hash"))
+    facts = nodes.where(F.col("node_type").isin(G.DERIVED_TYPES)).withColumn("source", F.get_json_object("metadata", "$.sourceID")).join(now, "source", "left")
+    about = F.to_json(F.struct(F.col("source").alias("sourceID"), F.when(F.col("ord") % 3 > 0, F.col("hash")).otherwise("old").alias("sourceHash"), F.lit("rules-1").alias("extractionModel")))
+    told = facts.withColumn("metadata", about).select(G.NODE_COLUMNS)
+    return S.pending(nodes.where(~F.col("node_type").isin(G.DERIVED_TYPES)).unionByName(told), "rules-1").select("id")
 
 
 @query(
@@ -604,10 +602,10 @@ def derived_provenance(spark, d):
     return S.provenance(_nodes(spark, d, "node_type", "metadata"))
 
 
-@query(f"WITH {Q.NODES}, {Q.EDGES} SELECT e.dst AS id, n.label, count(*) AS mentions, round(max(e.weight), 4) AS weight FROM edges e JOIN nodes n ON n.id = e.dst WHERE e.edge_type = 'MENTIONS' AND n.node_type = 'entity' GROUP BY 1, 2")
+@query(f"WITH {Q.NODES}, {Q.EDGES} SELECT e.dst AS id, n.label, count(*) AS mentions, round(max(e.weight), 4) AS weight FROM edges e JOIN nodes n ON n.id = e.dst WHERE e.edge_type = 'MENTIONS' GROUP BY 1, 2")
 def entity_mentions(spark, d):
     e = _edges(spark, d).where("edge_type = 'MENTIONS'").select(F.col("dst").alias("id"), "weight")
-    n = _nodes(spark, d).where("node_type = 'entity'").select("id", "label")
+    n = _nodes(spark, d, "label").select("id", "label")
     return e.join(n, "id").groupBy("id", "label").agg(F.count("*").alias("mentions"), F.round(F.max("weight"), 4).alias("weight"))
 
 
@@ -655,6 +653,26 @@ def benchmark_by_tag(spark, d):
     return t.select("tag", "cases", *(F.round(m, 6).alias(m) for m in ("recall_at_1", "recall_at_5", "reciprocal_rank", "passes")))
 
 
+@query(
+    f"""WITH {Q.NODES}, {Q.EDGES}, {_RANKINGS},
+asked AS (SELECT DISTINCT query_id, question FROM search_queries q JOIN edges e ON e.src = q.seed_id AND e.edge_type = 'RELATED' AND e.weight >= 0.5),
+top AS (SELECT t.query_id, t.rank, n.* FROM r1 t JOIN nodes n USING (id) WHERE t.rank <= 5),
+fam AS (SELECT query_id, rank, {Q.phrase("coalesce(label, '') || chr(10) || coalesce(text, '')")} AS said, CASE
+  WHEN coalesce(json_extract_string(metadata, '$.sessionID'), json_extract_string(metadata, '$.session_id'), '') <> '' THEN 'session:' || coalesce(json_extract_string(metadata, '$.sessionID'), json_extract_string(metadata, '$.session_id'))
+  WHEN regexp_matches(id, '^(recording|transcript):') THEN regexp_replace(id, '^(recording|transcript):', 'dictation:')
+  ELSE coalesce(regexp_replace(regexp_replace(path, '/$', ''), '\\.[^./]+$', ''), id) END AS family FROM top),
+c AS (SELECT query_id, string_agg(said, ' ' ORDER BY rank) AS said, 1 - count(DISTINCT family) / count(*) AS redundancy FROM fam GROUP BY 1),
+f AS (SELECT a.query_id, coalesce(said, '') AS said, coalesce(redundancy, 0) AS redundancy, [{Q.phrase("string_split(question, ' ')[1]")}, {Q.phrase("array_to_string(string_split(question, ' ')[2:3], ' ')")}] AS facts, {Q.phrase("string_split(question, ' ')[-1]")} AS claim FROM asked a LEFT JOIN c USING (query_id))
+SELECT query_id AS id, round(len(list_filter(facts, lambda x: contains(said, x))) / 2.0, 6) AS fact_coverage, CASE WHEN contains(said, claim) THEN 1.0 ELSE 0.0 END AS forbidden_rate, round(redundancy, 6) AS redundancy FROM f"""
+)
+def benchmark_quality(spark, d):
+    words = F.split("question", " ")
+    facts, claims = F.array(words[0], F.array_join(F.slice(words, 2, 2), " ")), F.array(F.element_at(words, -1))
+    cases = _cases(spark, d).withColumn("expectedFacts", facts).withColumn("forbiddenClaims", claims)
+    report = B.evaluate(cases, _ranking(spark, d, "search_results").where("rank <= 5"), _nodes(spark, d))
+    return report.select("id", *(F.round(m, 6).alias(m) for m in ("fact_coverage", "forbidden_rate", "redundancy")))
+
+
 # ---- repositories and turns -----------------------------------------------------------------
 
 
@@ -686,26 +704,14 @@ def turn_next_chain(spark, d):
 
 
 @query(
-    """WITH m AS (SELECT * FROM session_messages WHERE content IS NOT NULL AND content NOT LIKE '[%' AND trim(content, E' \\t\\n\\r') <> ''),
-t AS (SELECT session_id, count(*) AS turns, string_agg(content, chr(10) ORDER BY ord) FILTER (WHERE NOT EXISTS (SELECT 1 FROM m b WHERE b.session_id = m.session_id AND b.ord < m.ord AND contains(b.content, m.content))) AS s FROM m GROUP BY 1)
-SELECT session_id, turns, length(s) AS chars FROM t WHERE session_id NOT IN (SELECT session_id FROM session_messages GROUP BY session_id, content HAVING count(*) > 1) AND session_id IN (SELECT session_id FROM session_messages GROUP BY 1 HAVING count(*) <= 3)"""
+    f"""WITH m AS (SELECT session_id, ord, CASE WHEN content LIKE '[%' AND json_valid(content) THEN coalesce(array_to_string(list_filter(list_transform(json_extract(content, '$[*]'), lambda x: coalesce(CASE WHEN json_type(x) = 'VARCHAR' THEN x ->> '$' END, x ->> '$.text', x ->> '$.content', CASE WHEN json_type(x) = 'OBJECT' THEN x::VARCHAR END)), lambda x: x <> ''), chr(10)), '') ELSE content END AS t FROM session_messages WHERE session_id IS NOT NULL),
+k AS (SELECT * FROM m WHERE regexp_matches(t, '[^\\s\\p{{Z}}\\x0b]')),
+l AS (SELECT session_id, count(*) AS turns, list(t ORDER BY ord, t) AS ts FROM k GROUP BY 1)
+SELECT session_id, turns, length(list_reduce(ts, lambda a, x: CASE WHEN contains(a, x) THEN a ELSE a || chr(10) || x END)[1:{300_000}]) AS chars FROM l"""
 )
 def session_text(spark, d):
     from lodestrata.sources import sessions as N
 
-    m = table(spark, d, "session_messages")
-    repeated = m.groupBy("session_id", "content").count().where("count > 1").select("session_id")
-    few = m.groupBy("session_id").count().where("count <= 3").select("session_id")
-    t = m.where("content is not null and content not like '[%'").where(F.col("content").rlike(r"[^ \t\r\n]")).join(repeated, "session_id", "left_anti").join(few, "session_id", "left_semi")
-    s = N.session_texts(t, "session_id", "content", "ord")
-    return s.join(t.groupBy("session_id").agg(F.count("*").alias("turns")), "session_id").select("session_id", "turns", F.length("text").alias("chars"))
-
-
-@query()
-def session_text_all(spark, d):
-    # session_text and its SQL are held to short sessions without repeats; these are all sessions
-    from lodestrata.sources import sessions as N
-
     t = table(spark, d, "session_messages").select("session_id", "ord", T.message_text("content").alias("content")).where(F.col("session_id").isNotNull() & T.filled("content"))
     s = N.session_texts(t, "session_id", "content", "ord")
     return s.join(t.groupBy("session_id").agg(F.count("*").alias("turns")), "session_id").select("session_id", "turns", F.length("text").alias("chars"))

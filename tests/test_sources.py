@@ -94,7 +94,7 @@ def test_texts_of_all_sessions(spark, tmp_path):
             turns[s] = turns.get(s, 0) + 1
             texts[s] = t if s not in texts else texts[s] if t in texts[s] else texts[s] + "\n" + t
     want = {(s, turns[s], len(texts[s])) for s in texts}
-    assert {tuple(r) for r in catalog.QUERIES["session_text_all"](spark, str(tmp_path)).collect()} == want
+    assert {tuple(r) for r in catalog.QUERIES["session_text"](spark, str(tmp_path)).collect()} == want
     # turns that add nothing don't use up the room for later ones
     df = spark.createDataFrame([r for r in said if r[0] == "long"], "s string, o bigint, t string")
     assert [tuple(r) for r in sessions.session_texts(df, "s", "t", "o", cut=40).collect()] == [("long", "the same turn once more\nand a new one")]
@@ -108,7 +108,7 @@ def test_excerpts_of_all_memories(spark, tmp_path):
     rows = [(i, "memory", "", t, None, "{}", k) for k, (i, t) in enumerate(texts.items())]
     spark.createDataFrame([*rows, ("n", "memory", "", None, None, "{}", 90), ("t", "turn", "", "cache", None, "{}", 91)], NODE).write.parquet(f"{tmp_path}/knowledge_nodes.parquet")
     spark.createDataFrame([], NODE).write.parquet(f"{tmp_path}/shared_nodes.parquet")
-    got = {r["id"]: r["excerpt"] for r in catalog.QUERIES["excerpt_all"](spark, str(tmp_path)).collect()}
+    got = {r["id"]: r["excerpt"] for r in catalog.QUERIES["excerpt"](spark, str(tmp_path)).collect()}
     assert set(got) == set(texts) and {i: got[i] for i in want} == want
 
 
