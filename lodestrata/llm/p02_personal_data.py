@@ -17,6 +17,7 @@ spans are replaced by the placeholder of the first kind in ``KINDS``.
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 import unicodedata
@@ -118,9 +119,9 @@ ADDRESS_AFTER = re.compile(r"\A(?:\.|;|\n|\"|,|\)|\Z)")
 _UPPER = "".join(c for c in map(chr, range(0x1F000)) if c.isupper() or c.istitle())
 _INNER = r"(?:[^\W\d_]|['’\u0300-\u036f])"
 _NAME_START, _NAME_END = r"(?<![\w@.+/\\\-\[#$])", r"(?![\w'’\u0300-\u036f@+/\\\[(]|\.\w|-\w)"
-NAME = re.compile(rf"{_NAME_START}[{_UPPER}]{_INNER}{{3,}}(?:-[{_UPPER}]{_INNER}{{2,}})*{_NAME_END}")
-#: Proposed only where a given name, a title or a cue stands beside them.
-SHORT_NAME = re.compile(rf"{_NAME_START}[{_UPPER}]{_INNER}{{1,2}}(?:-[{_UPPER}]{_INNER}+)*{_NAME_END}")
+NAME = re.compile(rf"{_NAME_START}[{_UPPER}]{_INNER}+(?:-[{_UPPER}]{_INNER}+)*{_NAME_END}")
+#: Words of fewer letters are proposed only where a given name, a title or a cue stands beside them.
+SHORT_NAME = 4
 SAID = re.compile(r"\bthis is (?:[\w'’\-]+ ){1,2}(?:van |von |de )?(?P<n>[\w'’\-]{4,}) speaking", re.I)
 _LOWER = re.compile(r"(?<![\w@.+/\-])[a-zà-öø-ÿß]{2,}(?![\w@+/]|-\w)")
 _PAIR = re.compile(r"(?P<n>[^\W\d_]{2,}) (?:and|und|y|et|&) \Z")
@@ -129,8 +130,11 @@ _PREV = re.compile(r"([\w'’.\-]+)(\W{0,3})\Z")
 _NEXT = re.compile(r"\A(\W{0,3})([\w'’\-]+)")
 
 
+@functools.lru_cache(maxsize=1 << 17)
 def fold(word: str) -> str:
     """Lower case without marks, umlauts as in addresses."""
+    if word.isascii():
+        return word.lower()
     word = word.lower().replace("ö", "oe").replace("ü", "ue").replace("ä", "ae").replace("ß", "ss")
     return "".join(c for c in unicodedata.normalize("NFKD", word) if not unicodedata.combining(c))
 
@@ -192,12 +196,10 @@ class Labelers:
             yield ("PHONE", m.start(), m.end(), "+" + ("+" if PHONE_CUES.search(text[max(0, m.start() - 24) : m.start()]) else "0") + "00", ["spoken"])
         local = " ".join(fold(text[a:b]) for a, b in mails)
         for m in NAME.finditer(text):
-            found = None if _within(m.start(), taken) else self.name(text, m.start(), m.end(), local)
-            if found:
-                yield found
-        for m in SHORT_NAME.finditer(text):
-            found = None if m.group().lower() in TITLES or _within(m.start(), taken) else self.name(text, m.start(), m.end(), local)
-            if found and "+" in found[3][:3]:
+            word = m.group()
+            short = len(word.partition("-")[0]) < SHORT_NAME
+            found = None if short and word.lower() in TITLES or _within(m.start(), taken) else self.name(text, m.start(), m.end(), local)
+            if found and (not short or "+" in found[3][:3]):
                 yield found
         if "speaking" in text:
             for m in SAID.finditer(text):
