@@ -21,6 +21,10 @@ from lodestrata.sources import checkout, code, files
 from lodestrata.sources.store import GraphStore
 
 
+#: Characters of a text that browsing shows (fixed value).
+HEAD = 700
+
+
 class Engine:
     """Call graphs by repository and one evidence graph, with ingestion, search and reports."""
 
@@ -175,7 +179,11 @@ class Engine:
         """Newest nodes of a type, with the head of their text and related nodes."""
         if node_type not in (None, "all", *G.BROWSED_TYPES):
             raise ValueError(f"unknown type {node_type}")
-        return G.browse(self.store.nodes(), node_type, limit)
+        nodes = self.store.nodes()
+        found = G.browse(nodes, node_type, limit).withColumn("_n", F.monotonically_increasing_id())
+        heads = nodes.select("id", F.substring("text", 1, HEAD).alias("excerpt"))
+        shown = G.with_related(found.join(heads, "id"), G.related(self.store.edges(), nodes, found), nodes)
+        return shown.orderBy("_n").drop("_n")
 
     def visualize(self, query: str) -> DataFrame:
         nodes, edges = self.store.nodes(), self.store.edges()

@@ -207,9 +207,6 @@ class Index:
         """``found`` (``id`` and the columns shown) with an ``excerpt`` of the text's first 6,000 characters and up to five
         ``related`` nodes, best first."""
         docs = self.read("docs")
-        near = G.related_any(edges, docs, found, related).withColumnRenamed("id", "of").join(docs.select(F.col("id").alias("other"), F.col("node_type").alias("t"), F.col("label").alias("l"), F.col("path").alias("p")), "other")
-        listed = near.groupBy(F.col("of").alias("id")).agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", F.struct(F.col("other").alias("id"), F.col("t").alias("node_type"), F.col("l").alias("label"), F.col("p").alias("path")).alias("n")))), lambda s: s["n"]).alias("related"))
         text = docs.select("id", L.excerpt(F.substring("text", 1, EXCERPT_OF), query).alias("excerpt"))
-        none = F.array().cast("array<struct<id:string,node_type:string,label:string,path:string>>")
-        shown = found.join(text, "id", "left").join(listed, "id", "left").withColumn("related", F.coalesce("related", none))
+        shown = G.with_related(found.join(text, "id", "left"), G.related_any(edges, docs, found, related), docs)
         return shown.orderBy(F.col("score").desc(), "id")

@@ -77,6 +77,16 @@ def related_any(edges: DataFrame, nodes: DataFrame, of: DataFrame, top: int = 5)
     return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("id", "rank", "other")
 
 
+RELATED = "array<struct<id:string,node_type:string,label:string,path:string>>"
+
+
+def with_related(found: DataFrame, near: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``found`` (``id``) with ``related``: the nodes of ``near`` (``id``, ``rank``, ``other``) in order, with what is shown of them."""
+    shown = nodes.select(F.col("id").alias("other"), F.struct("id", "node_type", "label", "path").alias("n"))
+    listed = near.join(shown, "other").groupBy("id").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "n"))), lambda s: s["n"]).alias("related"))
+    return found.join(listed, "id", "left").withColumn("related", F.coalesce("related", F.array().cast(RELATED)))
+
+
 def node_stats(nodes: DataFrame) -> DataFrame:
     return nodes.groupBy("node_type").agg(F.count("*").alias("n"))
 

@@ -48,9 +48,12 @@ w AS (SELECT src, term, min(pos) AS pos FROM v WHERE length(term) >= 3 GROUP BY
 tags AS (SELECT src, 'keyword:' || term AS dst FROM w QUALIFY row_number() OVER (PARTITION BY src ORDER BY pos) <= 24)"""
 
 
-_NODE = ["id", "node_type", "label", F.length("text").alias("chars"), F.sha2("text", 256).alias("digest"), "path", "metadata"]
+def _shown(nodes: DataFrame) -> DataFrame:
+    """What a node query shows of nodes but keywords (as ``_SHOWN``)."""
+    return nodes.where("node_type <> 'keyword'").select("id", "node_type", "label", F.length("text").alias("chars"), F.sha2("text", 256).alias("digest"), "path", "metadata")
+
+
 _SHOWN = "id, node_type, label, length(text) AS chars, sha256(text) AS digest, path, metadata"
-_TAGGED = F.col("edge_type") == "TAGGED"
 
 
 # ---- documents, prompts, memories, repositories ----------------------------------------------
@@ -62,13 +65,13 @@ nodes AS (SELECT {_sid('document')} AS id, 'document' AS node_type, regexp_extra
 @query(f"{_DOCUMENTS} SELECT {_SHOWN} FROM nodes")
 def ingest_documents(spark, d):
     nodes, _ = S.knowledge_nodes(_documents(spark, d, "document", "concat('/notes/', doc_id, '.txt')"))
-    return nodes.where("node_type <> 'keyword'").select(_NODE)
+    return _shown(nodes)
 
 
 @query(f"{_DOCUMENTS}, {_tags(Q.tokens('whole') + '[1:30]', 'nodes')} SELECT src, dst FROM tags")
 def ingest_document_tags(spark, d):
     _, edges = S.knowledge_nodes(_documents(spark, d, "document", "concat('/notes/', doc_id, '.txt')"))
-    return edges.where(_TAGGED).select("src", "dst")
+    return edges.where("edge_type = 'TAGGED'").select("src", "dst")
 
 
 _PROMPTS = f"""WITH files AS (SELECT '/prompts/' || doc_id || CASE doc_id % 5 WHEN 0 THEN '.md' WHEN 1 THEN '.TXT' WHEN 2 THEN '.json' WHEN 3 THEN '.jsonl' ELSE '.png' END AS path, text FROM documents WHERE kind = 'prompt' AND {_FILLED}),
@@ -82,7 +85,7 @@ def _prompts(spark, d):
 
 @query(f"{_PROMPTS} SELECT {_SHOWN} FROM nodes")
 def ingest_prompts(spark, d):
-    return _prompts(spark, d)[0].where("node_type <> 'keyword'").select(_NODE)
+    return _shown(_prompts(spark, d)[0])
 
 
 @query(f"{_PROMPTS}, {_tags(Q.tokens('whole') + '[1:20]', 'nodes')} SELECT src, dst FROM tags")
@@ -104,7 +107,7 @@ def _memories(spark, d):
 
 @query(f"{_MEMORIES} SELECT {_SHOWN} FROM nodes")
 def ingest_memories(spark, d):
-    return _memories(spark, d)[0].where("node_type <> 'keyword'").select(_NODE)
+    return _shown(_memories(spark, d)[0])
 
 
 @query(f"{_MEMORIES}, {_tags(Q.tokens('text') + '[1:24]', 'nodes')} SELECT DISTINCT src, dst FROM tags")
@@ -123,7 +126,7 @@ def _repository(spark, d):
 
 @query(f"{_REPOSITORY} SELECT {_SHOWN} FROM nodes UNION ALL SELECT {_sid('project', chr(39) + '/repo' + chr(39))}, 'project', 'repo', 5, sha256('/repo'), '/repo', '{{\"sourceURL\": \"https://host.example/repo\"}}'")
 def ingest_repository(spark, d):
-    return _repository(spark, d)[0].where("node_type <> 'keyword'").select(_NODE)
+    return _shown(_repository(spark, d)[0])
 
 
 @query(f"{_REPOSITORY}, {_tags(Q.tokens('whole') + '[1:30]', 'nodes')} SELECT src, dst, 'TAGGED' AS edge_type FROM tags UNION ALL SELECT {_sid('project', chr(39) + '/repo' + chr(39))}, id, 'CONTAINS' FROM nodes")
@@ -155,7 +158,7 @@ def _recordings(spark, d):
 
 @query(f"{_RECORDINGS} SELECT id, node_type, label, length(text) AS chars, sha256(text) AS digest, path FROM nodes")
 def ingest_recordings(spark, d):
-    return _recordings(spark, d)[0].where("node_type <> 'keyword'").select(_NODE).drop("metadata")
+    return _shown(_recordings(spark, d)[0]).drop("metadata")
 
 
 @query(

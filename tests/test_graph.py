@@ -131,7 +131,7 @@ def test_sequence_calls_of_the_whole_graph(spark, tmp_path):
     name = lambda k: f"mod_{k % 97}_fn_{k}"
     links = [(p, (7 * p + 3) % n + 1) for p in range(1, n + 1) if p % 4] + [(p, (13 * p + 1) % n + 1) for p in range(5, n + 1, 5)]
     want = {(name(a), name(b), f"fn_{b}") for a, b in links if a != b}
-    assert {tuple(r) for r in catalog.QUERIES["sequence_calls_all"](spark, str(tmp_path)).collect()} == want
+    assert {tuple(r) for r in catalog.QUERIES["sequence_calls"](spark, str(tmp_path)).collect()} == want
 
 
 def test_reachable_equals_search(spark):

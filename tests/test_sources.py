@@ -284,7 +284,9 @@ def test_engine(spark, tmp_path):
     # an edited file replaces what was read of it
     write(tmp_path, "MEMORY.md", "only this is left")
     e.ingest(sources=[str(tmp_path / "MEMORY.md")])
-    assert [r["label"] for r in e.browse("memory").collect()] == ["only this is left"]
+    shown = e.browse("memory").collect()
+    assert [(r["label"], r["excerpt"], r["related"]) for r in shown] == [("only this is left", "only this is left", [])]
+    assert {n["node_type"] for n in e.browse("function").first()["related"]} >= {"file"}
     e.remove_repository(str(tmp_path / "repo"))
     assert "function" not in {r["node_type"] for r in e.stats().collect()}
     with pytest.raises(ValueError):
