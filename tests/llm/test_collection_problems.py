@@ -124,7 +124,7 @@ def test_cells_are_parted_until_they_fit():
     router = P3.fit_router(x, share=2.0, most=500)
     sizes = np.bincount(router.home(x), minlength=router.leaves)
     assert sizes.sum() == 4000 and sizes.max() * 2 <= 500
-    assert P3.fit_router(x, share=0.1, most=500).leaves == 1
+    assert P3.fit_router(x, share=0.02, most=500).leaves == 1  # few enough as they are
     assert P3.fit_router(np.tile(x[:1], (3000, 1)), most=500).leaves == 1  # nothing tells them apart
 
 
