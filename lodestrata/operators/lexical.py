@@ -32,7 +32,8 @@ def postings(lists: DataFrame) -> DataFrame:
 
 def vocabulary(tokens: DataFrame) -> DataFrame:
     """``token``, ``signature`` (null for short words) of each distinct ``token``."""
-    return tokens.select("token").distinct().select("token", F.when(F.length("token") >= 5, T.phonetic_signature("token")).alias("signature"))
+    # as an aggregate it is worked out once a word: what is asked of it later isn't pushed below and doesn't repeat it
+    return tokens.groupBy("token").agg(F.max(F.when(F.length("token") >= 5, T.phonetic_signature("token"))).alias("signature"))
 
 
 def _variants(s: Column) -> Column:
@@ -55,7 +56,7 @@ def matches(words: DataFrame, terms: DataFrame) -> DataFrame:
     """
     one = terms.select("term").distinct()
     exact = one.join(words.select(F.col("token").alias("term")), "term", "left_semi").select("term", F.col("term").alias("token"), F.lit(True).alias("exact"))
-    long_terms = one.where(F.length("term") >= 5).select("term", T.phonetic_signature("term").alias("ts"))
+    long_terms = one.where(F.length("term") >= 5).groupBy("term").agg(F.max(T.phonetic_signature("term")).alias("ts"))
     left = long_terms.select("term", "ts", F.explode(_variants(F.col("ts"))).alias("v"))
     right = words.where("signature is not null").select("token", "signature", F.explode(_variants(F.col("signature"))).alias("v"))
     alike = left.join(right, "v").where((F.col("term") != F.col("token")) & T.within_one_edit(F.col("ts"), F.col("signature"))).select("term", "token").distinct()
