@@ -110,12 +110,12 @@ def quote_links(messages: DataFrame) -> DataFrame:
     return sure.unionByName(found.join(sure.select("u").distinct(), "u", "left_anti")).select("u", "v").distinct()
 
 
-def number_links(messages: DataFrame) -> DataFrame:
+def number_links(messages: DataFrame, within: tuple[str, ...] = ()) -> DataFrame:
     """``u``, ``v``: among rows that lack a session, the number before of the same source, nearest in time, is replied to;
-    a number delivered again belongs to the delivery before."""
+    a number delivered again belongs to the delivery before. Only rows equal in the columns ``within`` are linked."""
     at = F.coalesce(instant_of("msg_timestamp"), F.unix_micros(F.col("received_at").cast("timestamp"))).cast("double")
-    rows = messages.where("session_id is null and message_id is not null").select("ord", F.coalesce(at, F.lit(0.0)).alias("at"), "source", "message_id", F.sha2(F.coalesce("content", F.lit("")), 256).alias("c"))
-    name = lambda n: F.concat_ws("|", F.coalesce("source", F.lit("")), n.cast("string"))
+    rows = messages.where("session_id is null and message_id is not null").select("ord", F.coalesce(at, F.lit(0.0)).alias("at"), "source", "message_id", F.sha2(F.coalesce("content", F.lit("")), 256).alias("c"), *within)
+    name = lambda n: F.concat_ws("|", *(F.col(w).cast("string") for w in within), F.coalesce("source", F.lit("")), n.cast("string"))
     asks = rows.where("message_id > 1").select("ord", "at", name(F.col("message_id") - 1).alias("key"), F.lit(True).alias("asks"))
     heard = rows.select("ord", "at", name(F.col("message_id")).alias("key"), F.lit(False).alias("asks"))
     replies = nearest_earlier(asks.unionByName(heard)).select("u", "v")
@@ -124,40 +124,65 @@ def number_links(messages: DataFrame) -> DataFrame:
     return replies.unionByName(repeated.select("u", "v"))
 
 
+def said_links(messages: DataFrame) -> DataFrame:
+    """``u``, ``v``: rows and the rows they quote or reply to."""
+    links = quote_links(messages)
+    if "reply_to" in messages.columns:
+        links = links.unionByName(messages.where("reply_to is not null").select(F.col("ord").alias("u"), F.col("reply_to").cast("bigint").alias("v")))
+    return links
+
+
+def named(lacking: DataFrame, parts: DataFrame, known: DataFrame) -> DataFrame:
+    """``ord``, ``_found``: rows and the smallest session that ``known`` has in their component, else an id of its own."""
+    known = parts.join(known, "node").groupBy("component").agg(F.min("session_id").alias("_known"))
+    return lacking.join(parts.withColumnRenamed("node", "ord"), "ord", "left").join(known, "component", "left").select(
+        "ord", F.coalesce("_known", F.concat(F.lit("conversation-"), F.coalesce("component", "ord").cast("string"))).alias("_found")
+    )
+
+
 def assign_conversations(messages: DataFrame, numbered: bool = False) -> DataFrame:
     """``messages`` with every row's ``session_id`` filled in; ``numbered`` takes message numbers as replies too."""
     if not messages.where(F.col("session_id").isNull()).take(1):
         return messages
-    links = quote_links(messages)
-    if "reply_to" in messages.columns:
-        links = links.unionByName(messages.where("reply_to is not null").select(F.col("ord").alias("u"), F.col("reply_to").cast("bigint").alias("v")))
+    links = said_links(messages)
     if numbered:
         links = links.unionByName(number_links(messages))
     lacking = messages.where(F.col("session_id").isNull()).select("ord")
     touched = links.join(lacking.select(F.col("ord").alias("u")), "u", "left_semi").unionByName(links.join(lacking.select(F.col("ord").alias("v")), "v", "left_semi").select("u", "v"))
-    parts = connected_components(touched)
-    known = parts.join(messages.where(F.col("session_id").isNotNull()).select(F.col("ord").alias("node"), "session_id"), "node").groupBy("component").agg(F.min("session_id").alias("_known"))
-    found = lacking.join(parts.withColumnRenamed("node", "ord"), "ord", "left").join(known, "component", "left").select(
-        "ord", F.coalesce("_known", F.concat(F.lit("conversation-"), F.coalesce("component", "ord").cast("string"))).alias("_found")
-    )
+    found = named(lacking, connected_components(touched), messages.where(F.col("session_id").isNotNull()).select(F.col("ord").alias("node"), "session_id"))
     return messages.join(found, "ord", "left").withColumn("session_id", F.coalesce("session_id", "_found")).drop("_found")
 
 
 def relinked(messages: DataFrame, every: int = 10) -> DataFrame:
     """How well conversations are found again: one row with ``sessions``, ``rows``, ``precision`` and ``recall`` of pairs of rows.
 
-    The ids of the sessions whose hash is divisible by ``every`` and whose rows
-    are numbered are hidden; all other rows stay as they are.
+    Sessions fall into ``every`` parts by their hash. The ids of each part are hidden in turn while all other rows stay
+    as they are, so every session is looked for once. Pairs of rows of which at least one is hidden count, those with
+    a row that kept its id too. All parts go in one pass: a node is a part and a row.
     """
-    hidden = messages.groupBy("session_id").agg(F.count("message_id").alias("n")).where((F.col("n") > 0) & (F.pmod(F.xxhash64("session_id"), F.lit(every)) == 0)).select("session_id", F.lit(True).alias("_hidden"))
-    told = messages.join(hidden, "session_id", "left")
-    rows = told.withColumn("session_id", F.when(F.col("_hidden").isNull(), F.col("session_id"))).drop("_hidden")
-    true = told.where("_hidden").select("ord", F.col("session_id").alias("_true"))
-    both = staged(assign_conversations(rows, numbered=True).select("ord", "session_id").join(true, "ord"), "relinked")
-    ways = {"hit": ["_true", "session_id"], "found": ["session_id"], "true": ["_true"]}
+    part = F.pmod(F.xxhash64("session_id"), F.lit(every))
+    # a row that has no session lacks it in every part
+    parts = F.when(F.col("session_id").isNull(), F.sequence(F.lit(0), F.lit(every - 1)).cast("array<bigint>")).otherwise(F.array(part))
+    lacking = messages.withColumn("part", F.explode(parts)).withColumn("_true", F.col("session_id")).withColumn("session_id", F.lit(None).cast("string"))
+    links = said_links(messages)
+    node = lambda end: F.struct("part", F.col(end).alias("ord"))
+    touched = number_links(lacking.withColumn("ord", node("ord")), ("part",))
+    for end in ("u", "v"):
+        touched = touched.unionByName(links.join(lacking.select(F.col("ord").alias(end), "part"), end).select(node("u").alias("u"), node("v").alias("v")))
+    components = connected_components(touched)
+    own = messages.where("session_id is not null").select(F.col("ord").alias("_row"), "session_id", part.alias("_own"))
+    known = components.join(own, (F.col("node.ord") == F.col("_row")) & (F.col("node.part") != F.col("_own"))).select("node", "session_id")
+    true = lacking.where("_true is not null").select(node("ord").alias("ord"), "_true")
+    # rows that a session keeps while another part is hidden
+    kept = messages.where("session_id is not null").groupBy(F.col("session_id").alias("_found")).agg(F.count("*").alias("kept"))
+    both = staged(named(true.select("ord"), components, known).join(true, "ord").select("ord.part", "_true", "_found"), "relinked")
+    ways = {"hit": ["_true", "_found"], "found": ["part", "_found"], "true": ["_true"]}
     counted = None
     for name, by in ways.items():
-        one = both.groupBy(*by).agg(F.count("*").alias("n")).agg(F.coalesce(F.sum(F.col("n") * (F.col("n") - 1) / 2), F.lit(0.0)).alias("pairs"), F.count("*").alias("groups"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows")).withColumn("way", F.lit(name))
+        groups = both.groupBy(*by).agg(F.count("*").alias("n"))
+        groups = groups.join(kept, "_found", "left") if name == "found" else groups.withColumn("kept", F.lit(0))
+        pairs = F.col("n") * (F.col("n") - 1) / 2 + F.col("n") * F.coalesce("kept", F.lit(0))
+        one = groups.agg(F.coalesce(F.sum(pairs), F.lit(0.0)).alias("pairs"), F.count("*").alias("groups"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows")).withColumn("way", F.lit(name))
         counted = one if counted is None else counted.unionByName(one)
     value = lambda column, way: F.max(F.when(F.col("way") == way, F.col(column)))
     share = lambda whole: F.round(F.when(value("pairs", whole) > 0, value("pairs", "hit") / value("pairs", whole)).otherwise(F.lit(1.0)), 4)

@@ -339,6 +339,32 @@ def test_sessions_are_found_again(spark):
     assert P6.relinked(talk(spark, rows).limit(0)).first()["rows"] == 0
 
 
+def test_every_session_is_hidden_once(spark):
+    at = lambda n: f"2026-01-01T{n // 3600:02d}:{n // 60 % 60:02d}:{n % 60:02d}Z"
+    line = "this is what was said first in talk {}".format
+    rows = [(f"s{k}", m, "user" if m % 2 else "assistant", f"turn {k} {m}", at(k * 600 + m * 60), None) for k in range(9) for m in range(1, 4)]
+    for k in range(6):  # without numbers; the last row of each quotes the talk before, which it isn't part of
+        rows += [(f"p{k}", None, "user", line(k), at(20000 + k * 600), None), (f"p{k}", None, "assistant", f"> {line(k)}\nso it is", at(20060 + k * 600), None)]
+        rows += [(f"p{k}", None, "user", f"> {line(k - 1)}\nwhat of that", at(20120 + k * 600), None)]
+    rows += [(None, None, "assistant", f"> {line(2)}\nno session", at(30000), None), (None, 2, "assistant", "late", at(30060), None)]
+    df = talk(spark, rows)
+    part = F.pmod(F.xxhash64("session_id"), F.lit(3))
+    where = {r["ord"]: (r["session_id"], r["p"]) for r in df.where("session_id is not null").select("ord", "session_id", part.alias("p")).collect()}
+    found = true = hit = wrong_kept = 0
+    for p in range(3):
+        hidden = df.withColumn("session_id", F.when(part != p, F.col("session_id")))
+        got = {r["ord"]: r["session_id"] for r in P6.assign_conversations(hidden, numbered=True).collect()}
+        for a, b in itertools.combinations(where, 2):
+            if p in (where[a][1], where[b][1]):
+                found += got[a] == got[b]
+                true += where[a][0] == where[b][0]
+                hit += got[a] == got[b] and where[a][0] == where[b][0]
+                wrong_kept += got[a] == got[b] and where[a][1] != where[b][1]
+    out = P6.relinked(df, every=3).first()
+    assert (out["sessions"], out["rows"]) == (15, 45) and wrong_kept > 0
+    assert (out["precision"], out["recall"]) == (round(hit / found, 4), round(hit / true, 4)) and hit < min(found, true)
+
+
 def test_unsettled_components_raise(spark):
     path = spark.createDataFrame([(i, i + 1) for i in range(400)], "u int, v int")
     with pytest.raises(RuntimeError):
