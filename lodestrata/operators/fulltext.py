@@ -9,14 +9,18 @@ from __future__ import annotations
 
 import re
 import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.functions import text as T
 from lodestrata.operators import graphstore as G
 from lodestrata.operators import lexical as L
+from lodestrata.session import staged
 
 K1, B = 1.2, 0.75
 #: Factors by node type; any other type has 1 (fixed values).
@@ -27,6 +31,8 @@ TYPE_BOOST = {
 FIELDS = ("label", "text", "path")
 #: Characters of a text that an excerpt is taken from (fixed value).
 EXCERPT_OF = 6000
+#: Postings of trigrams that a task holds before it hands them on.
+POSTINGS = 1 << 22
 
 
 def occurrences(text: Column, term: str) -> Column:
@@ -104,23 +110,54 @@ def search(docs: DataFrame, query: str, limit: int = 20, types: list[str] | None
     return best.orderBy(F.col("score").desc(), F.col("rank").desc(), "ord").select("id", "node_type", "label", "path", "score")
 
 
-def trigrams(c: Column) -> Column:
-    """The distinct trigrams of a text, case folded; in time that grows with its length."""
-    letters = F.split(F.lower(F.coalesce(c, F.lit(""))), "")
-    # a text of n characters gives n - 2; the array is built once and read by position
-    return F.array_distinct(F.transform(F.filter(F.arrays_zip(letters.alias("a"), F.slice(letters, F.lit(2), F.greatest(F.size(letters) - 1, F.lit(0))).alias("b"), F.slice(letters, F.lit(3), F.greatest(F.size(letters) - 2, F.lit(0))).alias("c")), lambda z: z["c"].isNotNull()), lambda z: F.concat(z["a"], z["b"], z["c"])))
+def gram_postings(docs: DataFrame) -> DataFrame:
+    """``gram``, ``held``: the numbers (``no``) of the rows of ``docs`` that hold a trigram, case folded, in one of their fields.
+
+    A trigram has a row for every ``POSTINGS`` postings of a task, so no more than these are held at once. No shuffle.
+    """
+    bits, low = 21, (1 << 21) - 1
+
+    def flush(codes: list[np.ndarray], numbers: list[int]) -> pa.RecordBatch:
+        code, no = np.concatenate(codes), np.repeat(np.array(numbers, "int64"), [len(c) for c in codes])
+        order = np.argsort(code, kind="stable")
+        code, no = code[order], no[order]
+        starts = np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1])))
+        each = code[starts]
+        letters = np.stack([each >> 2 * bits, each >> bits & low, each & low], 1).astype("<u4").tobytes().decode("utf-32-le")
+        grams = pa.array([letters[i : i + 3] for i in range(0, len(letters), 3)], pa.string())
+        return pa.RecordBatch.from_arrays([grams, pa.ListArray.from_arrays(pa.array(np.append(starts, len(code)), pa.int32()), pa.array(no))], names=["gram", "held"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes, numbers, size = [], [], 0
+        for batch in batches:
+            for no, *texts in zip(*(c.to_pylist() for c in batch.columns)):
+                letters = [np.frombuffer(t.encode("utf-32-le"), "<u4").astype("int64") for t in texts]
+                own = np.unique(np.concatenate([x[:-2] << 2 * bits | x[1:-1] << bits | x[2:] for x in letters]))
+                if len(own):
+                    codes.append(own)
+                    numbers.append(no)
+                    size += len(own)
+                if size >= POSTINGS:
+                    yield flush(codes, numbers)
+                    codes, numbers, size = [], [], 0
+        if codes:
+            yield flush(codes, numbers)
+
+    return docs.select("no", *(F.lower(F.coalesce(F.col(f), F.lit(""))).alias(f) for f in FIELDS)).mapInArrow(run, "gram string, held array<bigint>")
 
 
 class Index:
     """A written index: documents, trigram and token postings, the vocabulary, and a fingerprint of its source.
 
-    Postings are written sorted, so row-group statistics prune the read to what a
-    term needs. Candidates of a term hold all its trigrams; they are verified by
+    Each task writes the postings of its documents, sorted, so the statistics of
+    pages prune the read to what a term needs, and nothing is shuffled. Candidates of a term hold all its trigrams; they are verified by
     the search itself. Each rebuild is a new version beside the one that is read,
     complete once its marker exists: a failed one changes nothing.
     """
 
     PARTS = ("docs", "grams", "tokens", "words", "meta")
+    #: Ending of the marker of a complete version; versions of another layout aren't read.
+    DONE = ".done2"
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path.rstrip("/")
@@ -134,7 +171,7 @@ class Index:
         """Complete versions, oldest first."""
         if not self._fs.exists(self._p()):
             return []
-        return sorted(n.removesuffix(".done") for n in (s.getPath().getName() for s in self._fs.listStatus(self._p())) if n.endswith(".done"))
+        return sorted(n.removesuffix(self.DONE) for n in (s.getPath().getName() for s in self._fs.listStatus(self._p())) if n.endswith(self.DONE))
 
     def read(self, part: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/{self.versions()[-1]}/{part}")
@@ -159,16 +196,16 @@ class Index:
         done = self.versions()
         name = f"v{(int(done[-1][1:9]) + 1 if done else 0):08d}-{uuid.uuid4().hex[:8]}"
         at = f"{self.path}/{name}"
-        indexed(nodes).write.parquet(f"{at}/docs")
+        indexed(nodes).withColumn("no", F.monotonically_increasing_id()).write.parquet(f"{at}/docs")
         docs = self.spark.read.parquet(f"{at}/docs")
-        grams = docs.select("id", F.explode(F.array_distinct(F.concat(*(trigrams(F.col(f)) for f in FIELDS)))).alias("gram"))
-        grams.repartitionByRange("gram").sortWithinPartitions("gram").write.parquet(f"{at}/grams")
-        L.postings(L.token_lists(docs)).repartitionByRange("token").sortWithinPartitions("token").write.parquet(f"{at}/tokens")
+        # the second version of the format writes numbers as differences
+        gram_postings(docs).sortWithinPartitions("gram").write.options(**{"compression": "zstd", "parquet.writer.version": "v2", "parquet.enable.dictionary": "false"}).parquet(f"{at}/grams")
+        L.postings(L.token_lists(docs)).sortWithinPartitions("token").write.parquet(f"{at}/tokens")
         L.vocabulary(self.spark.read.parquet(f"{at}/tokens")).write.parquet(f"{at}/words")
         docs.agg(F.lit(fingerprint).alias("fingerprint"), F.count("*").alias("rows"), F.coalesce(F.avg("trigrams"), F.lit(0.0)).alias("mean")).coalesce(1).write.parquet(f"{at}/meta")
-        self._fs.create(self._p(name + ".done"), True).close()
+        self._fs.create(self._p(name + self.DONE), True).close()
         for old in done[:-1]:
-            self._fs.delete(self._p(old + ".done"), False)
+            self._fs.delete(self._p(old + self.DONE), False)
             self._fs.delete(self._p(old), True)
         return True
 
@@ -177,7 +214,7 @@ class Index:
         found = None
         for t in terms:
             parts = sorted({t[i : i + 3] for i in range(len(t) - 2)})
-            held = grams.where(F.col("gram").isin(parts)).groupBy("id").agg(F.count("*").alias("n")).where(F.col("n") == len(parts)).select("id")
+            held = grams.where(F.col("gram").isin(parts)).select(F.explode("held").alias("no")).groupBy("no").agg(F.count("*").alias("n")).where(F.col("n") == len(parts)).select("no")
             found = held if found is None else found.unionByName(held)
         return found.distinct()
 
@@ -187,7 +224,7 @@ class Index:
         terms = [t for t in T.query_terms(query) if len(t) >= 3]
         if not terms:
             return search(docs, query, limit, types)
-        near = docs.join(self.candidates(terms), "id", "left_semi")
+        near = docs.join(self.candidates(terms), "no", "left_semi")
         meta = self.meta()
         return search(near, query, limit, types, stats=CorpusStats(meta["rows"], meta["mean"], holding(near, terms)))
 
@@ -199,7 +236,7 @@ class Index:
     def search_many(self, questions: DataFrame, limit: int = 5, types: list[str] | None = None) -> DataFrame:
         """As ``lexical.search_many``, without tokenising anything but the questions."""
         docs = self.read("docs")
-        terms = L.exploded(questions, T.tokens("question"), "term", "query_id")
+        terms = staged(L.exploded(questions, T.tokens("question"), "term", "query_id"), "terms")
         scores = L.scored(self.read("tokens"), L.matches(self.read("words"), terms), terms)
         return L.ranked(scores, docs.where(F.col("node_type").isin(types)) if types else docs, limit)
 

@@ -10,6 +10,8 @@ from lodestrata.session import staged
 
 #: Points of a term: exact in the label, exact in the text, alike in the label, alike in the text (fixed values).
 POINTS = (5, 2, 3, 1)
+#: Distinct terms that are sent to where the vocabulary lies; more of them meet it in a shuffle.
+FEW_TERMS = 20_000
 
 
 def _types(nodes: DataFrame, types: list[str] | None) -> DataFrame:
@@ -53,19 +55,23 @@ def matches(words: DataFrame, terms: DataFrame) -> DataFrame:
 
     Terms meet the vocabulary, not the nodes: equal tokens by an equi-join, those
     that sound alike by an equi-join on signatures with one character left out, verified after it.
+    The vocabulary grows with the nodes and has some ten variants a word, so it is never broadcast.
     """
     one = terms.select("term").distinct()
-    exact = one.join(words.select(F.col("token").alias("term")), "term", "left_semi").select("term", F.col("term").alias("token"), F.lit(True).alias("exact"))
+    few = one.limit(FEW_TERMS + 1).count() <= FEW_TERMS
+    meet = lambda far, near, on: far.join(F.broadcast(near), on) if few else far.hint("merge").join(near, on)
+    exact = meet(words.select("token"), one.withColumnRenamed("term", "token"), "token").select(F.col("token").alias("term"), "token", F.lit(True).alias("exact"))
     long_terms = one.where(F.length("term") >= 5).groupBy("term").agg(F.max(T.phonetic_signature("term")).alias("ts"))
     left = long_terms.select("term", "ts", F.explode(_variants(F.col("ts"))).alias("v"))
     right = words.where("signature is not null").select("token", "signature", F.explode(_variants(F.col("signature"))).alias("v"))
-    alike = left.join(right, "v").where((F.col("term") != F.col("token")) & T.within_one_edit(F.col("ts"), F.col("signature"))).select("term", "token").distinct()
+    alike = meet(right, left, "v").where((F.col("term") != F.col("token")) & T.within_one_edit(F.col("ts"), F.col("signature"))).select("term", "token").distinct()
     return exact.unionByName(alike.withColumn("exact", F.lit(False)))
 
 
 def scored(index: DataFrame, found: DataFrame, terms: DataFrame) -> DataFrame:
     """``query_id, id, score`` from postings, ``matches`` and ``terms`` (``query_id``, ``term``); each term counts once per field."""
-    hits = terms.join(found, "term").join(index, "token")
+    # written first, as the planner takes the product of both sizes for a join, and would shuffle the postings
+    hits = staged(terms.join(found, "term"), "wanted").join(index, "token")
     flag = lambda exact, field: F.max(F.col("exact") & F.col(field)) if exact else F.max(~F.col("exact") & F.col(field))
     per_term = hits.groupBy("query_id", "id", "term").agg(flag(True, "in_label").alias("le"), flag(True, "in_body").alias("be"), flag(False, "in_label").alias("la"), flag(False, "in_body").alias("ba"))
     points = F.when(F.col("le"), POINTS[0]).when(F.col("la"), POINTS[2]).otherwise(0) + F.when(F.col("be"), POINTS[1]).when(F.col("ba"), POINTS[3]).otherwise(0)
@@ -89,8 +95,7 @@ def search_many(nodes: DataFrame, questions: DataFrame, limit: int = 5, types: l
     lists = staged(token_lists(kept), "tokens")
     terms = staged(exploded(questions, T.tokens("question"), "term", "query_id"), "terms")
     tokens = lists.select(F.explode(F.array_union("label_tokens", "body_tokens")).alias("token"))
-    found = staged(matches(vocabulary(tokens), terms), "matches")
-    return ranked(scored(postings(lists), found, terms), kept, limit)
+    return ranked(scored(postings(lists), matches(vocabulary(tokens), terms), terms), kept, limit)
 
 
 def search(nodes: DataFrame, query: str, limit: int = 20, types: list[str] | None = None) -> DataFrame:

@@ -98,6 +98,37 @@ def test_index_finds_what_a_scan_finds(graph, spark, tmp_path):
     assert ix.search("MuSig2 wallet").first()["id"] == "m"
 
 
+def test_no_vocabulary_is_broadcast(spark, tmp_path):
+    rows = [(f"n{i}", "memory", f"word{i} resolver", f"kilo{i} partition", None, "{}", i) for i in range(300)]
+    ix = X.Index(spark, f"file://{tmp_path}/ix")
+    ix.rebuild(spark.createDataFrame(rows, NODE), "1")
+    found = ix.search_lexical("resolvr partiton", 3)
+    assert [(r["id"], r["score"]) for r in found.collect()] == [("n0", 4), ("n1", 4), ("n10", 4)]
+    # the planner doesn't know the size of rows from Python and would take the vocabulary for the smaller side
+    plan = L.matches(ix.read("words"), spark.createDataFrame([("resolvr",)], "term string"))._jdf.queryExecution().sparkPlan()
+    joins, rest = [], [plan]
+    while rest:
+        node = rest.pop()
+        rest += [node.children().apply(i) for i in range(node.children().size())]
+        if node.nodeName() == "BroadcastHashJoin":
+            joins.append(node.right() if node.buildSide().toString() == "BuildRight" else node.left())
+    assert len(joins) == 2 and not any("parquet" in j.toString() for j in joins)
+
+
+def test_trigrams_of_any_letters_in_several_portions(spark, tmp_path, monkeypatch):
+    texts = ["Ab\nÄÖÜ größe", "𐐀𐐁𐐂 İstanbul", "ab", "", None, "aaaa größen", "𐐨𐐩𐐪 aaa"]
+    rows = [(f"n{i}", "memory", "x", t, None, "{}", i) for i, t in enumerate(texts)]
+    docs = X.indexed(spark.createDataFrame(rows, NODE)).withColumn("no", F.col("ord"))
+    monkeypatch.setattr(X, "POSTINGS", 5)
+    got = {(r["gram"], n) for r in X.gram_postings(docs).collect() for n in r["held"]}
+    folded = {i: t or "" for i, t in docs.select("no", F.lower("text")).collect()}
+    assert got == {(t[i : i + 3], n) for n, t in folded.items() for i in range(len(t) - 2)}
+    ix = X.Index(spark, f"file://{tmp_path}/ix")
+    ix.rebuild(spark.createDataFrame(rows, NODE).repartition(3), "1")
+    for q in ("größe", "𐐀𐐁𐐂", "aaa", "äöü ab"):
+        assert [tuple(r) for r in ix.search(q).collect()] == [tuple(r) for r in X.search(docs, q).collect()] and ix.search(q).count()
+
+
 @pytest.fixture(scope="module")
 def functions(spark):
     rows = [("m.main", ["m.greet"]), ("m.helper", ["m.greet"]), ("m.greet", ["m.fmt", "m.greet", "print"]), ("m.fmt", ["_hidden", "m.back"]), ("m.back", ["m.greet"]), ("m._hidden", ["m.main"]), ("n.A.greet", [])]
