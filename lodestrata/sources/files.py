@@ -132,15 +132,10 @@ def fingerprint(files: DataFrame) -> str:
     return f"{r[0]}:{r[1]}"
 
 
-def _place() -> Column:
-    """The position of a file among those read with it, with room for what it holds."""
-    return F.col("file_no") * (sessions.RECORDS * sessions.TURNS)
-
-
 def _node(files: DataFrame, kind: str, cut: int, label: Column | None = None, metadata: Column | None = None) -> DataFrame:
     return files.select(
         F.concat(F.lit(kind + ":"), T.stable_id("path")).alias("id"), F.lit(kind).alias("node_type"), (T.base_name("path") if label is None else label).alias("label"),
-        F.substring("text", 1, cut).alias("text"), "path", (F.lit("{}") if metadata is None else metadata).alias("metadata"), _place().alias("ord"),
+        F.substring("text", 1, cut).alias("text"), "path", (F.lit("{}") if metadata is None else metadata).alias("metadata"), sessions.place().alias("ord"),
     )
 
 
@@ -151,7 +146,7 @@ def _tagged(nodes: DataFrame, whole: DataFrame, terms: int) -> tuple[DataFrame,
 
 
 def _whole(files: DataFrame, kind: str) -> DataFrame:
-    return files.select(F.concat(F.lit(kind + ":"), T.stable_id("path")).alias("id"), "text", _place().alias("ord"))
+    return files.select(F.concat(F.lit(kind + ":"), T.stable_id("path")).alias("id"), "text", sessions.place().alias("ord"))
 
 
 def _edges(df: DataFrame, src: Column, dst: Column, kind: str) -> DataFrame:
@@ -196,7 +191,7 @@ def memory_entries(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     about = F.to_json(F.struct("target", F.lit("hermes").alias("source"), F.lit("curated-memory").alias("kind"), F.col("pos").alias("index")))
     nodes = files.select("path", "file_no", target.alias("target"), F.posexplode(parts).alias("pos", "entry")).select(
         F.concat(F.lit("memory:"), T.stable_id(F.concat_ws(":", "path", F.col("pos").cast("string"), "entry"))).alias("id"), F.lit("memory").alias("node_type"), T.first_line("entry").alias("label"),
-        F.col("entry").alias("text"), "path", about.alias("metadata"), (_place() + F.col("pos")).alias("ord"),
+        F.col("entry").alias("text"), "path", about.alias("metadata"), sessions.place(turn=F.col("pos")).alias("ord"),
     )
     return _tagged(nodes, nodes.select("id", "text", "ord"), MEMORY_TERMS)
 
@@ -249,7 +244,7 @@ def recording_nodes(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     said_in = lambda n, default: F.coalesce(F.try_variant_get(v, "$." + n, "string"), F.lit(default))
     meta = files.where((T.extension("path") == ".json") & (T.base_name("path") != "graph.json")).select("path", "file_no", "text", F.try_parse_json("text").alias("v"))
     meta = meta.where(F.schema_of_variant("v").startswith("OBJECT") & (T.variant_kind(T.variant_at(v, "sessionID")) == "STRING")).select(
-        "text", _place().alias("ord"), T.directory("path").alias("dir"), F.try_variant_get(v, "$.sessionID", "string").alias("sid"), F.try_variant_get(v, "$.status", "string").alias("status"),
+        "text", sessions.place().alias("ord"), T.directory("path").alias("dir"), F.try_variant_get(v, "$.sessionID", "string").alias("sid"), F.try_variant_get(v, "$.status", "string").alias("status"),
         said_in("transcriptFilename", "transcript.txt").alias("file"), said_in("audioFilename", "audio.wav").alias("audio"), F.try_variant_get(v, "$.headline", "string").alias("headline"),
         F.try_variant_get(v, "$.summary", "string").alias("summary"), F.when(T.variant_kind(T.variant_at(v, "keywords")).startswith("ARRAY"), F.try_variant_get(v, "$.keywords", "array<string>")).alias("keywords"),
     ).where("status = 'completed'")
@@ -258,9 +253,9 @@ def recording_nodes(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     rec, tra = F.concat(F.lit("recording:"), "sid"), F.concat(F.lit("transcript:"), "sid")
     about = F.to_json(F.struct(F.col("sid").alias("sessionID"), F.lit("archive").alias("source")))
     recordings = both.select(rec.alias("id"), F.lit("recording").alias("node_type"), "label", F.coalesce("summary", "said").alias("text"), F.concat("dir", F.lit("/"), "audio").alias("path"), F.col("text").alias("metadata"), "ord")
-    transcripts = both.select(tra.alias("id"), F.lit("transcript").alias("node_type"), F.concat("label", F.lit(" transcript")).alias("label"), F.col("said").alias("text"), F.col("said_path").alias("path"), about.alias("metadata"), (F.col("ord") + 1).alias("ord"))
+    transcripts = both.select(tra.alias("id"), F.lit("transcript").alias("node_type"), F.concat("label", F.lit(" transcript")).alias("label"), F.col("said").alias("text"), F.col("said_path").alias("path"), about.alias("metadata"), (F.col("ord") + 1).cast(sessions.PLACE).alias("ord"))
     terms = F.coalesce("keywords", F.slice(T.tokens("said"), 1, RECORDING_TERMS))
-    tagged = both.select(rec.alias("id"), "ord", terms.alias("terms")).unionByName(both.select(tra.alias("id"), (F.col("ord") + 1).alias("ord"), terms.alias("terms")))
+    tagged = both.select(rec.alias("id"), "ord", terms.alias("terms")).unionByName(both.select(tra.alias("id"), (F.col("ord") + 1).cast(sessions.PLACE).alias("ord"), terms.alias("terms")))
     keywords, edges = G.tag_keywords(tagged, F.col("terms"))
     return recordings.unionByName(transcripts).unionByName(keywords), _edges(both, rec, tra, "HAS_TRANSCRIPT").unionByName(edges)
 

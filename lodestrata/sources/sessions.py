@@ -70,12 +70,16 @@ def parse_records(files: DataFrame) -> DataFrame:
     return lines.join(bad, "path", "left_anti").unionByName(single)
 
 
-#: Where a turn or session stands: file, record, turn (so many of each fit into a place).
-RECORDS, TURNS = 1 << 20, 1 << 20
+#: Where a turn or session stands: file, record, turn. Any number of a file has room for so many of each, as many as an array has.
+RECORDS, TURNS = 1 << 31, 1 << 31
+PLACE = "decimal(38,0)"
 
 
-def _place(record: Column | str = "record_no", turn: Column | int = 0) -> Column:
-    return (F.col("file_no") * RECORDS + T.col(record)) * TURNS + (F.lit(turn) if isinstance(turn, int) else turn)
+def place(record: Column | str | None = None, turn: Column | int = 0) -> Column:
+    """The position of a turn, record or file; too large for a bigint, whose place it takes until a store numbers what it merges."""
+    at = F.col("file_no").cast(PLACE) * RECORDS
+    at = at if record is None else at + T.col(record)
+    return (at * TURNS + (F.lit(turn) if isinstance(turn, int) else turn)).cast(PLACE)
 
 
 def session_records(records: DataFrame) -> DataFrame:
@@ -136,8 +140,8 @@ def session_graph(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Session and turn nodes of records; HAS_TURN and keyword edges, and NEXT edges within the messages of one record."""
     sid = F.concat(F.lit("session:"), T.stable_id(F.concat_ws(":", "path", "session_id")))
     tid = F.concat(F.lit("turn:"), T.stable_id(F.concat_ws(":", "path", "session_id", "message_id", "role")))
-    heads = session_records(records).withColumn("sid", sid).withColumn("ord", _place())
-    t = session_turns(records).withColumn("sid", sid).withColumn("tid", tid).withColumn("ord", _place("record_no", F.col("turn_no") + 1))
+    heads = session_records(records).withColumn("sid", sid).withColumn("ord", place("record_no"))
+    t = session_turns(records).withColumn("sid", sid).withColumn("tid", tid).withColumn("ord", place("record_no", F.col("turn_no") + 1))
     null = F.lit(None).cast("string")
     meta = F.to_json(F.struct(F.col("session_id").alias("sessionID"), "role", F.col("turn_index").alias("index"), F.col("message_id").alias("messageID"), "timestamp", F.col("tool").alias("toolName"), F.lit("agent-turn").alias("kind")))
     turns = t.select(F.col("tid").alias("id"), F.lit("turn").alias("node_type"), F.concat("role", F.lit(" "), (F.col("turn_index") + 1).cast("string")).alias("label"), F.substring("text", 1, TURN_CUT).alias("text"), "path", meta.alias("metadata"), "ord")

@@ -345,3 +345,21 @@ def test_managed_repositories(spark, tmp_path):
 def test_command_line(tmp_path):
     takes = lambda *words: vars(cli.parser().parse_args(["--path", str(tmp_path), *words]))
     assert takes("ingest-file", "a.md", "note", "Label")["label"] == "Label" and takes("browse")["type"] is None and takes("ingest", "a", "b")["prompts"] == ["a", "b"]
+
+
+def test_positions_of_files_with_any_number(spark):
+    said = lambda n: json.dumps({"id": f"s{n}", "messages": [{"role": "user", "content": f"a{n}"}, {"role": "assistant", "content": f"b{n}"}]})
+    numbers = [(1 << 63) - 1, 8 << 20, 3, -5]
+    rows = [(f"/e/{n}.jsonl", n, said(n)) for n in numbers] + [(f"/e/{n}.txt", n - 1, "note") for n in numbers[:3]] + [("/m/MEMORY.md", 1 << 62, "one\n§\ntwo")]
+    nodes, edges = files.knowledge_nodes(spark.createDataFrame(rows, "path string, file_no bigint, text string"))
+    in_order = [r["text"] for r in nodes.where("node_type <> 'keyword'").orderBy("ord", "id").collect()]
+    want = [x for n in (-5, 2, 3, (8 << 20) - 1, 8 << 20, 1 << 62, (1 << 63) - 2, (1 << 63) - 1) for x in (["one", "two"] if n == 1 << 62 else [f"a{n}\nb{n}", f"a{n}", f"b{n}"] if n in numbers else ["note"])]
+    assert in_order == want
+    assert edges.where("edge_type = 'HAS_TURN'").count() == 8 and edges.where("edge_type = 'NEXT'").count() == 4
+
+
+def test_a_walk_of_many_folders_is_ingested(spark, tmp_path):
+    for i in range(70):
+        write(tmp_path, f"d{i:02}/a.txt", f"note {i}")
+    nodes, _ = files.knowledge_path(spark, str(tmp_path))
+    assert [r["text"] for r in nodes.where("node_type = 'document'").orderBy("ord").collect()] == [f"note {i}" for i in range(70)]
