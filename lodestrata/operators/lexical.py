@@ -26,22 +26,39 @@ def token_lists(nodes: DataFrame) -> DataFrame:
 
 def postings(lists: DataFrame) -> DataFrame:
     """``token, id, in_label, in_body``: an inverted index of ``token_lists``, made without a shuffle."""
-    both = F.array_union("label_tokens", "body_tokens")
-    return lists.select("id", "label_tokens", "body_tokens", F.explode(both).alias("token")).select(
-        "token", "id", F.array_contains("label_tokens", F.col("token")).alias("in_label"), F.array_contains("body_tokens", F.col("token")).alias("in_body")
+    one = lambda t, in_label, in_body: F.struct(t.alias("token"), in_label.alias("in_label"), in_body.alias("in_body"))
+    both = F.concat(
+        F.transform("label_tokens", lambda t: one(t, F.lit(True), F.array_contains("body_tokens", t))), F.transform(F.array_except("body_tokens", "label_tokens"), lambda t: one(t, F.lit(False), F.lit(True)))
     )
+    return lists.select("id", F.explode_outer(both).alias("p")).where("p is not null").select("p.token", "id", "p.in_label", "p.in_body")
 
 
 def vocabulary(tokens: DataFrame) -> DataFrame:
     """``token``, ``signature`` (null for short words) of each distinct ``token``."""
-    # as an aggregate it is worked out once a word: what is asked of it later isn't pushed below and doesn't repeat it
-    return tokens.groupBy("token").agg(F.max(F.when(F.length("token") >= 5, T.phonetic_signature("token"))).alias("signature"))
+    # as an aggregate of the distinct words it is worked out once a word: what is asked of it later isn't pushed below and
+    # doesn't repeat it; a first value, as the optimizer would take the distinct words for needless below a largest one
+    return tokens.select("token").distinct().groupBy("token").agg(F.first(F.when(F.length("token") >= 5, T.phonetic_signature("token"))).alias("signature"))
 
 
-def _variants(s: Column) -> Column:
-    """A signature and all ways to leave one character out; strings one edit apart share one of them."""
-    cut = F.transform(F.sequence(F.lit(1), F.length(s)), lambda i: F.concat(F.substring(s, F.lit(1), i - 1), F.substring(s, i + 1, F.length(s))))
-    return F.array_distinct(F.concat(F.array(s), F.when(F.length(s) > 0, cut).otherwise(F.array().cast("array<string>"))))
+def _half(n: Column, head: Column, tail: Column) -> Column:
+    return F.array(F.struct(n.alias("n"), F.lit(True).alias("first"), head.alias("part")), F.struct(n.alias("n"), F.lit(False).alias("first"), tail.alias("part")))
+
+
+def _halves(s: Column) -> Column:
+    """Length and either half of a word's signature: whatever is one edit away begins or ends with one of them."""
+    h = F.floor(F.length(s) / 2).cast("int")
+    return _half(F.length(s), F.substring(s, F.lit(1), h), F.substring(s, h + 1, F.length(s)))
+
+
+def _ends(s: Column) -> Column:
+    """Of a term's signature, what the ``_halves`` of a word of its length, one less or one more would be."""
+    lengths = F.filter(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.length(s) + d), lambda n: n >= 0)
+
+    def of(n: Column) -> Column:
+        h = F.floor(n / 2).cast("int")
+        return _half(n, F.substring(s, F.lit(1), h), F.substring(s, F.greatest(F.lit(1), F.length(s) - (n - h) + 1), F.length(s)))
+
+    return F.flatten(F.transform(lengths, of))
 
 
 def exploded(df: DataFrame, tokens: Column, name: str, *kept: str | Column) -> DataFrame:
@@ -54,16 +71,16 @@ def matches(words: DataFrame, terms: DataFrame) -> DataFrame:
     """``term, token, exact``: the words of a vocabulary that ``terms`` (``term``) are, or sound like.
 
     Terms meet the vocabulary, not the nodes: equal tokens by an equi-join, those
-    that sound alike by an equi-join on signatures with one character left out, verified after it.
-    The vocabulary grows with the nodes and has some ten variants a word, so it is never broadcast.
+    that sound alike by an equi-join on length and halves of signatures, verified after it.
+    The vocabulary grows with the nodes, so it is never broadcast.
     """
     one = terms.select("term").distinct()
     few = one.limit(FEW_TERMS + 1).count() <= FEW_TERMS
     meet = lambda far, near, on: far.join(F.broadcast(near), on) if few else far.hint("merge").join(near, on)
     exact = meet(words.select("token"), one.withColumnRenamed("term", "token"), "token").select(F.col("token").alias("term"), "token", F.lit(True).alias("exact"))
     long_terms = one.where(F.length("term") >= 5).groupBy("term").agg(F.max(T.phonetic_signature("term")).alias("ts"))
-    left = long_terms.select("term", "ts", F.explode(_variants(F.col("ts"))).alias("v"))
-    right = words.where("signature is not null").select("token", "signature", F.explode(_variants(F.col("signature"))).alias("v"))
+    left = long_terms.select("term", "ts", F.explode_outer(_ends(F.col("ts"))).alias("v"))
+    right = words.where("signature is not null").select("token", "signature", F.explode_outer(_halves(F.col("signature"))).alias("v"))
     alike = meet(right, left, "v").where((F.col("term") != F.col("token")) & T.within_one_edit(F.col("ts"), F.col("signature"))).select("term", "token").distinct()
     return exact.unionByName(alike.withColumn("exact", F.lit(False)))
 

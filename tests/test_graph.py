@@ -4,6 +4,7 @@ import sqlite3
 import pytest
 from pyspark.sql import functions as F
 
+from lodestrata.functions import text as T
 from lodestrata.operators import callgraph as C
 from lodestrata.operators import fulltext as X
 from lodestrata.operators import graphstore as G
@@ -115,6 +116,22 @@ def test_no_vocabulary_is_broadcast(spark, tmp_path):
     assert len(joins) == 2 and not any("parquet" in j.toString() for j in joins)
 
 
+def test_matches_equal_all_pairs(spark):
+    rng = random.Random(5)
+    said = sorted({"".join(rng.choices("abrt", k=rng.randint(3, 9))) for _ in range(400)} | {"kkkkk", "ccccc", "qqqqqa", "wallet", "walet", "12345"})
+    tokens = spark.createDataFrame([(w,) for w in said * 2], "token string")
+    asked = said[::7] + ["kkkkka", "wallets", "yyyyyy"]
+    got = [tuple(r) for r in L.matches(L.vocabulary(tokens), spark.createDataFrame([(w,) for w in asked], "term string")).collect()]
+    sounds = {w: T.signature_plain(w) for w in said + asked}
+
+    def near(a, b):
+        cut = lambda s: {s[:i] + s[i + 1 :] for i in range(len(s))}
+        return a == b or b in cut(a) or a in cut(b) or len(a) == len(b) and sum(x != y for x, y in zip(a, b)) == 1
+
+    want = {(t, t, True) for t in asked if t in said} | {(t, w, False) for t in asked for w in said if t != w and len(t) >= 5 and len(w) >= 5 and near(sounds[t], sounds[w])}
+    assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_trigrams_of_any_letters_in_several_portions(spark, tmp_path, monkeypatch):
     texts = ["Ab\nÄÖÜ größe", "𐐀𐐁𐐂 İstanbul", "ab", "", None, "aaaa größen", "𐐨𐐩𐐪 aaa"]
     rows = [(f"n{i}", "memory", "x", t, None, "{}", i) for i, t in enumerate(texts)]
