@@ -80,8 +80,10 @@ def with_singular(token: Column) -> Column:
 def tokens(c: str | Column) -> Column:
     """Search tokens in order, repeats kept; null gives an empty array."""
     spaced = F.regexp_replace(F.coalesce(col(c), F.lit("")), "([a-z0-9])([A-Z])", "$1 $2")
-    parts = F.flatten(F.transform(F.split(fold(spaced), "[^a-z0-9]+"), with_singular))
-    return F.filter(parts, lambda t: (t.rlike("^[0-9]+$") | (F.length(t) >= 3)) & ~t.isin(STOP_WORDS))
+    # a lambda's variable is worked out once, however often folding asks for it
+    words = F.flatten(F.transform(F.array(spaced), lambda s: F.split(fold(s), "[^a-z0-9]+")))
+    parts = F.flatten(F.transform(words, with_singular))
+    return F.filter(parts, lambda t: ((F.length(t) >= 3) | t.rlike("^[0-9]+$")) & ~t.isin(STOP_WORDS))
 
 
 def phonetic_signature(c: str | Column) -> Column:

@@ -32,7 +32,7 @@ FIELDS = ("label", "text", "path")
 #: Characters of a text that an excerpt is taken from (fixed value).
 EXCERPT_OF = 6000
 #: Postings of trigrams that a task holds before it hands them on.
-POSTINGS = 1 << 22
+POSTINGS = 1 << 20
 
 
 def occurrences(text: Column, term: str) -> Column:
